@@ -17,9 +17,14 @@ from pyspark.sql.streaming import StreamingQuery
 from rolltally.operators.rollouts import log_window
 
 
-def read_rollout_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Stream of rollout records from a folder that per-step documents are added to."""
-    documents = spark.readStream.schema(schema).option("multiLine", True).json(path)
+def read_rollout_stream(
+    spark: SparkSession, path: str, schema: T.StructType, one_per_file: bool = True
+) -> DataFrame:
+    """Stream of rollout records from a folder that per-step documents are added to.
+
+    A file holds one document, however it is broken into lines, or a document per line.
+    """
+    documents = spark.readStream.schema(schema).option("multiLine", one_per_file).json(path)
     return documents.select("step", F.explode("generations").alias("record")).select(
         F.col("step").alias("document_step"), "record.*"
     )
