@@ -334,7 +334,7 @@ def instruction_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
           UNION ALL SELECT 'eval_rules_num_instructions', num_instructions FROM levels
           UNION ALL SELECT 'eval_rules_missing_prompts', missing_prompts FROM levels
           UNION ALL SELECT 'eval_events_loss', avg(value) FROM events)
-        SELECT name, round(CAST(value AS DOUBLE), 6) AS value FROM metrics WHERE value IS NOT NULL""",
+        SELECT name, round(CAST(value AS DOUBLE), 9) AS value FROM metrics WHERE value IS NOT NULL""",
 )
 def evaluate_named_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three datasets, each routed by its columns: choice, instruction, generic."""
@@ -347,7 +347,8 @@ def evaluate_named_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "choice": b.choice_responses(spark, sf_dir),
         "rules": _instruction_responses(spark, sf_dir),
     }
-    return rounded(evaluate(datasets, responses, _strict, _loose), "value")
+    rows = evaluate(datasets, responses, _strict, _loose)
+    return rows.withColumn("value", F.round("value", 9))
 
 
 @query(

@@ -95,12 +95,12 @@ def read_step_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     "metric_means",
     f"""WITH {b.METRIC_LOG}
         SELECT run, mode, CASE WHEN mode = 'eval' THEN 'eval_' || key ELSE key END AS key, (step - 1) // 10 AS window_id,
-               round(avg(value), 6) AS mean_value, count(*) AS num_values
+               round(avg(value), 9) AS mean_value, count(*) AS num_values
         FROM log GROUP BY ALL""",
 )
 def metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = ops.metric_means(b.metric_log(spark, sf_dir), every=10)
-    return means.withColumn("mean_value", F.round("mean_value", 6))
+    return means.withColumn("mean_value", F.round("mean_value", 9))
 
 
 @query(

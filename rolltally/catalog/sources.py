@@ -278,9 +278,7 @@ def partitioned_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results partitioned by run and step; the folders are the layout."""
     path = new_path(spark, "layout")
     samples = b.samples(spark, sf_dir).withColumn("step", F.pmod("problem_id", F.lit(3)).cast("int"))
-    # One task per folder and slice, so that a large run does not end in one file.
-    slices = samples.repartition("run", "step", F.pmod("problem_id", F.lit(8)))
-    slices.write.partitionBy("run", "step").parquet(path)
+    samples.hint("rebalance", "run", "step").write.partitionBy("run", "step").parquet(path)
     return spark.read.parquet(path).groupBy("run", "step").agg(F.count(F.lit(1)).alias("num_samples"))
 
 

@@ -22,8 +22,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "streamed_rollout_metrics",
     f"""WITH {b.ROLLOUTS}
-        SELECT step, count(*) AS num_samples, round(avg(event_id / 4), 6) AS teacher_reward,
-               round(avg(event_id / 8), 6) AS student_score, round(avg(event_id / 8), 6) AS reward_advantage
+        SELECT step, count(*) AS num_samples, round(avg(event_id / 4), 9) AS teacher_reward,
+               round(avg(event_id / 8), 9) AS student_score, round(avg(event_id / 8), 9) AS reward_advantage
         FROM rollouts GROUP BY step""",
 )
 def streamed_rollout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +46,14 @@ def streamed_rollout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     result = streams.run_to_table(streams.rollout_metrics(records), spark, base, ["step"])
     return result.withColumns(
-        {c: F.round(c, 6) for c in ("teacher_reward", "student_score", "reward_advantage")}
+        {c: F.round(c, 9) for c in ("teacher_reward", "student_score", "reward_advantage")}
     )
 
 
 @query(
     "streamed_rollouts_once",
-    """SELECT event_id // 60 AS step, count(*) AS num_samples, round(avg(value), 6) AS teacher_reward,
-              round(avg(value) / 2, 6) AS student_score, round(avg(value) / 2, 6) AS reward_advantage
+    """SELECT event_id // 60 AS step, count(*) AS num_samples, round(avg(value), 9) AS teacher_reward,
+              round(avg(value) / 2, 9) AS student_score, round(avg(value) / 2, 9) AS reward_advantage
        FROM events GROUP BY 1""",
 )
 def streamed_rollouts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +70,14 @@ def streamed_rollouts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = streams.rollout_metrics(twice, arrival="arrival", delay="365 days")
     result = streams.run_to_table(once, spark, new_path(spark, "stream"), ["step"])
     return result.withColumns(
-        {c: F.round(c, 6) for c in ("teacher_reward", "student_score", "reward_advantage")}
+        {c: F.round(c, 9) for c in ("teacher_reward", "student_score", "reward_advantage")}
     )
 
 
 @query(
     "streamed_window_means",
     f"""WITH {b.METRIC_LOG}
-        SELECT run, key, (step - 1) // 10 AS window_id, round(avg(value), 6) AS mean_value, count(*) AS num_values
+        SELECT run, key, (step - 1) // 10 AS window_id, round(avg(value), 9) AS mean_value, count(*) AS num_values
         FROM log GROUP BY ALL""",
 )
 def streamed_window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +90,13 @@ def streamed_window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     means = streams.window_means(log, every=10)
     result = streams.run_to_table(means, spark, new_path(spark, "stream"), ["run", "key", "window_id"])
-    return result.withColumn("mean_value", F.round("mean_value", 6))
+    return result.withColumn("mean_value", F.round("mean_value", 9))
 
 
 @query(
     "streamed_time_windows",
     """SELECT strftime(time_bucket(INTERVAL 6 hours, ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS key,
-              round(avg(value), 6) AS mean_value, count(*) AS num_values
+              round(avg(value), 9) AS mean_value, count(*) AS num_values
        FROM events GROUP BY ALL""",
 )
 def streamed_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,6 @@ def streamed_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
         "key",
-        F.round("mean_value", 6).alias("mean_value"),
+        F.round("mean_value", 9).alias("mean_value"),
         "num_values",
     )

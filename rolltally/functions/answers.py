@@ -45,39 +45,43 @@ BOX_OPEN = BOXED + "{"
 
 
 def _until_closing_brace(tail: Column) -> Column:
-    """Trimmed text before the ``}`` that closes a brace opened just before ``tail``.
+    """Trimmed text before the ``}`` that closes a brace opened just before ``tail``."""
+
+    def close(tail: Column) -> Column:
+        first = F.substring_index(tail, "}", 1)
+        nested = F.contains(first, F.lit("{"))
+        return F.when(
+            F.contains(tail, F.lit("}")),
+            F.when(nested, _until_balanced(tail)).otherwise(strip(first)),
+        )
+
+    return let(tail, close)
+
+
+def _until_balanced(tail: Column) -> Column:
+    """As above where braces are nested.
 
     Only braces decide, so the text is cut at ``}`` and the fold runs over the pieces,
     counting the ``{`` inside each, instead of over single characters.
     """
-
-    def scan(tail: Column) -> Column:
-        pieces = F.split(tail, r"\}")
-        start = F.struct(
-            F.lit(1).alias("depth"), F.lit(0).alias("used"), F.lit(-1).alias("end")
-        )
-
-        def step(state: Column, piece: Column) -> Column:
-            size = F.length(piece)
-            opened = size - F.length(F.translate(piece, "{", ""))
-            depth = state["depth"] + opened - 1
-            stop = state["used"] + size
-            advanced = F.struct(
-                depth.alias("depth"),
-                (stop + 1).alias("used"),
-                F.when(depth == 0, stop).otherwise(F.lit(-1)).alias("end"),
-            )
-            return F.when(state["end"] >= 0, state).otherwise(advanced)
-
-        # The piece behind the last "}" is not followed by a closing brace.
-        closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-        end = F.aggregate(closed, start, step, lambda state: state["end"])
-        return let(
-            end,
-            lambda end: F.when(end >= 0, strip(F.substring(tail, F.lit(1), end))),
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used"), F.lit(-1).alias("end"))
+
+    def step(state: Column, piece: Column) -> Column:
+        size = F.length(piece)
+        opened = size - F.length(F.replace(piece, F.lit("{"), F.lit("")))
+        depth = state["depth"] + opened - 1
+        stop = state["used"] + size
+        advanced = F.struct(
+            depth.alias("depth"),
+            (stop + 1).alias("used"),
+            F.when(depth == 0, stop).otherwise(F.lit(-1)).alias("end"),
         )
+        return F.when(state["end"] >= 0, state).otherwise(advanced)
 
-    return let(tail, scan)
+    # The piece behind the last "}" is not followed by a closing brace.
+    closed = let(F.split(tail, r"\}"), lambda pieces: F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+    end = F.aggregate(closed, start, step, lambda state: state["end"])
+    return let(end, lambda end: F.when(end >= 0, strip(F.substring(tail, F.lit(1), end))))
 
 
 def boxed_after_thinking(text: Column) -> Column:
@@ -174,6 +178,11 @@ def gold_letter(answer: Column) -> Column:
     return null_if_empty(F.regexp_extract(F.upper(strip(answer.cast("string"))), "[A-Z]", 0))
 
 
+# Plain text without which the pattern of the same rank cannot match. Looking for it first
+# costs little and spares most rows most of the patterns.
+_CHOICE_CUES = ("\\BOXED{", "<ANSWER>", "FINAL ANSWER", "ANSWER", "CORRECT ANSWER", "OPTION", "CHOICE", "(")
+
+
 def choice_letter(response: Column, valid: Column | None = None) -> Column:
     """Letter chosen in a response, or null.
 
@@ -189,8 +198,11 @@ def choice_letter(response: Column, valid: Column | None = None) -> Column:
 
     def pick(tail: Column, allowed: Column) -> Column:
         named = [
-            last_valid(F.regexp_extract_all(tail, F.lit("(?U)" + p), F.lit(1)), allowed)
-            for p in CHOICE_PATTERNS
+            F.when(
+                F.contains(tail, F.lit(cue)),
+                last_valid(F.regexp_extract_all(tail, F.lit("(?U)" + p), F.lit(1)), allowed),
+            )
+            for cue, p in zip(_CHOICE_CUES, CHOICE_PATTERNS)
         ]
         # Runs of capital letters of length one.
         alone = F.filter(F.split(tail, "[^A-Z]+"), lambda run: F.length(run) == 1)
@@ -203,13 +215,16 @@ def choice_letter(response: Column, valid: Column | None = None) -> Column:
 # --- Equality and grades ------------------------------------------------------------
 
 
-def same_without_dollars(left: Column, right: Column) -> Column:
-    """Equality after removing ``$`` and blanks and lower-casing."""
+def _bare(text: Column) -> Column:
+    """Text without ``$``, blanks and white space around it."""
+    for removed in ("$", " "):
+        text = F.replace(text, F.lit(removed), F.lit(""))
+    return strip(text)
 
-    def plain(x: Column) -> Column:
-        return strip(F.lower(F.translate(x, "$ ", "")))
 
-    return plain(left) == plain(right)
+def same_without_dollars(left: Column, right: Column) -> Column:
+    """Equality after removing ``$`` and blanks and lower-casing."""
+    return (left == right) | (_bare(F.lower(left)) == _bare(F.lower(right)))
 
 
 def same_without_whitespace(left: Column, right: Column) -> Column:
@@ -234,32 +249,36 @@ def ratio_to_fraction(answer: Column) -> Column:
 # 6 behind it, whose cross products still fit. Longer ones are compared as text.
 _NUMBER = r"\d{1,12}(?:\.\d{1,6})?"
 _FRACTION = rf"^(-?)\\[dt]?frac\{{({_NUMBER})\}}\{{({_NUMBER})\}}\z"
-_QUOTIENT = rf"^(-?{_NUMBER})(?:/({_NUMBER}))?\z"
+_QUOTIENT = rf"^-?{_NUMBER}(?:/{_NUMBER})?\z"
+_EXACT = "decimal(18,6)"
 
 
 def _as_quotient(answer: Column) -> Column:
-    plain = F.regexp_replace(F.translate(answer, WHITESPACE + "$", ""), _FRACTION, "$1$2/$3")
-
-    def parts(plain: Column) -> Column:
-        top = F.regexp_extract(plain, _QUOTIENT, 1).try_cast("decimal(18,6)")
-        bottom = null_if_empty(F.regexp_extract(plain, _QUOTIENT, 2)).try_cast("decimal(18,6)")
-        return F.struct(
-            top.alias("top"),
-            F.nullif(
-                F.coalesce(bottom, F.lit(1).cast("decimal(18,6)")),
-                F.lit(0).cast("decimal(18,6)"),
-            ).alias("bottom"),
+    """Struct (top, bottom) of a plain number or fraction, else null."""
+
+    def parts(written: Column) -> Column:
+        pieces = F.split(written, "/")
+        bottom = F.coalesce(F.get(pieces, F.lit(1)), F.lit("1")).try_cast(_EXACT)
+        quotient = F.struct(
+            F.get(pieces, F.lit(0)).try_cast(_EXACT).alias("top"),
+            F.nullif(bottom, F.lit(0).cast(_EXACT)).alias("bottom"),
         )
+        return F.when(F.regexp_like(written, F.lit(_QUOTIENT)), quotient)
 
-    return let(plain, parts)
+    spelled = let(
+        _bare(answer),
+        lambda x: F.when(F.contains(x, F.lit("frac{")), F.regexp_replace(x, _FRACTION, "$1$2/$3")).otherwise(x),
+    )
+    return let(spelled, parts)
 
 
 def same_number(left: Column, right: Column) -> Column:
     """True where both sides are plain numbers or fractions of equal value."""
     equal = let(
         _as_quotient(left),
-        lambda a: let(
-            _as_quotient(right), lambda b: a["top"] * b["bottom"] == b["top"] * a["bottom"]
+        lambda a: F.when(
+            a["top"].isNotNull(),
+            let(_as_quotient(right), lambda b: a["top"] * b["bottom"] == b["top"] * a["bottom"]),
         ),
     )
     return F.coalesce(equal, F.lit(False))

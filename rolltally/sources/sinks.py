@@ -25,9 +25,14 @@ def write_rollouts(
     df: DataFrame, path: str, step: str = "save_step", run: Sequence[str] = ()
 ) -> None:
     """Write rollout records flat, one folder per save step. A step that is written again
-    replaces its folder only."""
+    replaces its folder only.
+
+    Rebalancing brings the rows of small steps together and splits large ones, so that
+    neither tiny files nor one huge file per folder come out.
+    """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *run, step)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("ignoreNullFields", "false")
         .partitionBy(*run, step)
