@@ -86,10 +86,12 @@ def _until_balanced(tail: Column) -> Column:
 
 def boxed_after_thinking(text: Column) -> Column:
     """First boxed answer after the last ``</think>`` (whole text without one)."""
-    shown = after_last(text, THINK_END)
-    opened = F.instr(shown, BOX_OPEN)
-    inside = from_position(shown, opened + len(BOX_OPEN))
-    return F.when(opened > 0, _until_closing_brace(inside))
+
+    def first_box(shown: Column) -> Column:
+        inside = from_position(shown, F.instr(shown, BOX_OPEN) + len(BOX_OPEN))
+        return F.when(F.contains(shown, F.lit(BOX_OPEN)), _until_closing_brace(inside))
+
+    return F.when(F.contains(text, F.lit(BOX_OPEN)), let(after_last(text, THINK_END), first_box))
 
 
 def boxed_last_marker(text: Column) -> Column:
@@ -135,8 +137,12 @@ def fallback_answer(text: Column) -> Column:
 
 
 def _last_line(body: Column) -> Column:
-    one_break = F.translate(body, LINE_BREAKS, "\n" * len(LINE_BREAKS))
-    line = strip(F.substring_index(one_break, "\n", -1))
+    # What remains behind each kind of break in turn lies behind the last break of any kind.
+    # All but the first search run over a short rest.
+    line = body
+    for line_break in LINE_BREAKS:
+        line = after_last(line, line_break)
+    line = strip(line)
     for prefix in (r"^\*\*Answer:\*\*\s*", r"^Answer:\s*"):
         line = F.regexp_replace(line, "(?iuU)" + prefix, "")
     return null_if_empty(line)

@@ -45,7 +45,7 @@ def after_last(text: Column, marker: str) -> Column:
 
 def from_position(text: Column, start: Column) -> Column:
     """Suffix of ``text`` from a 1-based character position."""
-    return F.substring(text, start, F.length(text))
+    return F.substring(text, start, F.lit(2**31 - 1))
 
 
 def require_text(column: Column, name: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,16 +67,24 @@ def with_group_values(
 def last_per_key(df: DataFrame, key: Sequence[str], order_by: str) -> DataFrame:
     """Keep the row of each key that arrived last. Partial aggregation keeps one row per
     key and task before the shuffle."""
-    columns = [c for c in df.columns if c not in key]
-    kept = df.groupBy(*key).agg(F.max_by(F.struct(*columns), F.col(order_by)).alias("_last"))
-    return kept.select(*key, "_last.*").select(*df.columns)
+    return _one_per_key(df, key, lambda row: F.max_by(row, F.col(order_by)))
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order_by: str) -> DataFrame:
     """Keep the row of each key that comes first in order."""
+    return _one_per_key(df, key, lambda row: F.min_by(row, F.col(order_by)))
+
+
+def _one_per_key(
+    df: DataFrame, key: Sequence[str], choose: Callable[[Column], Column]
+) -> DataFrame:
+    """One chosen row per key. Choosing whole rows aggregates by sorting, so the hash of
+    the key leads the order: long texts are compared only where hashes are equal."""
     columns = [c for c in df.columns if c not in key]
-    kept = df.groupBy(*key).agg(F.min_by(F.struct(*columns), F.col(order_by)).alias("_first"))
-    return kept.select(*key, "_first.*").select(*df.columns)
+    kept = df.groupBy(F.xxhash64(*key).alias("_key"), *key).agg(
+        choose(F.struct(*columns)).alias("_row")
+    )
+    return kept.select(*key, "_row.*").select(*df.columns)
 
 
 def attach_responses_by_index(

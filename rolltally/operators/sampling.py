@@ -73,7 +73,7 @@ def seeded_split(
         (F.col("_open") > 0) & F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False))
     )
     return (
-        hashed.join(F.broadcast(cuts), "_bucket")
+        hashed.join(F.broadcast(cuts), "_bucket", "left")
         .withColumn("split", F.when(is_test, "test").otherwise("train"))
         .select(*df.columns, "split")
     )
