@@ -25,7 +25,7 @@ def lookup_join(
     Keys with at least ``hot_rows`` rows on the left are spread over ``salts`` tasks, each
     with its own copy of the looked-up row. ``salt_by`` names columns that tell the rows
     of a key apart. The list of hot keys has at most rows / ``hot_rows`` entries of eight
-    bytes, which bounds what is broadcast.
+    bytes, which bounds what is broadcast. Null keys equal each other.
     """
     keyed = left.withColumn("_key", F.xxhash64(*on))
     hot = (
@@ -44,11 +44,15 @@ def lookup_join(
     spread = (
         lookup.withColumn("_key", F.xxhash64(*on))
         .join(F.broadcast(hot), "_key", "left")
-        .withColumn("_salt", F.explode(copies))
+        .withColumn("_right_salt", F.explode(copies))
         .drop("_hot")
+        .withColumnsRenamed({"_key": "_right_key", **{c: f"_right_{c}" for c in on}})
     )
-    joined = salted.drop("_hot").join(spread, ["_key", "_salt", *on], how)
-    return joined.drop("_key", "_salt")
+    same = (F.col("_key") == F.col("_right_key")) & (F.col("_salt") == F.col("_right_salt"))
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    added = [c for c in lookup.columns if c not in on]
+    return salted.join(spread, same, how).select(*left.columns, *added)
 
 
 def with_group_values(
