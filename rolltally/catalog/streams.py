@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolltally.catalog import bindings as b
@@ -19,6 +19,11 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
+def utc(local: Column) -> Column:
+    """Instant of a time without zone that is meant in UTC, whatever the session's zone."""
+    return F.to_timestamp(F.concat(local.cast("string"), F.lit("Z")))
+
+
 @query(
     "streamed_rollout_metrics",
     f"""WITH {b.ROLLOUTS}
@@ -64,7 +69,7 @@ def streamed_rollouts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("teacher_reward"),
         (F.col("value") / 2).alias("student_score"),
         (F.col("value") / 2).alias("reward_advantage"),
-        F.col("ts").cast("timestamp").alias("arrival"),
+        utc(F.col("ts")).alias("arrival"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"),
     )
     once = streams.rollout_metrics(twice, arrival="arrival", delay="365 days")
@@ -102,12 +107,13 @@ def streamed_window_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling six-hour windows with a watermark over the event time."""
     log = event_stream(spark, sf_dir).select(
-        F.col("event_type").alias("key"), "value", F.col("ts").cast("timestamp").alias("at_time")
+        F.col("event_type").alias("key"), "value", utc(F.col("ts")).alias("at_time")
     )
     means = streams.timed_means(log, "at_time", "6 hours", "365 days")
     result = streams.run_to_table(means, spark, new_path(spark, "stream"), ["window_start", "key"])
+    start = F.convert_timezone(None, F.lit("UTC"), F.col("window_start"))
     return result.select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
+        F.date_format(start, "yyyy-MM-dd HH:mm").alias("window_start"),
         "key",
         F.round("mean_value", 9).alias("mean_value"),
         "num_values",

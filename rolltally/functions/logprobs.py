@@ -75,14 +75,11 @@ def divergence_cell(student: Column, teacher: Column, beta: float) -> Column:
         return F.exp(teacher) * (teacher - student)
     if beta == 1:
         return F.exp(student) * (student - teacher)
-    weighted_student = student + math.log1p(-beta)
-    weighted_teacher = teacher + math.log(beta)
-    high = F.greatest(weighted_student, weighted_teacher)
-    low = F.least(weighted_student, weighted_teacher)
-    mixture = high + F.log1p(F.exp(low - high))
-    return beta * F.exp(teacher) * (teacher - mixture) + (1 - beta) * F.exp(student) * (
-        student - mixture
-    )
+    one, other = student + math.log1p(-beta), teacher + math.log(beta)
+    mixture = F.greatest(one, other) + F.log1p(F.exp(-F.abs(one - other)))
+    # beta·e^t·(t - m) + (1-beta)·e^s·(s - m), ordered so that the mixture is computed once.
+    of_teacher, of_student = F.exp(teacher) * beta, F.exp(student) * (1 - beta)
+    return of_teacher * teacher + of_student * student - (of_teacher + of_student) * mixture
 
 
 def divergence_cells(

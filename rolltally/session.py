@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -30,13 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and hand-over tables that every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local mode) a temporary folder is made and recorded for the rest of the session.
+    local mode) a temporary folder is made, one per application.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="rolltally-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return spark.conf.get(CHECKPOINT_CONF, None) or _own_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"rolltally-{application}-")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
