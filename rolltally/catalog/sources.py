@@ -230,7 +230,9 @@ def results_log(spark: SparkSession, sf_dir: str) -> DataFrame:
               CASE WHEN c_custkey % 2 = 0 THEN '_thinking' ELSE '_nonthinking' END || '_temp' ||
               CASE c_custkey % 2 WHEN 0 THEN '0.6' ELSE '1.0' END || '_valn' || CAST(c_nationkey AS VARCHAR) AS eval_tag,
               'eval_step_' || CASE WHEN c_custkey * 1000 < 100000 THEN lpad(CAST(c_custkey * 1000 AS VARCHAR), 6, '0')
-                                   ELSE CAST(c_custkey * 1000 AS VARCHAR) END AS step_tag
+                                   ELSE CAST(c_custkey * 1000 AS VARCHAR) END AS step_tag,
+              c_name || CASE WHEN c_custkey % 3 > 0 THEN '+checkpoint-' || CAST(c_custkey AS VARCHAR) ELSE '' END
+                AS model_label
        FROM customer""",
 )
 def output_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,23 +242,27 @@ def output_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/out/run"), nation, F.lit("/checkpoint-"), key.cast("string"), F.lit("/")),
     )
     thinking = F.pmod(key, F.lit(2)) == 0
+    model = F.concat(F.lit("/models/"), "c_name")
     tag = layout.eval_tag(
         F.lower("c_mktsegment"),
-        F.concat(F.lit("/models/"), "c_name"),
+        model,
         checkpoint,
         thinking,
         F.when(thinking, F.lit(0.6)).otherwise(F.lit(1.0)),
         F.col("c_nationkey"),
     )
     return b.table(spark, sf_dir, "customer").select(
-        "c_custkey", tag.alias("eval_tag"), layout.step_tag(F.lit("eval"), key * 1000).alias("step_tag")
+        "c_custkey",
+        tag.alias("eval_tag"),
+        layout.step_tag(F.lit("eval"), key * 1000).alias("step_tag"),
+        layout.model_label(model, checkpoint).alias("model_label"),
     )
 
 
 @query(
     "instruction_tags",
     """SELECT event_id, 'ifeval_test_' || event_type || '_gpu' || CASE WHEN user_id % 2 = 0 THEN '01' ELSE 'auto' END ||
-              '_' || strftime(ts, '%Y-%m-%d_%H%M%S') AS tag
+              '_' || strftime(ts, '%Y-%m-%d_%H%M%S') AS tag, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS generated_at_utc
        FROM events""",
 )
 def instruction_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +272,10 @@ def instruction_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod("user_id", F.lit(2)) == 0, F.lit("0,1")).otherwise(F.lit("")),
         F.col("ts"),
     )
-    return b.table(spark, sf_dir, "events").select("event_id", tag.alias("tag"))
+    stamp = layout.utc_stamp(F.col("ts"))
+    return b.table(spark, sf_dir, "events").select(
+        "event_id", tag.alias("tag"), stamp.alias("generated_at_utc")
+    )
 
 
 @query(

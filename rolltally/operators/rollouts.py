@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolltally.functions.fixed_values import SAVE_EVERY
+from rolltally.operators.joins import with_group_values
 
 PART_ROWS = 256
 
@@ -35,14 +36,11 @@ def due_batches(
     Records gather until the next positive multiple of ``every``. Those behind the last
     one a run has reached are still waiting, and left out.
     """
-    last = rollouts.groupBy(*run).agg(F.max("step").alias("_last"))
     due = F.greatest(F.ceil(F.col("step") / every), F.lit(1)) * every
-    return (
-        rollouts.withColumn("save_step", due.cast("long"))
-        .join(last, list(run))
-        .where(F.col("save_step") <= F.col("_last"))
-        .drop("_last")
-    )
+    placed = rollouts.withColumn("save_step", due.cast("long"))
+    # A run may hold most of the rows, so its last step is looked up by salted key.
+    reached = with_group_values(placed, run, {"_last": F.max("step")}, ["step"])
+    return reached.where(F.col("save_step") <= F.col("_last")).drop("_last")
 
 
 def nest_rollouts(

@@ -57,3 +57,13 @@ def step_tag(prefix: Column, step: Column) -> Column:
     return F.concat(
         prefix, F.lit("_step_"), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
     )
+
+
+def model_label(model: Column, checkpoint: Column) -> Column:
+    """``<model>+<checkpoint>``, or the model alone where no checkpoint is given."""
+    return F.concat_ws("+", tagged_name(model), tagged_name(checkpoint))
+
+
+def utc_stamp(at: Column) -> Column:
+    """Time of a summary, ``2026-03-18T09:05:07Z``."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
