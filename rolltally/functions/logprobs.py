@@ -15,7 +15,7 @@ from rolltally.functions.fixed_values import MIN_PROBABILITY
 from rolltally.functions.text import let
 
 
-def _scaled(x: Column, temperature: float) -> Column:
+def scaled(x: Column, temperature: float) -> Column:
     return x if temperature == 1 else x / temperature
 
 
@@ -23,10 +23,10 @@ def log_sum_exp(logits: Column, temperature: float = 1.0) -> Column:
     """log(sum(exp(logits / temperature))), shifted by the maximum."""
     return let(
         F.array_max(logits),
-        lambda top: _scaled(top, temperature)
+        lambda top: scaled(top, temperature)
         + F.log(
             F.aggregate(
-                logits, F.lit(0.0), lambda total, x: total + F.exp(_scaled(x - top, temperature))
+                logits, F.lit(0.0), lambda total, x: total + F.exp(scaled(x - top, temperature))
             )
         ),
     )
@@ -35,13 +35,13 @@ def log_sum_exp(logits: Column, temperature: float = 1.0) -> Column:
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     return let(
         log_sum_exp(logits, temperature),
-        lambda norm: F.transform(logits, lambda x: _scaled(x, temperature) - norm),
+        lambda norm: F.transform(logits, lambda x: scaled(x, temperature) - norm),
     )
 
 
 def token_log_prob(logits: Column, token_id: Column, temperature: float = 1.0) -> Column:
     """Log-probability of one token, without building the whole distribution."""
-    return _scaled(F.get(logits, token_id), temperature) - log_sum_exp(logits, temperature)
+    return scaled(F.get(logits, token_id), temperature) - log_sum_exp(logits, temperature)
 
 
 def log_of_probabilities(probabilities: Column) -> Column:

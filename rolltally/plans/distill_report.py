@@ -27,7 +27,13 @@ def distill_report(
     if sampled_tokens_only:
         sampled = distill.sampled_log_probs(logits, temperature=temperature)
         return distill.sampled_token_objective(sampled, by, label).select(*by, "loss", "num_tokens")
-    positions = distill.position_divergence(
-        logits, beta=beta, temperature=temperature, top_k=top_k, clip=clip
-    ).drop("student", "teacher")
-    return distill.reduce_divergence(positions, by, reduction, label)
+    return distill.divergence_loss(
+        logits,
+        by,
+        beta=beta,
+        temperature=temperature,
+        top_k=top_k,
+        clip=clip,
+        reduction=reduction,
+        label=label,
+    )

@@ -134,6 +134,33 @@ def test_reductions(table, cube):
         distill.reduce_divergence(rows, reduction="max")
 
 
+@pytest.mark.parametrize("reduction", ["batchmean", "sum", "mean"])
+@pytest.mark.parametrize("label", ["label", None])
+@pytest.mark.parametrize(
+    "options",
+    [{"beta": 0}, {"beta": 0.4, "temperature": 1.5, "clip": 0.03}, {"beta": 1, "top_k": 4}, {"top_k": 0, "clip": 0.0}],
+)
+def test_both_ways_to_the_loss_agree(table, reduction, label, options):
+    halves = table.withColumn("half", F.col("pos") % 2)
+    slow = distill.reduce_divergence(
+        distill.position_divergence(halves, **options), ["half"], reduction, label
+    )
+    fast = distill.divergence_loss(halves, ["half"], reduction=reduction, label=label, **options)
+    one = {r["half"]: (r["loss"], r["num_tokens"]) for r in slow.collect()}
+    two = {r["half"]: (r["loss"], r["num_tokens"]) for r in fast.collect()}
+    assert one.keys() == two.keys()
+    for half in one:
+        assert one[half][0] == pytest.approx(two[half][0], rel=1e-9)
+        assert one[half][1] == two[half][1]
+
+
+def test_loss_of_nothing(table):
+    nothing = distill.divergence_loss(table.where("label = -100"), reduction="sum").first()
+    assert tuple(nothing) == (0.0, 0)
+    with pytest.raises(ValueError, match="reductions"):
+        distill.divergence_loss(table, reduction="none")
+
+
 def test_kept_cells(table, cube):
     row = distill.position_divergence(table.where("ex_id = 0 and pos = 0"), beta=0, keep_cells=True).first()
     np.testing.assert_allclose(row["cells"], cells(cube[0], cube[1], 0)[0, 0])
