@@ -129,16 +129,18 @@ scored AS (SELECT * FROM per_position WHERE label <> -100)"""
 )
 
 
-@query(
-    "divergence_reductions",
+_REDUCTIONS = (
     _POSITIONS
     + """ SELECT 'batchmean' AS reduction, ex_id % 4 AS batch, round(sum(divergence) / count(*), 6) AS loss,
                  count(*) AS num_tokens FROM scored GROUP BY 2
           UNION ALL SELECT 'sum', ex_id % 4, round(sum(divergence), 6), count(*) FROM scored GROUP BY 2
           UNION ALL SELECT 'mean', ex_id % 4, round(sum(divergence) / sum(num_cells), 6), count(*) FROM scored GROUP BY 2
           UNION ALL SELECT 'per example', ex_id % 4, round(sum(divergence) / count(DISTINCT ex_id), 6), count(*)
-            FROM per_position GROUP BY 2""",
+            FROM per_position GROUP BY 2"""
 )
+
+
+@query("divergence_reductions", _REDUCTIONS)
 def divergence_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = distill.position_divergence(b.logits(spark, sf_dir), beta=BETA).drop("student", "teacher")
     rows = rows.withColumn("batch", F.pmod("ex_id", F.lit(4)))
@@ -149,6 +151,18 @@ def divergence_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_named(losses, "reduction").withColumn("loss", F.round("loss", 6))
 
 
+@query("divergence_losses", _REDUCTIONS)
+def divergence_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same numbers from the compiled sum over cells."""
+    rows = b.logits(spark, sf_dir).withColumn("batch", F.pmod("ex_id", F.lit(4)))
+    losses = {
+        how: distill.divergence_loss(rows, ["batch"], beta=BETA, reduction=how)
+        for how in ("batchmean", "sum", "mean")
+    }
+    losses["per example"] = distill.divergence_loss(rows, ["batch"], beta=BETA, label=None)
+    return union_named(losses, "reduction").withColumn("loss", F.round("loss", 6))
+
+
 @query(
     "unreduced_divergence",
     _POSITIONS + " SELECT ex_id, pos, round(divergence, 6) AS divergence FROM scored",

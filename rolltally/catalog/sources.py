@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rolltally.catalog import bindings as b
 from rolltally.catalog.registry import query
+from rolltally.operators.benchmarks import choice_metrics
 from rolltally.operators.grading import problem_results, run_metrics
+from rolltally.plans.benchmark_eval import choice_benchmark, write_scores
 from rolltally.plans.conversion import convert_shards
 from rolltally.plans.math_eval import evaluate_math, write_evaluation
 from rolltally.session import new_path
@@ -313,3 +315,28 @@ def shard_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{base}/lines").select(
         "conv_id", "turn", "answer", F.size("messages").alias("num_messages")
     )
+
+
+@query(
+    "written_choice_scores",
+    f"""WITH {b.CHOICES}
+        SELECT 12 AS step, round(count(*) FILTER (predicted_answer = gold_answer) / count(*), 6) AS eval_mc_accuracy,
+               count(*) AS eval_mc_num_prompts, count(predicted_answer) AS stored_answers,
+               CAST(sum(length(response)) AS BIGINT) AS stored_chars
+        FROM scored""",
+)
+def written_choice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows and summary of one evaluation, read back from their files."""
+    scored = choice_benchmark(b.choice_examples(spark, sf_dir), b.choice_responses(spark, sf_dir))
+    folder = new_path(spark, "scores")
+    base = write_scores({"responses": scored}, choice_metrics(scored), folder, "eval", 12)
+    summary = spark.read.schema("step int, eval_mc_accuracy double, eval_mc_num_prompts long").json(
+        f"{base}/summary.json"
+    )
+    rows = spark.read.schema("predicted_answer string, response string").json(f"{base}/responses.jsonl")
+    stored = rows.agg(
+        F.lit(12).alias("step"),
+        F.count("predicted_answer").alias("stored_answers"),
+        F.sum(F.length("response")).alias("stored_chars"),
+    )
+    return summary.join(stored, "step").withColumn("eval_mc_accuracy", F.round("eval_mc_accuracy", 6))

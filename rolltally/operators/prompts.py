@@ -107,7 +107,7 @@ def build_prompts(
     student_thinking: bool = False,
     teacher_thinking: bool = True,
 ) -> DataFrame:
-    """Add student and teacher prompts for self-distillation.
+    """Add student and teacher prompts for distillation.
 
     With ``reason_first`` the teacher columns are the reasoning prompt and the transition
     text instead of one teacher prompt. ``template=None`` leaves the texts bare.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolltally.operators import benchmarks, grading
-from rolltally.plans.benchmark_eval import evaluate
+from rolltally.plans.benchmark_eval import evaluate, instruction_rows, verdict_rows, write_scores
 from rolltally.plans.math_eval import evaluate_math, join_gold
 
 NONE = "[No boxed answer found]"
@@ -204,3 +204,38 @@ def test_missing_counts_appear_only_when_positive(spark):
     examples, responses = choice_rows(spark)
     rows = evaluate(examples.where("row_index <> 1"), responses)
     assert not [r["name"] for r in rows.collect() if "missing" in r["name"]]
+
+
+def test_repeated_keys_and_verdict_lines(spark, tmp_path):
+    import json
+
+    rules = spark.createDataFrame(
+        [(1, "p", ["a", "b"], [{}, {}])],
+        "key long, prompt string, instruction_id_list array<string>, kwargs array<map<string,string>>",
+    )
+    said = spark.createDataFrame(
+        [(1, "p", "new", 2), (1, "p", "old", 1)], "key long, prompt string, response string, arrival long"
+    )
+
+    def strict(prompt, response, ids, kwargs):
+        return F.transform(ids, lambda i: (response == "new") & (i == "a"))
+
+    def loose(prompt, response, ids, kwargs):
+        return F.transform(ids, lambda _: response == "new")
+
+    scored = instruction_rows(rules, said, strict, loose)
+    lines = {name: verdict_rows(scored, f"{name}_list") for name in ("strict", "loose")}
+    metrics = benchmarks.strict_and_loose_metrics(scored)
+    base = write_scores(lines, metrics, str(tmp_path), "eval_rules", 25)
+    assert base.endswith("/eval_rules_step_000025")
+
+    def stored(name):
+        (part,) = [p for p in (tmp_path / "eval_rules_step_000025" / name).glob("part-*") if p.stat().st_size]
+        return json.loads(part.read_text())
+
+    assert stored("strict.jsonl")["follow_instruction_list"] == [True, False]
+    assert stored("strict.jsonl")["follow_all_instructions"] is False
+    assert stored("loose.jsonl")["follow_all_instructions"] is True
+    summary = stored("summary.json")
+    assert summary["eval_rules_strict_instruction_level"] == 0.5 and summary["step"] == 25
+    assert summary["strict_path"] == f"{base}/strict.jsonl"
