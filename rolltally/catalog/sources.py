@@ -319,11 +319,10 @@ def shard_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "written_choice_scores",
-    f"""WITH {b.CHOICES}
-        SELECT 12 AS step, round(count(*) FILTER (predicted_answer = gold_answer) / count(*), 6) AS eval_mc_accuracy,
-               count(*) AS eval_mc_num_prompts, count(predicted_answer) AS stored_answers,
-               CAST(sum(length(response)) AS BIGINT) AS stored_chars
-        FROM scored""",
+    f"""WITH {b.CHOICES}, counted AS (
+          SELECT count(*) AS num_prompts, count(*) FILTER (predicted_answer = gold_answer) AS num_correct FROM scored)
+        SELECT 'responses' AS source, num_prompts, num_correct FROM counted
+        UNION ALL SELECT 'summary of step 12', num_prompts, num_correct FROM counted""",
 )
 def written_choice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows and summary of one evaluation, read back from their files."""
@@ -333,10 +332,15 @@ def written_choice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = spark.read.schema("step int, eval_mc_accuracy double, eval_mc_num_prompts long").json(
         f"{base}/summary.json"
     )
-    rows = spark.read.schema("predicted_answer string, response string").json(f"{base}/responses.jsonl")
-    stored = rows.agg(
-        F.lit(12).alias("step"),
-        F.count("predicted_answer").alias("stored_answers"),
-        F.sum(F.length("response")).alias("stored_chars"),
+    told = summary.select(
+        F.concat(F.lit("summary of step "), F.col("step").cast("string")).alias("source"),
+        F.col("eval_mc_num_prompts").alias("num_prompts"),
+        F.round(F.col("eval_mc_accuracy") * F.col("eval_mc_num_prompts")).cast("long").alias("num_correct"),
     )
-    return summary.join(stored, "step").withColumn("eval_mc_accuracy", F.round("eval_mc_accuracy", 6))
+    rows = spark.read.schema("is_correct boolean").json(f"{base}/responses.jsonl")
+    counted = rows.agg(
+        F.lit("responses").alias("source"),
+        F.count(F.lit(1)).alias("num_prompts"),
+        F.count_if("is_correct").alias("num_correct"),
+    )
+    return counted.unionByName(told)
