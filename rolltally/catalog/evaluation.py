@@ -367,6 +367,24 @@ def union_named_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prefixed_metrics(metrics, ["mean_length"]), "value")
 
 
+@query(
+    "custom_metrics",
+    f"""WITH {b.SAMPLES}
+        SELECT run, round(avg(CASE WHEN is_correct THEN 1.0 WHEN is_formatted THEN 0.25 ELSE 0.0 END), 6) AS partial_credit,
+               CAST(max(length(text)) AS INTEGER) AS longest
+        FROM samples GROUP BY run""",
+)
+def custom_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial credit for a box with a wrong answer, as a user may want it."""
+    graded = grading.grade_samples(b.samples(spark, sf_dir))
+    credit = F.when(F.col("is_correct"), 1.0).when(F.col("is_formatted"), 0.25).otherwise(0.0)
+    return benchmarks.custom_metrics(
+        graded,
+        {"partial_credit": F.round(F.avg(credit), 6), "longest": F.max(F.length("text"))},
+        ["run"],
+    )
+
+
 @query(
     "rule_scorer_hook",
     """SELECT event_type, round(avg(CAST(a AND b AS DOUBLE)), 6) AS prompt_level,

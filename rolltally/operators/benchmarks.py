@@ -122,6 +122,12 @@ def metric_rows(metrics: DataFrame, prefix: str) -> DataFrame:
     return metrics.select(F.inline(pairs)).where(F.col("value").isNotNull())
 
 
+def custom_metrics(df: DataFrame, metrics: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """A user's own metrics, given as aggregate expressions, so that they are computed in
+    parts like the built-in ones."""
+    return df.groupBy(*by).agg(*[value.alias(name) for name, value in metrics.items()])
+
+
 def apply_scorer(df: DataFrame, scorer, *inputs: str, name: str = "follow_list") -> DataFrame:
     """Score rows with a user's vectorised function, e.g. a rule checker.
 
