@@ -259,41 +259,49 @@ _QUOTIENT = rf"^-?{_NUMBER}(?:/{_NUMBER})?\z"
 _EXACT = "decimal(18,6)"
 
 
-def _as_quotient(answer: Column) -> Column:
-    """Struct (top, bottom) of a plain number or fraction, else null."""
-
-    def parts(written: Column) -> Column:
-        pieces = F.split(written, "/")
-        bottom = F.coalesce(F.get(pieces, F.lit(1)), F.lit("1")).try_cast(_EXACT)
-        quotient = F.struct(
-            F.get(pieces, F.lit(0)).try_cast(_EXACT).alias("top"),
-            F.nullif(bottom, F.lit(0).cast(_EXACT)).alias("bottom"),
-        )
-        return F.when(F.regexp_like(written, F.lit(_QUOTIENT)), quotient)
+def _same_value(left: Column, right: Column) -> Column:
+    """Whether two bare texts are numbers or fractions of equal value; null if not both
+    are numbers."""
+
+    def spelled(bare: Column) -> Column:
+        fraction = F.regexp_replace(bare, _FRACTION, "$1$2/$3")
+        return F.when(F.contains(bare, F.lit("frac{")), fraction).otherwise(bare)
+
+    def part(quotient: Column, at: int) -> Column:
+        return F.get(F.split(quotient, "/"), F.lit(at)).try_cast(_EXACT)
 
-    spelled = let(
-        _bare(answer),
-        lambda x: F.when(F.contains(x, F.lit("frac{")), F.regexp_replace(x, _FRACTION, "$1$2/$3")).otherwise(x),
+    def crossed(a: Column, b: Column) -> Column:
+        one, zero = F.lit(1).cast(_EXACT), F.lit(0).cast(_EXACT)
+        below_a, below_b = F.coalesce(part(a, 1), one), F.coalesce(part(b, 1), one)
+        defined = (below_a != zero) & (below_b != zero)
+        return defined & (part(a, 0) * below_b == part(b, 0) * below_a)
+
+    def both_numbers(a: Column, b: Column) -> Column:
+        return F.regexp_like(a, F.lit(_QUOTIENT)) & F.regexp_like(b, F.lit(_QUOTIENT))
+
+    return let(
+        spelled(left),
+        lambda a: let(spelled(right), lambda b: F.when(both_numbers(a, b), crossed(a, b))),
     )
-    return let(spelled, parts)
 
 
 def same_number(left: Column, right: Column) -> Column:
     """True where both sides are plain numbers or fractions of equal value."""
-    equal = let(
-        _as_quotient(left),
-        lambda a: F.when(
-            a["top"].isNotNull(),
-            let(_as_quotient(right), lambda b: a["top"] * b["bottom"] == b["top"] * a["bottom"]),
-        ),
-    )
-    return F.coalesce(equal, F.lit(False))
+    return F.coalesce(_same_value(_bare(left), _bare(right)), F.lit(False))
 
 
 def grade(predicted: Column, gold: Column) -> Column:
-    """Whether a predicted answer equals the gold one; false for a missing prediction."""
-    same_text = F.coalesce(same_without_dollars(predicted, gold), F.lit(False))
-    return same_text | same_number(predicted, gold)
+    """Whether a predicted answer equals the gold one; false for a missing prediction.
+
+    Equal as text without ``$``, blanks and case, or equal in value.
+    """
+
+    def compare(a: Column, b: Column) -> Column:
+        same_text = F.coalesce(F.lower(a) == F.lower(b), F.lit(False))
+        return same_text | F.coalesce(_same_value(a, b), F.lit(False))
+
+    bare = let(_bare(predicted), lambda a: let(_bare(gold), lambda b: compare(a, b)))
+    return F.when(predicted == gold, F.lit(True)).otherwise(bare)
 
 
 def correctness_reward(completion: Column, gold: Column) -> Column:
