@@ -126,23 +126,28 @@ def fallback_answer(text: Column) -> Column:
             led = F.ltrim(strip(cued), F.lit(WHITESPACE + ":.-"))
             return null_if_empty(F.rtrim(led, F.lit(WHITESPACE + ".")))
 
-        # One scan tells whether any cue occurs; most texts skip the four patterns.
+        # One scan tells whether any cue occurs; most texts skip the patterns.
         has_cue = F.regexp_like(body, F.lit(_ANY_CUE))
+        line = _last_line(body)
         return F.when(
             has_cue,
-            let(cued, lambda c: F.when(c.isNotNull(), clean(c)).otherwise(_last_line(body))),
-        ).otherwise(_last_line(body))
+            let(cued, lambda c: F.when(c.isNotNull(), clean(c)).otherwise(_without_cue(line))),
+        ).otherwise(null_if_empty(line))
 
     return let(strip(after_last(text, THINK_END)), pick)
 
 
 def _last_line(body: Column) -> Column:
+    """Last line of a text without white space at its end."""
     # What remains behind each kind of break in turn lies behind the last break of any kind.
     # All but the first search run over a short rest.
     line = body
     for line_break in LINE_BREAKS:
         line = after_last(line, line_break)
-    line = strip(line)
+    return strip(line)
+
+
+def _without_cue(line: Column) -> Column:
     for prefix in (r"^\*\*Answer:\*\*\s*", r"^Answer:\s*"):
         line = F.regexp_replace(line, "(?iuU)" + prefix, "")
     return null_if_empty(line)
@@ -239,7 +244,7 @@ def same_without_whitespace(left: Column, right: Column) -> Column:
     def plain(x: Column) -> Column:
         return F.lower(without_whitespace(F.coalesce(x, F.lit(""))))
 
-    return (plain(left) != "") & (plain(left) == plain(right))
+    return let(plain(left), lambda a: (a != "") & (a == plain(right)))
 
 
 _DECIMAL = r"-?\d+(?:\.\d+)?"
@@ -248,7 +253,8 @@ _RATIO = rf"(?U)^[\s\x1c-\x1f]*({_DECIMAL})[\s\x1c-\x1f]*:[\s\x1c-\x1f]*({_DECIM
 
 def ratio_to_fraction(answer: Column) -> Column:
     """Rewrite ``a:b`` of two decimals as ``\\frac{a}{b}``; leave everything else."""
-    return F.regexp_replace(answer, _RATIO, r"\\frac{$1}{$2}")
+    rewritten = F.regexp_replace(answer, _RATIO, r"\\frac{$1}{$2}")
+    return F.when(F.contains(answer, F.lit(":")), rewritten).otherwise(answer)
 
 
 # Numbers are compared exactly as decimal(18,6): up to 12 digits before the point and
@@ -306,13 +312,13 @@ def grade(predicted: Column, gold: Column) -> Column:
 
 def correctness_reward(completion: Column, gold: Column) -> Column:
     """1.0 for a completion whose boxed answer is right, else 0.0."""
+
+    def right(predicted: Column) -> Column:
+        return same_without_whitespace(predicted, gold) | same_number(ratio_to_fraction(predicted), gold)
+
     return let(
         boxed_after_thinking(completion),
-        lambda predicted: F.when(
-            same_without_whitespace(predicted, gold)
-            | same_number(ratio_to_fraction(predicted), gold),
-            F.lit(1.0),
-        ).otherwise(F.lit(0.0)),
+        lambda predicted: F.when(predicted.isNotNull() & right(predicted), F.lit(1.0)).otherwise(F.lit(0.0)),
     )
 
 
