@@ -43,6 +43,13 @@ def rollout_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per run and save step, of twenty records per step."""
+    due = ops.due_batches(b.rollouts(spark, sf_dir)).withColumn("of_run", F.col("run"))
+    place = (F.col("step") - F.col("save_step") + 5) * 20 + F.col("idx")
+    return ops.nest_rollouts(due.withColumn("position", place), by=["run"])
+
+
 @query(
     "rollout_documents",
     _DUE
@@ -50,10 +57,8 @@ def rollout_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
                  count(*) OVER (PARTITION BY run, save_step) AS num_samples FROM due""",
 )
 def rollout_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested documents per run and save step, written, read back and flattened."""
-    due = ops.due_batches(b.rollouts(spark, sf_dir))
-    placed = due.withColumn("position", F.pmod("step", F.lit(5)) * 20 + F.col("idx"))
-    documents = ops.nest_rollouts(placed.withColumn("of_run", F.col("run")), by=["run"])
+    """Nested documents written as JSON lines, read back and flattened."""
+    documents = _documents(spark, sf_dir)
     path = new_path(spark, "documents")
     write_jsonl(documents, path)
     stored = spark.read.schema(documents.schema).json(path)
@@ -74,19 +79,18 @@ def rollout_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "read_step_documents",
     _DUE
-    + """ SELECT save_step AS document_step, step, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum
-          FROM due WHERE run = 'run1' GROUP BY save_step, step""",
+    + """ SELECT run, save_step AS document_step, step, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum
+          FROM due GROUP BY run, save_step, step""",
 )
 def read_step_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run's documents, one file per save step, each record read back."""
-    due = ops.due_batches(b.rollouts(spark, sf_dir)).where(F.col("run") == "run1")
-    placed = due.withColumn("position", F.pmod("step", F.lit(5)) * 20 + F.col("idx"))
-    documents = ops.nest_rollouts(placed, by=["run"])
+    """One file per document, as runs leave them behind, each record read back."""
     path = new_path(spark, "steps")
-    # Every task writes one file per folder, and a folder holds one document.
-    documents.repartition("save_step").withColumn("at", F.col("save_step")).write.partitionBy("at").json(path)
-    records = read_rollout_documents(spark, path)
-    return records.groupBy("document_step", "step").agg(
+    documents = _documents(spark, sf_dir)
+    folders = documents.withColumns({"of": F.col("run"), "at": F.col("save_step"), "no": F.col("part")})
+    # A folder holds one document, and so one file.
+    folders.repartition("run", "save_step", "part").write.partitionBy("of", "at", "no").json(path)
+    records = read_rollout_documents(spark, path, documents.schema)
+    return records.groupBy(F.col("of_run").alias("run"), "document_step", "step").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum")
     )
 
