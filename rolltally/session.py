@@ -30,10 +30,15 @@ def configure(builder: SparkSession.Builder, **extra: str) -> SparkSession.Build
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and hand-over tables that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local mode) a temporary folder is made, one per application.
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where all tasks
+    see the same disk, a temporary folder is made if that is unset, one per application.
     """
-    return spark.conf.get(CHECKPOINT_CONF, None) or _own_dir(spark.sparkContext.applicationId)
+    named = spark.conf.get(CHECKPOINT_CONF, None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_CONF} to a folder that all executors share.")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 @cache

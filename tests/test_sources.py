@@ -170,12 +170,14 @@ def test_output_names(spark):
 
 
 def test_shared_folder_comes_from_the_session(tmp_path):
-    def session(folder):
+    def session(folder, master="local[4]"):
         return SimpleNamespace(
             conf=SimpleNamespace(get=lambda key, default: {CHECKPOINT_CONF: folder}.get(key, default)),
-            sparkContext=SimpleNamespace(applicationId="app-1"),
+            sparkContext=SimpleNamespace(applicationId="app-1", master=master),
         )
 
     assert shared_dir(session(str(tmp_path))) == str(tmp_path)
     assert new_path(session(f"{tmp_path}/"), "x").startswith(f"{tmp_path}/x-")
     assert shared_dir(session(None)) == shared_dir(session(None)) != str(tmp_path)
+    with pytest.raises(ValueError, match="all executors share"):
+        shared_dir(session(None, "yarn"))
