@@ -54,17 +54,15 @@ class Lines:
         n = len(self.codes)
         breaks = np.flatnonzero(self.codes == 10)
         start = np.sort(np.concatenate([borders[:-1], breaks + 1]))
-        text = np.searchsorted(borders, start, "right") - 1
-        # Empty texts share their border with the next: number their starts one by one.
-        text[np.searchsorted(start, borders[:-1], "left")] = np.searchsorted(borders, borders[:-1], "right") - 1
-        end = np.minimum(np.concatenate([start[1:], [n]]), n)
+        end = np.concatenate([start[1:], [n]])
         inside = np.flatnonzero(IN_WORD[np.minimum(self.codes, 255)] | (self.codes > 255))
         low, high = np.searchsorted(inside, start), np.searchsorted(inside, end)
-        keep = (high > low) & (text < len(offsets) - 1)
-        first_line = np.searchsorted(start, borders[:-1], "left")
-        self.text = text[keep]
-        self.number = (np.arange(len(start)) - first_line[np.minimum(text, len(first_line) - 1)])[keep]
-        self.start, self.end = inside[low[keep]], inside[high[keep] - 1] + 1
+        keep = high > low
+        start, low, high = start[keep], low[keep], high[keep]
+        # Where empty texts or lines begin at the same place, the line is the last one's.
+        self.text = np.searchsorted(borders, start, "right") - 1
+        self.number = np.searchsorted(breaks, start) - np.searchsorted(breaks, borders[self.text])
+        self.start, self.end = inside[low], inside[high - 1] + 1
         self.length = self.end - self.start
         values = _values(self.codes)
         self.prefix = prefix_hash(values, _CHAR_BASE)
@@ -252,8 +250,8 @@ def banded_distances(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     """
     if not pairs:
         return np.zeros(0, dtype=np.int64)
-    longer = [np.frombuffer(max(p, key=len).encode("utf-32-le"), dtype="<u4") for p in pairs]
-    shorter = [np.frombuffer(min(p, key=len).encode("utf-32-le"), dtype="<u4") for p in pairs]
+    ordered = [p if len(p[0]) >= len(p[1]) else p[::-1] for p in pairs]
+    longer, shorter = ([np.frombuffer(p[k].encode("utf-32-le"), dtype="<u4") for p in ordered] for k in (0, 1))
     rows, columns = np.array([len(x) for x in longer]), np.array([len(x) for x in shorter])
     width = 2 * edits + 1
     pattern = np.zeros((int(rows.max()) + width + 1, len(pairs)), dtype=np.uint32)
