@@ -25,13 +25,13 @@ IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[list(SEPARATORS)] = False
 
 
-def handover(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back.
+def handover(spark: SparkSession, df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` under the shared folder (or to ``path``) and read it back.
 
     This cuts the lineage: lost executors cost no recomputation of what is written, and the
     shuffle files behind it are no longer referred to and may go.
     """
-    path = new_path(spark, label)
+    path = path or new_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
     del df
@@ -45,6 +45,12 @@ def named(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a hand-over table that nothing will read again: what was made of it is written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers started from another folder import this package.
 

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolltally.llm.common import handover, mix, named, row_key, text_chunks, window_hash, word_hashes
+from rolltally.llm.common import discard, handover, mix, named, row_key, text_chunks, window_hash, word_hashes
+from rolltally.session import new_path
 
 ANCHOR_WORDS = 16
 BATCH_BYTES = 1 << 23
@@ -70,8 +71,8 @@ class Windows:
 def _batch(first: np.ndarray, second: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Rows for counting; of rows that share a key, the first stands for all.
 
-    ``done`` marks rows that are known to repeat and take no further part, ``many`` the rows
-    that stand for several.
+    ``done`` marks rows that are known to repeat and take no further part (they lose their
+    keys), ``many`` the rows that stand for several.
     """
     order = np.lexsort((second, first))
     first, second, key, pos = first[order], second[order], key[order], pos[order]
@@ -81,6 +82,7 @@ def _batch(first: np.ndarray, second: np.ndarray, key: np.ndarray, pos: np.ndarr
     many = np.zeros(len(first), dtype=bool)
     many[:-1] = same
     many &= ~done
+    first[done], second[done] = 0, 0
     arrays = [pa.array(first), pa.array(second), pa.array(key), pa.array(pos.astype(np.int32)), pa.array(many), pa.array(done)]
     return pa.RecordBatch.from_arrays(arrays, names=["h", "h2", "row_key", "pos", "many", "done"])
 
@@ -148,10 +150,18 @@ def _neighbours(batches):
 
 
 def _repeated(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    """Positions (``row_key``, ``pos``) of the rows whose key occurs more than once."""
+    """Positions (``row_key``, ``pos``) of the rows whose key occurs more than once.
+
+    The rows are written once, as they serve both the counting and what is known without it,
+    and deleted when the positions are.
+    """
+    path = new_path(spark, label)
+    rows = handover(spark, rows, label, path)
     open_rows = rows.where("not done").drop("done").repartition("h").sortWithinPartitions("h", "h2")
     known = rows.where("done").select("row_key", "pos")
-    return handover(spark, open_rows.mapInArrow(_neighbours, "row_key long, pos int").union(known), label)
+    found = handover(spark, open_rows.mapInArrow(_neighbours, "row_key long, pos int").union(known), f"repeated-{label}")
+    discard(spark, path)
+    return found
 
 
 def _positions(rows: DataFrame) -> DataFrame:
@@ -168,11 +178,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, doc_i
     if window < ANCHOR_WORDS:
         raise ValueError(f"Windows have at least {ANCHOR_WORDS} words.")
     source = docs.select(row_key(docs, doc_id, text).alias("row_key"), named(docs, text).cast("string").alias("text"))
-    # Written once, as the rows serve both the counting and what is known without it.
-    anchors = handover(spark, _anchor_rows(source, window, ANCHOR_WORDS), "anchors")
-    at_anchor = _repeated(spark, anchors, "repeated-anchors")
-    candidates = handover(spark, _window_rows(source.join(_positions(at_anchor), "row_key"), window, ANCHOR_WORDS), "windows")
-    at_window = _repeated(spark, candidates, "repeated-windows")
+    at_anchor = _repeated(spark, _anchor_rows(source, window, ANCHOR_WORDS), "anchors")
+    at_window = _repeated(spark, _window_rows(source.join(_positions(at_anchor), "row_key"), window, ANCHOR_WORDS), "windows")
 
     def cut(batches):
         for batch in batches:
