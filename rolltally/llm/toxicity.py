@@ -183,7 +183,8 @@ def feature_log_odds(sample: DataFrame, max_features: int = MAX_FEATURES) -> Dat
     rows = sample.select("text", F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic")).mapInArrow(count, "feature string, n0 long, n1 long, docs long")
     counted = rows.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("docs").alias("docs"))
     kind = F.when(F.col("feature").endswith("$"), F.lit(0)).otherwise(F.length("feature"))
-    counted = counted.withColumn("kind", kind)
+    # Written, so that the texts are counted once for both the sums and the features.
+    counted = handover(sample.sparkSession, counted.withColumn("kind", kind), "feature-counts")
     totals = counted.groupBy("kind").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
     joined = counted.where(F.col("docs") >= MIN_DOCS).join(F.broadcast(totals), "kind")  # four kinds, four rows
     prior = F.lit(PRIOR_TOKENS) * (F.col("n0") + F.col("n1")) / (F.col("t0") + F.col("t1"))
