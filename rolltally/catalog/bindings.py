@@ -186,7 +186,7 @@ def choice_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choice_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as responses; later ones replace earlier ones of the same index."""
+    """Events as responses, two per index; later ones replace earlier ones."""
     letter = F.substring(F.lit("ABCDZ"), (F.pmod("user_id", F.lit(5)) + 1).cast("int"), F.lit(1))
     lit = F.lit
     text = (
@@ -197,7 +197,7 @@ def choice_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(lit("no idea"))
     )
     return table(spark, sf_dir, "events").select(
-        F.pmod("event_id", F.lit(7000)).alias("row_index"),
+        div("event_id", 2).alias("row_index"),
         text.alias("response"),
         F.col("event_id").alias("arrival"),
     )
@@ -221,7 +221,7 @@ responses AS (
            WHEN 'purchase' THEN '<answer>' || lower(letter) || '</answer>'
            WHEN 'signup' THEN 'perhaps ' || letter || ' it is'
            ELSE 'no idea' END AS response
-  FROM (SELECT event_id % 7000 AS row_index, event_type, event_id,
+  FROM (SELECT event_id // 2 AS row_index, event_type, event_id,
                substr('ABCDZ', CAST(user_id % 5 AS INTEGER) + 1, 1) AS letter FROM events)
   QUALIFY row_number() OVER (PARTITION BY row_index ORDER BY event_id DESC) = 1
 ),

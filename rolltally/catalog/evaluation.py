@@ -13,7 +13,7 @@ from rolltally.operators import benchmarks, grading
 from rolltally.operators.joins import last_per_key
 from rolltally.operators.sampling import checkpoint_sweep, prefixed_metrics, union_named
 from rolltally.plans.benchmark_eval import choice_benchmark, evaluate
-from rolltally.plans.math_eval import evaluate_math
+from rolltally.plans.math_eval import evaluate_benchmark, evaluate_math
 
 
 @query(
@@ -84,6 +84,46 @@ def math_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate_math(b.samples(spark, sf_dir), b.VAL_N).metrics, *_RATES)
 
 
+_STEPS = (0, 25, 50, 75, 100)
+
+
+@query(
+    "benchmark_run_metrics",
+    f"""WITH {b.PROBLEMS},
+bench AS (SELECT c_custkey - 1 AS problem_id FROM customer WHERE c_custkey % 10 <> 0),
+runs AS (SELECT 'checkpoint-' || CAST(unnest([0, 25, 50, 75, 100]) AS VARCHAR) AS run),
+complete AS (
+  SELECT r.run, coalesce(num_correct, 0) AS num_correct, coalesce(num_formatted, 0) AS num_formatted,
+         coalesce(has_correct, false) AS has_correct, coalesce(majority_correct, false) AS majority_correct
+  FROM runs r CROSS JOIN bench LEFT JOIN problems p ON p.run = r.run AND p.problem_id = bench.problem_id
+),
+strays AS (
+  SELECT run, count(*) AS num_without_gold FROM samples
+  WHERE problem_id NOT IN (SELECT problem_id FROM bench) GROUP BY run
+)
+SELECT run, count(*) AS num_problems, count(*) FILTER (has_correct) AS pass_at_n,
+       CAST(sum(num_correct) AS BIGINT) AS average_at_n, count(*) FILTER (majority_correct) AS majority_vote_at_n,
+       CAST(sum(num_formatted) AS BIGINT) AS formatted_count, count(*) * {b.VAL_N} AS total_solutions,
+       round(count(*) FILTER (has_correct) / count(*) * 100, 6) AS pass_at_n_pct,
+       round(sum(num_correct) / (count(*) * {b.VAL_N}) * 100, 6) AS average_at_n_pct,
+       round(count(*) FILTER (majority_correct) / count(*) * 100, 6) AS majority_vote_at_n_pct,
+       round(sum(num_formatted) / (count(*) * {b.VAL_N}) * 100, 6) AS format_rate,
+       coalesce(any_value(num_without_gold), 0) AS num_without_gold
+FROM complete LEFT JOIN strays USING (run) GROUP BY run""",
+)
+def benchmark_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the problems of a benchmark: most have no samples, some samples no problem."""
+    problem = F.col("c_custkey") - 1
+    benchmark = (
+        b.table(spark, sf_dir, "customer")
+        .where(F.pmod("c_custkey", F.lit(10)) != 0)
+        .select(problem.alias("problem_id"), F.pmod(problem, F.lit(3)).cast("string").alias("gt_answer"))
+    )
+    generations = b.samples(spark, sf_dir).drop("gold")
+    metrics = evaluate_benchmark(generations, benchmark, [f"checkpoint-{step}" for step in _STEPS], b.VAL_N)
+    return rounded(metrics, *_RATES)
+
+
 _RUNNING = f"""WITH {b.PROBLEMS},
 running AS (
   SELECT run, problem_id, count(*) OVER w AS seen,
@@ -111,24 +151,33 @@ def progress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "nested_results",
-    f"""WITH {b.SAMPLES}
-        SELECT run, problem_id, count(*) AS val_n,
+    f"""WITH {b.PROBLEMS}
+        SELECT s.run, s.problem_id, CAST(s.sample_idx // 256 AS INTEGER) AS part, count(*) AS num_generations,
                string_agg(shown, '|' ORDER BY sample_idx) AS predicted_answers,
                string_agg(text, '|' ORDER BY sample_idx) AS full_generations,
-               CAST(count(*) FILTER (is_correct) AS BIGINT) AS num_correct,
+               any_value(p.num_correct) AS num_correct, any_value(p.has_correct) AS pass_at_n,
+               any_value(p.majority_correct) AS majority_vote_correct, {b.VAL_N} AS val_n, min(gold) AS ground_truth,
+               CAST(s.problem_id AS VARCHAR) AS id,
                min_by(shown, sample_idx) AS predicted_answer, min_by(text, sample_idx) AS full_generation,
                min_by(is_correct, sample_idx) AS correct, min_by(is_formatted, sample_idx) AS formatted
-        FROM samples GROUP BY run, problem_id""",
+        FROM samples s JOIN problems p ON p.run = s.run AND p.problem_id = s.problem_id
+        GROUP BY s.run, s.problem_id, part""",
 )
 def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = evaluate_math(b.samples(spark, sf_dir), b.VAL_N).nested
     return nested.select(
         "run",
         "problem_id",
-        F.size("generations").cast("long").alias("val_n"),
+        "part",
+        F.size("generations").cast("long").alias("num_generations"),
         F.array_join("generations.predicted_answer", "|").alias("predicted_answers"),
         F.array_join("generations.full_generation", "|").alias("full_generations"),
-        F.size(F.filter("generations", lambda g: g["correct"])).cast("long").alias("num_correct"),
+        "num_correct",
+        "pass_at_n",
+        "majority_vote_correct",
+        "val_n",
+        "ground_truth",
+        "id",
         "predicted_answer",
         "full_generation",
         "correct",
@@ -281,13 +330,13 @@ def _loose(prompt: Column, response: Column, ids: Column, kwargs: Column) -> Col
 
 # The last answer to a prompt text counts for every example with that text.
 _ANSWERED = """answered AS (
-  SELECT d.doc_id AS key, a.quality, a.toxic, a.doc_id IS NULL AS missing
+  SELECT d.doc_id AS key, d.text, a.quality, a.toxic, a.doc_id IS NULL AS missing
   FROM documents d LEFT JOIN (
     SELECT text, doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)
     QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1) a ON a.text = d.text
 ),
 rules AS (
-  SELECT coalesce(quality = 1, false) AS s1, coalesce(toxic = 0, false) AS s2, NOT missing AS l1, missing
+  SELECT coalesce(quality = 1, false) AS s1, coalesce(toxic = 0, false) AS s2, NOT missing AS l1, missing, text
   FROM answered
 ),
 levels AS (
@@ -296,7 +345,7 @@ levels AS (
          avg(CAST(l1 AND s2 AS DOUBLE)) AS loose_prompt_level,
          sum(l1::INT + s2::INT) / (2 * count(*)) AS loose_instruction_level,
          count(*) AS num_prompts, 2 * count(*) AS num_instructions,
-         nullif(count(*) FILTER (missing), 0) AS missing_prompts
+         nullif(count(DISTINCT text) FILTER (missing), 0) AS missing_prompts
   FROM rules
 )"""
 
@@ -440,13 +489,13 @@ def batch_function_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "responses_last_wins",
-    """SELECT event_id % 7000 AS row_index, max(event_id) AS arrival,
+    """SELECT event_id // 2 AS row_index, max(event_id) AS arrival,
               max_by(event_type, event_id) AS event_type
        FROM events GROUP BY 1""",
 )
 def responses_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gathered responses: the last one per index, in index order."""
     gathered = b.table(spark, sf_dir, "events").select(
-        F.pmod("event_id", F.lit(7000)).alias("row_index"), F.col("event_id").alias("arrival"), "event_type"
+        b.div("event_id", 2).alias("row_index"), F.col("event_id").alias("arrival"), "event_type"
     )
     return last_per_key(gathered, ["row_index"], "arrival").orderBy("row_index")

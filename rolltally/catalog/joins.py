@@ -37,7 +37,7 @@ def _by_prompt(spark: SparkSession, sf_dir: str, keep_missing: bool) -> DataFram
         F.col("doc_id").alias("key"),
     )
     return joins.attach_responses_by_prompt(
-        documents.select("doc_id", "prompt"), responses, "key", ["doc_id"], keep_missing, hot_rows=3, salts=4
+        documents.select("doc_id", "prompt"), responses, "key", ["doc_id"], keep_missing
     )
 
 
@@ -61,13 +61,13 @@ def answered_prompts_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "zipped_by_index",
-    """SELECT doc_id AS idx, length(text) AS prompt_length, url FROM documents JOIN pages ON page_id = doc_id""",
+    """SELECT doc_id AS idx, length(text) AS prompt_length, lang FROM documents""",
 )
 def zipped_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = b.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("idx"), F.length("text").cast("long").alias("prompt_length")
     )
-    right = b.table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), "url")
+    right = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "lang")
     return joins.zip_by_index(left, right, ["idx"])
 
 

@@ -62,7 +62,7 @@ def shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards written from ranges of documents, in name order, indexed over all of them."""
     folder = new_path(spark, "shards")
     documents = b.table(spark, sf_dir, "documents").select("doc_id", "text")
-    documents.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(folder)
+    documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(folder)
     indexed = datasets.with_global_index(datasets.read_shards(spark, folder))
     return indexed.select("doc_id", "row_index", F.length("text").cast("long").alias("num_chars"))
 
@@ -182,20 +182,23 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "written_evaluation",
     f"""WITH {b.SAMPLES}
-        SELECT run, problem_id, count(*) AS val_n, string_agg(shown, '|' ORDER BY sample_idx) AS predicted_answers
-        FROM samples GROUP BY run, problem_id""",
+        SELECT run, problem_id, CAST(sample_idx // 256 AS INTEGER) AS part, count(*) AS num_generations,
+               string_agg(shown, '|' ORDER BY sample_idx) AS predicted_answers, {b.VAL_N} AS val_n
+        FROM samples GROUP BY run, problem_id, part""",
 )
 def written_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detailed results beside the summary, read back from the files."""
     path = new_path(spark, "evaluation")
     write_evaluation(evaluate_math(b.samples(spark, sf_dir), b.VAL_N), path, {"dataset": "events"})
-    schema = """run string, problem_id long, part int, generations array<struct<predicted_answer: string,
+    schema = """run string, problem_id long, part int, val_n int, generations array<struct<predicted_answer: string,
                 full_generation: string, correct: boolean, formatted: boolean>>"""
     stored = spark.read.schema(schema).json(f"{path}/results")
     return stored.select(
         "run",
         "problem_id",
-        F.size("generations").cast("long").alias("val_n"),
+        "part",
+        "val_n",
+        F.size("generations").cast("long").alias("num_generations"),
         F.array_join("generations.predicted_answer", "|").alias("predicted_answers"),
     )
 
@@ -207,20 +210,16 @@ def written_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM samples GROUP BY run""",
 )
 def results_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries of five runs appended one after the other to one log."""
+    """Summaries of all runs appended to one log."""
     path = new_path(spark, "log")
     results = problem_results(b.samples(spark, sf_dir))
     sinks.append_summary(results, None)
-    for step in (0, 25, 50, 75, 100):
-        summary = (
-            results.where(F.col("run") == f"checkpoint-{step}")
-            .groupBy("run")
-            .agg(
-                F.sum("num_samples").alias("num_samples"),
-                F.round(F.sum("num_formatted") / F.sum("num_samples"), 6).alias("format_rate"),
-            )
-        )
-        sinks.append_summary(summary, path)
+    # All runs are summed up in one pass; each appends its own line.
+    summaries = results.groupBy("run").agg(
+        F.sum("num_samples").alias("num_samples"),
+        F.round(F.sum("num_formatted") / F.sum("num_samples"), 6).alias("format_rate"),
+    )
+    sinks.append_summary(summaries, path)
     return spark.read.schema("run string, num_samples long, format_rate double").json(path)
 
 

@@ -19,13 +19,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolltally.functions.fixed_values import (
+    ANSWER_LINE_PREFIXES,
     ANSWER_PATTERNS,
     BOXED,
     CHOICE_LETTERS,
     CHOICE_PATTERNS,
     CHOICE_TAIL,
+    FRACTION_TEXT,
     LINE_BREAKS,
     NO_ANSWER,
+    QUOTIENT_TEXT,
+    RATIO_TEXT,
     THINK_END,
     WHITESPACE,
 )
@@ -148,7 +152,7 @@ def _last_line(body: Column) -> Column:
 
 
 def _without_cue(line: Column) -> Column:
-    for prefix in (r"^\*\*Answer:\*\*\s*", r"^Answer:\s*"):
+    for prefix in ANSWER_LINE_PREFIXES:
         line = F.regexp_replace(line, "(?iuU)" + prefix, "")
     return null_if_empty(line)
 
@@ -247,47 +251,85 @@ def same_without_whitespace(left: Column, right: Column) -> Column:
     return let(plain(left), lambda a: (a != "") & (a == plain(right)))
 
 
-_DECIMAL = r"-?\d+(?:\.\d+)?"
-_RATIO = rf"(?U)^[\s\x1c-\x1f]*({_DECIMAL})[\s\x1c-\x1f]*:[\s\x1c-\x1f]*({_DECIMAL})[\s\x1c-\x1f]*\z"
-
-
 def ratio_to_fraction(answer: Column) -> Column:
     """Rewrite ``a:b`` of two decimals as ``\\frac{a}{b}``; leave everything else."""
-    rewritten = F.regexp_replace(answer, _RATIO, r"\\frac{$1}{$2}")
+    rewritten = F.regexp_replace(answer, RATIO_TEXT, r"\\frac{$1}{$2}")
     return F.when(F.contains(answer, F.lit(":")), rewritten).otherwise(answer)
 
 
-# Numbers are compared exactly as decimal(18,6): up to 12 digits before the point and
-# 6 behind it, whose cross products still fit. Longer ones are compared as text.
-_NUMBER = r"\d{1,12}(?:\.\d{1,6})?"
-_FRACTION = rf"^(-?)\\[dt]?frac\{{({_NUMBER})\}}\{{({_NUMBER})\}}\z"
-_QUOTIENT = rf"^-?{_NUMBER}(?:/{_NUMBER})?\z"
-_EXACT = "decimal(18,6)"
+def _digits(number: Column) -> Column:
+    """Digits of an unsigned plain number without its point."""
+    return F.replace(number, F.lit("."), F.lit(""))
+
+
+def _decimals(number: Column) -> Column:
+    """How many digits stand behind the point."""
+    return F.when(F.contains(number, F.lit(".")), F.length(F.substring_index(number, ".", -1))).otherwise(F.lit(0))
+
+
+def _canonical(number: Column) -> Column:
+    """Unsigned number without zeros that mean nothing; zero is the empty text."""
+    short = F.when(
+        F.contains(number, F.lit(".")), F.rtrim(F.rtrim(number, F.lit("0")), F.lit("."))
+    ).otherwise(number)
+    return F.ltrim(short, F.lit("0"))
+
+
+def _same_product(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether a * b equals c * d, for unsigned plain numbers.
+
+    Digits are multiplied as whole numbers of up to 38 digits and aligned as text; null if
+    a product is longer.
+    """
+
+    def product(x: Column, y: Column, more: Column) -> Column:
+        value = F.try_multiply(_digits(x).try_cast("decimal(38,0)"), _digits(y).try_cast("decimal(38,0)"))
+        zeros = F.repeat(F.lit("0"), F.greatest(more, F.lit(0)))
+        return F.ltrim(F.concat(value.cast("string"), zeros), F.lit("0"))
+
+    behind = (_decimals(c) + _decimals(d)) - (_decimals(a) + _decimals(b))
+    return product(a, b, behind) == product(c, d, -behind)
 
 
 def _same_value(left: Column, right: Column) -> Column:
     """Whether two bare texts are numbers or fractions of equal value; null if not both
-    are numbers."""
+    are numbers.
+
+    Signs may stand before a fraction and in both of its parts. Numbers of any length are
+    compared digit by digit, fractions by cross products.
+    """
 
     def spelled(bare: Column) -> Column:
-        fraction = F.regexp_replace(bare, _FRACTION, "$1$2/$3")
+        fraction = F.regexp_replace(bare, FRACTION_TEXT, "$1$2/$3")
         return F.when(F.contains(bare, F.lit("frac{")), fraction).otherwise(bare)
 
-    def part(quotient: Column, at: int) -> Column:
-        return F.get(F.split(quotient, "/"), F.lit(at)).try_cast(_EXACT)
-
-    def crossed(a: Column, b: Column) -> Column:
-        one, zero = F.lit(1).cast(_EXACT), F.lit(0).cast(_EXACT)
-        below_a, below_b = F.coalesce(part(a, 1), one), F.coalesce(part(b, 1), one)
-        defined = (below_a != zero) & (below_b != zero)
-        return defined & (part(a, 0) * below_b == part(b, 0) * below_a)
+    def unsigned(quotient: Column) -> Column:
+        return F.translate(quotient, "+-,", "")
+
+    def negative(quotient: Column) -> Column:
+        signs = F.length(quotient) - F.length(F.replace(quotient, F.lit("-"), F.lit("")))
+        return F.pmod(signs, F.lit(2)) == 1
+
+    def compared(a: Column, b: Column) -> Column:
+        above_a, above_b = F.substring_index(unsigned(a), "/", 1), F.substring_index(unsigned(b), "/", 1)
+        one = F.lit("1")
+        below_a = F.when(F.contains(a, F.lit("/")), F.substring_index(unsigned(a), "/", -1)).otherwise(one)
+        below_b = F.when(F.contains(b, F.lit("/")), F.substring_index(unsigned(b), "/", -1)).otherwise(one)
+        same_parts = (_canonical(above_a) == _canonical(above_b)) & (_canonical(below_a) == _canonical(below_b))
+        both_whole = ~F.contains(a, F.lit("/")) & ~F.contains(b, F.lit("/"))
+        same_size = F.when(both_whole | same_parts, same_parts).otherwise(
+            F.coalesce(_same_product(above_a, below_b, above_b, below_a), F.lit(False))
+        )
+        defined = (_canonical(below_a) != "") & (_canonical(below_b) != "")
+        same_sign = (negative(a) == negative(b)) | (_canonical(above_a) == "")
+        return defined & same_size & same_sign
 
     def both_numbers(a: Column, b: Column) -> Column:
-        return F.regexp_like(a, F.lit(_QUOTIENT)) & F.regexp_like(b, F.lit(_QUOTIENT))
+        return F.regexp_like(a, F.lit(QUOTIENT_TEXT)) & F.regexp_like(b, F.lit(QUOTIENT_TEXT))
 
     return let(
         spelled(left),
-        lambda a: let(spelled(right), lambda b: F.when(both_numbers(a, b), crossed(a, b))),
+        lambda a: let(spelled(right), lambda b: F.when(both_numbers(a, b), compared(a, b))),
     )
 
 
@@ -299,15 +341,16 @@ def same_number(left: Column, right: Column) -> Column:
 def grade(predicted: Column, gold: Column) -> Column:
     """Whether a predicted answer equals the gold one; false for a missing prediction.
 
-    Equal as text without ``$``, blanks and case, or equal in value.
+    Equal as text without ``$``, blanks and case, or equal in value. Nothing equals an
+    empty answer, not even an empty gold one.
     """
 
     def compare(a: Column, b: Column) -> Column:
-        same_text = F.coalesce(F.lower(a) == F.lower(b), F.lit(False))
+        same_text = F.coalesce((F.lower(a) == F.lower(b)) & (a != ""), F.lit(False))
         return same_text | F.coalesce(_same_value(a, b), F.lit(False))
 
     bare = let(_bare(predicted), lambda a: let(_bare(gold), lambda b: compare(a, b)))
-    return F.when(predicted == gold, F.lit(True)).otherwise(bare)
+    return F.when((predicted == gold) & (_bare(gold) != ""), F.lit(True)).otherwise(bare)
 
 
 def correctness_reward(completion: Column, gold: Column) -> Column:

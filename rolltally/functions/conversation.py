@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolltally.functions.text import require_text
+
 
 @dataclass(frozen=True)
 class ChatTemplate:
@@ -31,12 +33,19 @@ def render_chat(
     add_generation_marker: bool = False,
     enable_thinking: bool = True,
 ) -> Column:
-    """Text of a conversation, optionally ending with the marker that asks for a reply."""
+    """Text of a conversation, optionally ending with the marker that asks for a reply.
+
+    A message without content fails the job: leaving out its turn would change who said what.
+    """
     before, _, after = template.prefix.partition("{role}")
     turns = F.transform(
         messages,
         lambda m: F.concat(
-            F.lit(before), m["role"], F.lit(after), m["content"], F.lit(template.suffix)
+            F.lit(before),
+            m["role"],
+            F.lit(after),
+            require_text(m["content"], "content"),
+            F.lit(template.suffix),
         ),
     )
     text = F.array_join(turns, "")

@@ -81,6 +81,19 @@ ANSWER_PATTERNS = (
     r"Thus, the correct answer is\s*(.+?)\s*$",
 )
 
+# Taken off the start of a last line that serves as the answer.
+ANSWER_LINE_PREFIXES = (r"^\*\*Answer:\*\*\s*", r"^Answer:\s*")
+
+# Two decimals with a colon between them, and white space around.
+DECIMAL_TEXT = r"-?\d+(?:\.\d+)?"
+BLANK_TEXT = r"[\s\x1c-\x1f]*"
+RATIO_TEXT = rf"(?U)^{BLANK_TEXT}({DECIMAL_TEXT}){BLANK_TEXT}:{BLANK_TEXT}({DECIMAL_TEXT}){BLANK_TEXT}\z"
+
+# Plain numbers, with or without thousands separators, and their fractions.
+NUMBER_TEXT = r"(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|\.\d+)"
+FRACTION_TEXT = rf"^([+-]?)\\[dt]?frac\{{([+-]?{NUMBER_TEXT})\}}\{{([+-]?{NUMBER_TEXT})\}}\z"
+QUOTIENT_TEXT = rf"^[+-]{{0,2}}{NUMBER_TEXT}(?:/[+-]?{NUMBER_TEXT})?\z"
+
 # Tried in this order on the upper-cased end of a response.
 CHOICE_PATTERNS = (
     r"\\BOXED\{\s*([A-Z])\s*\}",

@@ -54,7 +54,7 @@ def keep_top_k(student: Column, teacher: Column, k: int) -> Column:
     Ties go to the smaller token id.
     """
     cells = F.transform(
-        F.arrays_zip(teacher.alias("t"), student.alias("s")),
+        F.arrays_zip(teacher.alias("t"), same_vocabulary(student, teacher).alias("s")),
         lambda cell, i: F.struct(
             (-cell["t"]).alias("order"), i.alias("token_id"), cell["s"].alias("s"), cell["t"].alias("t")
         ),
@@ -89,13 +89,28 @@ def divergence_cell(student: Column, teacher: Column, beta: float) -> Column:
 def divergence_cells(
     student: Column, teacher: Column, beta: float, clip: float | None = None
 ) -> Column:
-    """Array of cells, each capped at ``clip`` (negative cells stay untouched)."""
+    """Array of cells, each capped at ``clip`` (negative and null cells stay untouched)."""
 
     def cell(s: Column, t: Column) -> Column:
-        value = divergence_cell(s, t, beta)
-        return value if clip is None else F.least(value, F.lit(float(clip)))
+        return capped(divergence_cell(s, t, beta), clip)
 
-    return F.zip_with(student, teacher, cell)
+    return F.zip_with(same_vocabulary(student, teacher), teacher, cell)
+
+
+def capped(value: Column, clip: float | None) -> Column:
+    """``value``, at most ``clip``; null stays null."""
+    if clip is None:
+        return value
+    return F.when(value > float(clip), F.lit(float(clip))).otherwise(value)
+
+
+def same_vocabulary(student: Column, teacher: Column) -> Column:
+    """The student's array; fails the job where the teacher's has another length."""
+    message = F.concat(
+        F.lit("Vocabularies differ in size: "), F.size(student).cast("string"), F.lit(" and "), F.size(teacher).cast("string")
+    )
+    differ = F.size(student) != F.size(teacher)
+    return F.when(differ, F.raise_error(message).cast("array<double>")).otherwise(student)
 
 
 def array_sum(values: Column) -> Column:

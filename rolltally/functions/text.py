@@ -50,7 +50,7 @@ def from_position(text: Column, start: Column) -> Column:
 
 def require_text(column: Column, name: str) -> Column:
     """``column``, failing the job on a null where text is required."""
-    message = F.lit(f"Column '{name}' must be a string, got null")
+    message = F.lit(f"No text in '{name}'")
     return F.when(column.isNotNull(), column).otherwise(F.raise_error(message).cast("string"))
 
 

@@ -93,7 +93,10 @@ def strict_and_loose_metrics(
     loose: str = "loose_list",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Both scorings in one pass, and the number of unanswered prompts if any."""
+    """Both scorings in one pass, and the number of unanswered prompts if any.
+
+    A prompt text that several rows share counts once among the unanswered ones.
+    """
 
     def levels(name: str, label: str) -> list[Column]:
         held, asked = F.size(F.filter(name, lambda x: x)), F.size(F.col(name))
@@ -107,7 +110,7 @@ def strict_and_loose_metrics(
         *levels(loose, "loose"),
         F.count(F.lit(1)).alias("num_prompts"),
         F.coalesce(F.sum(F.size(strict)), F.lit(0)).cast("long").alias("num_instructions"),
-        F.nullif(count_when(F.col("missing")), F.lit(0)).alias("missing_prompts"),
+        F.nullif(F.count_distinct(F.when(F.col("missing"), F.xxhash64("prompt"))), F.lit(0)).alias("missing_prompts"),
     )
 
 

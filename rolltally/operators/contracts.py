@@ -25,31 +25,25 @@ def require_columns(
     teacher_reference_column: str | None = None,
     role: str = "dataset",
 ) -> DataFrame:
-    """Fail unless the columns a dataset format needs are there; returns ``df``."""
-    available = set(df.columns)
-    required = {prompt_column}
-    if fmt == MATH_FORMAT:
-        required.add(solution_column)
-    elif not available & {teacher_prompt_column, teacher_reference_column}:
-        raise ValueError(
-            f"The {role} needs a teacher prompt column ('{teacher_prompt_column}') or a reference "
-            f"column ('{teacher_reference_column}'). Available columns: {sorted(available)}"
-        )
-    return _require(df, required, fmt, role)
+    """Fail unless the columns a dataset format needs are there; returns ``df``.
+
+    Each format has groups of columns of which one must exist.
+    """
+    prompt = (prompt_column,)
+    teacher = tuple(c for c in (teacher_prompt_column, teacher_reference_column) if c)
+    groups = {MATH_FORMAT: (prompt, (solution_column,))}.get(fmt, (prompt, teacher))
+    return _require(df, groups, fmt, role)
 
 
 def require_prompt_column(df: DataFrame, fmt: str, prompt_column: str, role: str = "dataset") -> DataFrame:
     """Contract of the shared-prompt case, where only the prompt is read."""
-    return _require(df, {prompt_column}, fmt, role)
+    return _require(df, ((prompt_column,),), fmt, role)
 
 
-def _require(df: DataFrame, required: Iterable[str], fmt: str, role: str) -> DataFrame:
-    missing = missing_columns(df, required)
-    if missing:
-        raise ValueError(
-            f"{role.capitalize()} is missing required columns for format '{fmt}': {missing}. "
-            f"Available columns: {sorted(df.columns)}"
-        )
+def _require(df: DataFrame, groups: Iterable[tuple[str, ...]], fmt: str, role: str) -> DataFrame:
+    absent = [" or ".join(map(str, group)) for group in groups if not set(group) & set(df.columns)]
+    if absent:
+        raise ValueError(f"The {fmt} {role} lacks {', '.join(sorted(absent))}; it has {', '.join(sorted(df.columns))}.")
     return df
 
 
@@ -62,16 +56,16 @@ def require_text_type(df: DataFrame, *names: str) -> DataFrame:
     """Fail unless each named column exists and holds strings."""
     for name in names:
         if name not in df.columns:
-            raise KeyError(f"Missing required column '{name}'. Available columns: {df.columns}")
+            raise KeyError(f"No column {name} among {', '.join(df.columns)}")
         if not isinstance(df.schema[name].dataType, T.StringType):
-            raise TypeError(f"Column '{name}' must be a string, got {df.schema[name].dataType.simpleString()}")
+            raise TypeError(f"{name} holds {df.schema[name].dataType.simpleString()} where text is needed")
     return df
 
 
 def check_format(fmt: str) -> None:
     if fmt != MATH_FORMAT and fmt not in INSTRUCTION_FORMATS:
         raise ValueError(
-            f"Unsupported format '{fmt}'. Expected '{MATH_FORMAT}' or one of {sorted(INSTRUCTION_FORMATS)}."
+            f"No such dataset format: {fmt}. There are {', '.join(sorted((MATH_FORMAT, *INSTRUCTION_FORMATS)))}."
         )
 
 

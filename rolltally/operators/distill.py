@@ -91,7 +91,7 @@ def position_divergence(
     def summed(cells: Column) -> Column:
         total = logprobs.array_sum(cells)
         if clip is not None and clip_level == "token":
-            total = F.least(total, F.lit(float(clip)))
+            total = logprobs.capped(total, clip)
         parts = [total.alias("divergence"), F.size(cells).alias("num_cells")]
         if keep_cells:
             parts.append(cells.alias("cells"))
@@ -166,7 +166,8 @@ def divergence_loss(
     scored = df if label is None else df.where(F.col(label) != IGNORED_LABEL)
     keys = list(dict.fromkeys([*by, *([] if label else [example])]))
     if top_k is None:
-        sides = scored.select(*keys, F.col(student).alias("_s"), F.col(teacher).alias("_t"))
+        checked = logprobs.same_vocabulary(F.col(student), F.col(teacher))
+        sides = scored.select(*keys, checked.alias("_s"), F.col(teacher).alias("_t"))
     else:
         kept = logprobs.keep_top_k(F.col(student), F.col(teacher), top_k)
         sides = scored.select(*keys, kept.alias("_kept")).select(
@@ -181,8 +182,7 @@ def divergence_loss(
         logprobs.scaled(F.get("_t", F.col("_at")), temperature) - F.col("_norm_t"),
         beta,
     )
-    if clip is not None:
-        cell = F.least(cell, F.lit(float(clip)))
+    cell = logprobs.capped(cell, clip)
     summed = expanded.groupBy(*keys).agg(
         F.sum(cell).alias("_sum"),
         F.count(F.lit(1)).alias("_cells"),

@@ -137,10 +137,13 @@ def nested_results(
 
     A problem fills one row per ``part_rows`` sample positions (``part`` 0, 1, …), so a
     row stays bounded however many samples a problem has; usual runs have part 0 only.
-    The row of part 0 starts with the first sample, whose fields are copied out.
+    The fields of the problem's first sample are copied out on each of its parts.
     """
     position = F.col(sample_idx)
-    part = ((position - F.pmod(position, F.lit(part_rows))) / part_rows).cast("int")
+
+    def part_of(place: Column) -> Column:
+        return ((place - F.pmod(place, F.lit(part_rows))) / part_rows).cast("int")
+
     sample = F.struct(
         position.alias("sample_idx"),
         F.col("shown").alias("predicted_answer"),
@@ -149,28 +152,60 @@ def nested_results(
         F.col("is_formatted").alias("formatted"),
     )
     nested = (
-        graded.withColumn("part", part)
+        graded.withColumn("part", part_of(position))
         .groupBy(*problem, "part")
         .agg(F.array_sort(F.collect_list(sample)).alias("generations"))
     )
+    fields = ("predicted_answer", "full_generation", "correct", "formatted")
     first = F.get("generations", F.lit(0))
-    return nested.select(
+    begins = graded.groupBy(*problem).agg(part_of(F.min(sample_idx)).alias("part"))
+    leads = nested.join(begins, [*problem, "part"]).select(*problem, *[first[f].alias(f) for f in fields])
+    return nested.join(leads, list(problem)).select(
         *problem,
         "part",
-        F.transform(
-            "generations",
-            lambda g: F.struct(
-                g["predicted_answer"].alias("predicted_answer"),
-                g["full_generation"].alias("full_generation"),
-                g["correct"].alias("correct"),
-                g["formatted"].alias("formatted"),
-            ),
-        ).alias("generations"),
-        first["predicted_answer"].alias("predicted_answer"),
-        first["full_generation"].alias("full_generation"),
-        first["correct"].alias("correct"),
-        first["formatted"].alias("formatted"),
+        F.transform("generations", lambda g: F.struct(*[g[f].alias(f) for f in fields])).alias("generations"),
+        *fields,
+    )
+
+
+def result_records(
+    nested: DataFrame,
+    results: DataFrame,
+    problems: DataFrame,
+    val_n: int,
+    problem: Sequence[str] = ("run", "problem_id"),
+) -> DataFrame:
+    """Whole result records: nested rows with what is known of their problem.
+
+    ``results`` are problem results; ``problems`` has the problem columns that exist of
+    ``problem_id``, ``problem``, ``question_id`` and ``gold``, one row per problem.
+    """
+    judged = results.select(
+        *problem,
+        "num_correct",
+        F.col("has_correct").alias("pass_at_n"),
+        F.col("majority_correct").alias("majority_vote_correct"),
     )
+    known = [F.col("gold").alias("ground_truth")]
+    if "problem" in problems.columns:
+        known.append(F.col("problem"))
+    question = F.col("question_id") if "question_id" in problems.columns else F.lit(None)
+    known.append(result_id(question, F.col("problem_id")).alias("id"))
+    keys = [c for c in problem if c in problems.columns]
+    return (
+        nested.join(judged, list(problem))
+        .join(problems.select(*keys, *known), keys)
+        .withColumn("val_n", F.lit(val_n))
+    )
+
+
+def complete_results(
+    results: DataFrame, expected: DataFrame, problem: Sequence[str] = ("run", "problem_id")
+) -> DataFrame:
+    """Results of all expected problems; one that has no sample counts as answered by none."""
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("num_samples", "num_correct", "num_formatted")}
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("has_correct", "majority_correct")}
+    return expected.select(*problem).join(results, list(problem), "left").withColumns({**counts, **flags})
 
 
 def result_id(question_id: Column, index: Column) -> Column:

@@ -130,5 +130,13 @@ def _mark_missing(joined: DataFrame) -> DataFrame:
 
 
 def zip_by_index(left: DataFrame, right: DataFrame, index: Sequence[str]) -> DataFrame:
-    """Pair rows of two tables that carry the same explicit position."""
-    return left.join(right, list(index), "inner")
+    """Pair rows of two tables that carry the same explicit position.
+
+    A position that only one of them has fails the job, as the tables do not belong together.
+    """
+    keys = list(index)
+    both = left.withColumn("_left", F.lit(True)).join(right.withColumn("_right", F.lit(True)), keys, "full")
+    alone = F.col("_left").isNull() | F.col("_right").isNull()
+    place = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    stop = F.raise_error(F.concat(F.lit("No counterpart at position "), place)).cast("boolean")
+    return both.where(F.when(alone, stop).otherwise(F.lit(True))).drop("_left", "_right")

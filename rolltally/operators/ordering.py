@@ -86,14 +86,14 @@ def moving_average(
     """Exponential moving average per series: the first value is the seed, then
     ``decay * average + (1 - decay) * value`` in order.
 
-    The rows of a series are cut into blocks long enough that ``decay`` to the power of
-    the block length is below 1e-34, so that beyond the end of the previous block nothing
-    is left in double precision. Blocks are then independent of each other but for one
-    carried value, and a long series is spread over many tasks.
+    The recurrence is linear, so a block of rows hands over one number: its own sum, decayed
+    to its end, and what it was handed itself, decayed by the block's length. Blocks are as
+    long as powers of ``decay`` stay well inside double precision, and no longer than
+    ``block_rows``, so a long series is spread over many tasks at any ``decay``.
     """
     if not 0 < decay < 1:
         raise ValueError(f"decay must lie between 0 and 1, got {decay}")
-    length = max(1, math.ceil(80 / -math.log(decay)))
+    length = max(1, min(block_rows, math.ceil(80 / -math.log(decay))))
     keys = list(series)
     placed = row_index(df, order_by, keys, "_at", block_rows)
     local = F.pmod(F.col("_at"), F.lit(length))
@@ -104,12 +104,12 @@ def moving_average(
             "_weighted": F.when(F.col("_at") == 0, F.col(value)).otherwise(F.col(value) * (1 - decay)),
         }
     )
-    # What a block hands over sits one position before the start of the next block.
-    carried = (
-        placed.groupBy(*keys, "_part")
-        .agg(F.sum(F.col("_weighted") * F.pow(F.lit(decay), length - 1 - F.col("_local"))).alias("_weighted"))
-        .withColumns({"_part": F.col("_part") + 1, "_local": F.lit(-1).cast("long")})
+    sums = placed.groupBy(*keys, "_part").agg(
+        F.sum(F.col("_weighted") * F.pow(F.lit(decay), length - 1 - F.col("_local"))).alias("_weighted")
     )
+    handed = _handed_over(sums, keys, decay**length)
+    # What a block is handed sits one position before its start.
+    carried = handed.withColumn("_local", F.lit(-1).cast("long"))
     inside = (
         Window.partitionBy(*keys, "_part")
         .orderBy("_local")
@@ -122,3 +122,46 @@ def moving_average(
         .where(~F.col("_carried"))
         .select(*df.columns, name)
     )
+
+
+def _handed_over(sums: DataFrame, keys: Sequence[str], weight: float) -> DataFrame:
+    """What each block is handed: the blocks before it, each decayed by ``weight`` per block.
+
+    With a small weight, the largest double vanishes below the smallest after a known number
+    of blocks, so every block adds to that many that follow, and equal places are summed.
+    Otherwise blocks have their full length, and a series has one number per ``block_rows``
+    rows, over which the recurrence itself runs.
+    """
+    if weight < 1e-30:
+        reach = math.ceil((math.log(5e-324) - math.log(1.7e308)) / math.log(max(weight, 5e-324)))
+        shares = F.array(
+            *[
+                F.struct((F.col("_part") + k).alias("_part"), _decayed(F.col("_weighted"), weight, k - 1).alias("_weighted"))
+                for k in range(1, reach + 1)
+            ]
+        )
+        spread = sums.select(*keys, F.explode(shares).alias("_share")).select(*keys, "_share.*")
+        return spread.groupBy(*keys, "_part").agg(F.sum("_weighted").alias("_weighted"))
+    ordered = sums.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_part", "_weighted"))).alias("_blocks")
+    )
+    start = F.struct(F.lit(0.0).alias("now"), F.array().cast("array<double>").alias("all"))
+    handed = F.aggregate(
+        "_blocks",
+        start,
+        lambda state, block: F.struct(
+            (state["now"] * weight + block["_weighted"]).alias("now"),
+            F.array_append(state["all"], state["now"] * weight + block["_weighted"]).alias("all"),
+        ),
+        lambda state: state["all"],
+    )
+    return ordered.select(*keys, F.posexplode(handed).alias("_at", "_weighted")).select(
+        *keys, (F.col("_at") + 1).cast("long").alias("_part"), "_weighted"
+    )
+
+
+def _decayed(value: Column, weight: float, times: int) -> Column:
+    """Decay step by step: the product of the weights alone would vanish too early."""
+    for _ in range(times):
+        value = value * F.lit(weight)
+    return value

@@ -53,22 +53,20 @@ def nest_rollouts(
     """Documents of ``step``, ``num_samples`` and ``generations`` in order.
 
     ``position`` is the 0-based place of a record within its step. A document holds at
-    most ``part_rows`` records; further ones go to the parts that follow.
+    most ``part_rows`` records; further ones go to the parts that follow. ``num_samples``
+    is the number of all records of the step, on each of its parts.
     """
     place = F.col(position)
     part = ((place - F.pmod(place, F.lit(part_rows))) / part_rows).cast("int")
     fields = [c for c in rollouts.columns if c not in (*by, step)]
     ordered = F.struct(place.alias("_at"), F.struct(*fields).alias("record"))
-    return (
+    documents = (
         rollouts.withColumn("part", part)
         .groupBy(*by, step, "part")
-        .agg(
-            F.count(F.lit(1)).alias("num_samples"),
-            F.transform(
-                F.sort_array(F.collect_list(ordered)), lambda x: x["record"]
-            ).alias("generations"),
-        )
+        .agg(F.transform(F.sort_array(F.collect_list(ordered)), lambda x: x["record"]).alias("generations"))
     )
+    totals = rollouts.groupBy(*by, step).agg(F.count(F.lit(1)).alias("num_samples"))
+    return documents.join(totals, [*by, step]).select(*by, step, "part", "num_samples", "generations")
 
 
 # --- Metric logs --------------------------------------------------------------------

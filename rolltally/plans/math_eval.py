@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,15 +30,33 @@ def evaluate_math(samples: DataFrame, val_n: int, progress_every: int = 10) -> M
     """
     graded = grading.grade_samples(samples)
     problems = grading.problem_results(samples)
+    golds = samples.groupBy("run", "problem_id").agg(F.min("gold").alias("gold"))
     return MathEvaluation(
         graded=graded,
         problems=problems,
         metrics=grading.run_metrics(problems, val_n),
         progress=grading.running_metrics(problems, val_n, every=progress_every),
-        nested=grading.nested_results(graded),
+        nested=grading.result_records(grading.nested_results(graded), problems, golds, val_n),
     )
 
 
+def evaluate_benchmark(
+    generations: DataFrame, benchmark: DataFrame, runs: Sequence[str], val_n: int
+) -> DataFrame:
+    """Metrics of named runs over all problems of a benchmark, answered or not.
+
+    Generations without a problem in the benchmark are not graded but counted, as
+    ``num_without_gold``.
+    """
+    results = grading.problem_results(join_gold(generations, benchmark))
+    # A row per run and problem is what is evaluated; the runs are a list of names.
+    expected = benchmark.select("problem_id", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run"))
+    metrics = grading.run_metrics(grading.complete_results(results, expected), val_n)
+    strays = generations.join(benchmark.select("problem_id"), "problem_id", "left_anti")
+    counted = strays.groupBy("run").agg(F.count(F.lit(1)).alias("num_without_gold"))
+    return metrics.join(counted, "run", "left").fillna(0, ["num_without_gold"])
+
+
 def join_gold(generations: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Generations (run, problem_id, sample_idx, text) with the gold answer of their problem.
 

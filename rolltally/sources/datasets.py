@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolltally.functions.fixed_values import SPLIT_FILE_FORMATS
-from rolltally.operators.joins import lookup_join
-
-BROADCAST_FILES = 100_000
-
 INSTRUCTION_EVAL_SCHEMA = T.StructType(
     [
         T.StructField("key", T.LongType()),
@@ -103,22 +99,16 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def with_global_index(
-    shards: DataFrame, name: str = "row_index", broadcast_files: int = BROADCAST_FILES
-) -> DataFrame:
+def with_global_index(shards: DataFrame, name: str = "row_index") -> DataFrame:
     """Add the position over all shards: rows of earlier shards plus position in the own.
 
-    Needs one light pass that reads no data columns. The offsets have one row per file,
-    whose number is known from the listing: up to ``broadcast_files`` they are broadcast,
-    so that no data is moved; more are looked up by salted key.
+    Needs one light pass that reads no data columns. The offsets have one row per file; how
+    they are joined is left to Catalyst, which broadcasts them while they are small.
     """
     sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    if len(shards.inputFiles()) <= broadcast_files:
-        placed = shards.join(F.broadcast(offsets), "shard")
-    else:
-        placed = lookup_join(shards, offsets, ["shard"], ["row_in_shard"], "inner")
+    placed = shards.join(offsets, "shard")
     return placed.select(*shards.columns, (F.col("_offset") + F.col("row_in_shard")).alias(name))
 
 

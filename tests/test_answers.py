@@ -233,6 +233,26 @@ def test_grade(apply):
         ("999999999999.999999", "999999999999.999998", False),
         ("-0", "0", True),
         ("٣", "3", False),
+        ("", "", False),
+        ("$ $", "", False),
+        (r"\frac{-3}{4}", "-0.75", True),
+        (r"\frac{8}{-2}", "-4", True),
+        (r"-\frac{-8}{2}", "4", True),
+        (".5", "0.5", True),
+        ("5.", "5", True),
+        ("+5", "5", True),
+        ("-5", "5", False),
+        ("1,000", "1000", True),
+        ("1,00", "100", False),
+        ("1,234,567.50", "1234567.5", True),
+        ("0.5000000", "0.5", True),
+        ("0.12345678", "0.1234567800", True),
+        ("1000000000000000", "1000000000000000.0", True),
+        ("1000000000000000", "1000000000000001", False),
+        ("0" * 50 + "7.0", "7", True),
+        ("1/3", "100000000000000000/300000000000000000", True),
+        ("1/3", "100000000000000000/300000000000000001", False),
+        ("0/5", "-0", True),
     ]
     got = apply(answers.grade, [c[:2] for c in cases], "a string, b string")
     assert got == [c[2] for c in cases]
@@ -245,6 +265,8 @@ def test_correctness_reward(apply):
         (r"\boxed{3:4}", "3:4", 1.0),
         (r"\boxed{ e }", "E", 1.0),
         (r"\boxed{}", "", 0.0),
+        (r"\boxed{-3:4}", "-0.75", 1.0),
+        (r"\boxed{3:-4}", r"-\frac{3}{4}", 1.0),
         ("no box", "1", 0.0),
         (r"\boxed{1}", None, 0.0),
         (None, "1", 0.0),

@@ -211,3 +211,17 @@ def test_divergence_by_token(table, spark):
     report = distill.divergence_by_token(rows, classes).collect()
     assert sum(r["num_tokens"] for r in report) == EXAMPLES * LENGTH
     assert {r["token_class"] for r in report if r["sampled_id"] > 1} <= {None}
+
+
+def test_null_cells_and_unequal_vocabularies(spark):
+    schema = "ex_id int, label int, student array<double>, teacher array<double>"
+    null = spark.createDataFrame([(0, 1, [1.0, None], [1.0, 2.0])], schema)
+    assert distill.position_divergence(null, clip=0.05).first()["divergence"] is None
+    uneven = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0], [1.0, 2.0])], schema)
+    for run in (
+        lambda: distill.position_divergence(uneven).collect(),
+        lambda: distill.position_divergence(uneven, top_k=2).collect(),
+        lambda: distill.divergence_loss(uneven).collect(),
+    ):
+        with pytest.raises(Exception, match="Vocabularies differ"):
+            run()

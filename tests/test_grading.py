@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rolltally.operators import benchmarks, grading
 from rolltally.plans.benchmark_eval import evaluate, instruction_rows, verdict_rows, write_scores
-from rolltally.plans.math_eval import evaluate_math, join_gold
+from rolltally.plans.math_eval import evaluate_benchmark, evaluate_math, join_gold
 
 NONE = "[No boxed answer found]"
 SCHEMA = "run string, problem_id long, sample_idx int, text string, gold string"
@@ -52,9 +52,9 @@ def test_vote_and_counts(spark):
     ]
 
 
-def test_empty_gold_is_met_by_an_empty_box(spark):
-    # The sample is right, but the vote is graded by the placeholder it is shown as.
-    assert results(spark, [["", "7"]], gold="") == [(1, 2, NONE, False)]
+def test_empty_gold_is_met_by_nothing(spark):
+    # Neither an empty box nor a full one equals an answer that is not there.
+    assert results(spark, [["", "7"]], gold="") == [(0, 2, NONE, False)]
 
 
 def test_against_brute_force(spark):
@@ -118,6 +118,18 @@ def test_nested_results_keep_order_and_first_sample(spark):
     assert (row["predicted_answer"], row["correct"], row["formatted"]) == ("2", False, True)
     parts = grading.nested_results(graded, part_rows=2).orderBy("part").collect()
     assert [len(p["generations"]) for p in parts] == [2, 1]
+    # The fields of the problem are those of its first sample on every part.
+    assert [(p["predicted_answer"], p["correct"], p["formatted"]) for p in parts] == [("2", False, True)] * 2
+
+
+def test_problems_without_samples_count(spark):
+    generations = samples(spark, [["0"], ["5"]]).drop("gold")
+    benchmark = spark.createDataFrame([(0, "0"), (7, "7")], "problem_id long, gt_answer string")
+    got = evaluate_benchmark(generations, benchmark, ["r", "none"], 1).orderBy("run").collect()
+    assert [(r["run"], r["num_problems"], r["pass_at_n"], r["num_without_gold"]) for r in got] == [
+        ("none", 2, 0, 0),
+        ("r", 2, 1, 1),
+    ]
 
 
 def test_metrics_on_empty_input(spark):

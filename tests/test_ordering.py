@@ -45,9 +45,9 @@ def test_running_totals(table, rows):
             assert got[g, k][0] == pytest.approx(sums[i]) and got[g, k][1] == i + 1
 
 
-@pytest.mark.parametrize("decay", [0.01, 0.5, 0.9, 0.999])
-def test_moving_average_across_blocks(table, rows, decay):
-    averaged = moving_average(table, ["g"], "k", "v", decay, block_rows=1000)
+@pytest.mark.parametrize("decay, block_rows", [(0.01, 1000), (0.5, 1000), (0.9, 1000), (0.999, 1000), (0.999, 7), (0.9999999, 20)])
+def test_moving_average_across_blocks(table, rows, decay, block_rows):
+    averaged = moving_average(table, ["g"], "k", "v", decay, block_rows=block_rows)
     got = {(r["g"], r["k"]): r["ema"] for r in averaged.collect()}
     for g, members in grouped(rows).items():
         average = None
@@ -59,3 +59,10 @@ def test_moving_average_across_blocks(table, rows, decay):
 def test_moving_average_needs_a_proper_decay(table):
     with pytest.raises(ValueError, match="decay"):
         moving_average(table, ["g"], "k", "v", 1.0)
+
+
+def test_moving_average_forgets_nothing(spark):
+    rows = [("g", k, 1e12 if k == 0 else 0.0) for k in range(900)]
+    got = moving_average(spark.createDataFrame(rows, "g string, k long, v double"), ["g"], "k", "v", 0.5).collect()
+    for r in got:
+        assert r["ema"] == pytest.approx(1e12 * 0.5 ** r["k"], rel=1e-9, abs=0)

@@ -61,7 +61,7 @@ def test_row_work_does_not_shuffle(spark, name):
     [
         ("problem_results", 2),
         ("math_run_metrics", 3),
-        ("nested_results", 1),
+        ("nested_results", 9),
         ("metric_means", 1),
         ("policy_losses", 1),
         ("last_log_rows", 1),

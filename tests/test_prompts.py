@@ -75,7 +75,7 @@ def test_instruction_teacher_fails_without_either(spark):
 
 def test_null_prompt_fails(spark):
     df = spark.createDataFrame([(None, "s")], "problem string, solution string")
-    with pytest.raises(Exception, match="must be a string"):
+    with pytest.raises(Exception, match="No text in"):
         prompts.build_prompts(df).collect()
 
 
@@ -119,13 +119,13 @@ def test_template_is_an_argument(spark):
 def test_contracts(spark):
     df = spark.createDataFrame([("p", "t", 1)], "prompt string, teacher_prompt string, n int")
     assert contracts.require_columns(df, "instruction", "prompt", teacher_prompt_column="teacher_prompt") is df
-    with pytest.raises(ValueError, match=r"\['problem', 'solution'\]"):
+    with pytest.raises(ValueError, match="lacks problem, solution"):
         contracts.require_columns(df, "math", "problem", "solution")
-    with pytest.raises(ValueError, match="needs a teacher prompt column"):
+    with pytest.raises(ValueError, match="lacks None or ref|lacks ref"):
         contracts.require_columns(df, "instruction", "prompt", teacher_reference_column="ref")
-    with pytest.raises(ValueError, match=r"\['problem'\]"):
+    with pytest.raises(ValueError, match="lacks problem;"):
         contracts.require_prompt_column(df, "math", "problem")
-    with pytest.raises(TypeError, match="got int"):
+    with pytest.raises(TypeError, match="holds int"):
         contracts.require_text_type(df, "n")
     with pytest.raises(KeyError):
         contracts.require_text_type(df, "absent")
@@ -138,7 +138,7 @@ def test_exclusive_options():
         contracts.check_teacher_options("instruction", reason_first=True)
     with pytest.raises(ValueError, match="not both"):
         contracts.check_teacher_options(moving_average_teacher=True, fixed_teacher=True)
-    with pytest.raises(ValueError, match="Unsupported format"):
+    with pytest.raises(ValueError, match="No such dataset format"):
         contracts.check_format("csv")
 
 
@@ -155,3 +155,9 @@ def test_signature_and_kind(spark):
 def test_pad_text_removed(apply):
     got = apply(lambda a: prompts.without_pad(a, "<pad>"), [("<pad>a<pad><pad>b",), ("c",)])
     assert got == ["ab", "c"]
+
+
+def test_a_message_without_content_fails(spark):
+    df = spark.createDataFrame([("q", None)], "problem string, solution string")
+    with pytest.raises(Exception, match="No text in 'content'"):
+        prompts.build_sft_text(df).collect()

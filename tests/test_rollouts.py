@@ -16,7 +16,8 @@ def test_documents_are_bounded_and_ordered(spark):
         F.lit(5).cast("long").alias("save_step"), F.col("id").alias("position"), (F.col("id") * 2).alias("x")
     ).repartition(5)
     documents = rollouts.nest_rollouts(df, part_rows=10).orderBy("part").collect()
-    assert [d["num_samples"] for d in documents] == [10, 10, 5]
+    assert [d["num_samples"] for d in documents] == [25, 25, 25]
+    assert [len(d["generations"]) for d in documents] == [10, 10, 5]
     assert [g["x"] for d in documents for g in d["generations"]] == list(range(0, 50, 2))
 
 

@@ -78,9 +78,8 @@ def test_shards_in_name_order(spark, tmp_path):
         spark.createDataFrame([(v,) for v in values], "v int").toPandas().to_parquet(tmp_path / f"{name}.parquet")
     (tmp_path / "notes.txt").write_text("not a shard")
     shards = datasets.read_shards(spark, str(tmp_path))
-    for limit in (0, 10):
-        indexed = datasets.with_global_index(shards, broadcast_files=limit)
-        assert {r["v"]: r["row_index"] for r in indexed.collect()} == {v: v for v in range(7)}
+    indexed = datasets.with_global_index(shards)
+    assert {r["v"]: r["row_index"] for r in indexed.collect()} == {v: v for v in range(7)}
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError, match="No parquet files"):
         datasets.read_shards(spark, str(tmp_path / "empty"))
