@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rolltally.session import new_path
 
 MASK = (1 << 64) - 1
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _WORD_BASE = 0x9E3779B97F4A7C15
 _BYTE_BASE = 0xD6E8FEB86659FD93
 
@@ -131,10 +131,11 @@ class Powers:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        n_kept = -(-n // 65536) * 65536
         while len(self.up) < n:
-            have = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, have, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, have, 1 << 64))])
+            have, more = len(self.up), n_kept - len(self.up)
+            self.up = np.concatenate([self.up, self.up[:more] * np.uint64(pow(self.base, have, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down[:more] * np.uint64(pow(self.inverse, have, 1 << 64))])
         return self.up[:n], self.down[:n]
 
 

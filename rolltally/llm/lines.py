@@ -130,7 +130,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def _parts(docs: DataFrame, edits: int, near_chars: int) -> DataFrame:
     def scan(batches):
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(1), 1 << 22):
+            for _, _, data, offsets in text_chunks(batch.column(1)):
                 lines = Lines(data, offsets)
                 # Equal lines of a chunk look up once.
                 _, at = np.unique(lines.id, return_index=True)

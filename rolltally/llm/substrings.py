@@ -27,7 +27,7 @@ from rolltally.llm.common import discard, handover, mix, named, row_key, text_ch
 from rolltally.session import new_path
 
 ANCHOR_WORDS = 16
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 _SECOND_BASE = 0xA0761D6478BD642F
 
 

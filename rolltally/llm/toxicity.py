@@ -38,8 +38,8 @@ MIN_Z = 3.0
 PRIOR_TOKENS = 1000.0
 PENALTY = 0.3
 SIGNIFICANT = 0.05
-CACHE_WORDS = 400_000
-FLUSH_FEATURES = 300_000
+CACHE_WORDS = 150_000
+FLUSH_FEATURES = 120_000
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -143,6 +143,13 @@ class Scorer:
         return self.model.probability(*self.summary(n, found)), [x for x in found if self.model.evidence(x[2], n) >= limit]
 
 
+def _rows(batch: pa.RecordBatch, size: int = 256):
+    """Rows of the first two columns as Python values, a few at a time."""
+    for first in range(0, len(batch), size):
+        part = batch.slice(first, size)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Texts and labels of at most ``rows`` labelled ids, chosen by a hash of the id.
 
@@ -164,7 +171,7 @@ def feature_log_odds(sample: DataFrame, max_features: int = MAX_FEATURES) -> Dat
     def count(batches):
         counts: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic in _rows(batch):
                 if len(counts) > FLUSH_FEATURES:
                     yield rows_of(counts)
                     counts = {}
@@ -232,7 +239,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
         scorer = Scorer(model)
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
+            for text, _ in _rows(batch):
                 n, found = scorer.passages(text)
                 out.append((n, [s for _, _, s in found]))
             arrays = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), batch.column(1)]
@@ -258,7 +265,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         scorer = _scorer(model)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            out = [scorer.text(t) for t in batch.column(1).to_pylist()]
+            out = [scorer.text(t) for _, t in _rows(batch)]
             spans = [[{"start": a, "end": b, "score": s} for a, b, s in found] for _, found in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "passages"])
 
