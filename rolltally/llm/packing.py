@@ -1,7 +1,7 @@
 """Best-fit packing of documents into fixed token windows, under conflicts.
 
-No bin holds two pieces of one source or of one cluster of duplicates. Documents are dealt
-by a hash to groups of about ``GROUP_DOCS``, each packed by one task: longest first, every
+No bin holds two pieces of one source or of one cluster of duplicates. Pieces are dealt by
+a hash to groups of about ``GROUP_PIECES``, each packed by one task: longest first, every
 piece goes to the bin with the least room that still takes it. Bins are ordered by their
 residual; the search starts at the first with room and goes on upwards, past bins whose
 bitmaps have the piece's source or cluster, until the tightest compatible bin is found. Only
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolltally.llm.common import named
+from rolltally.llm.common import handover, named
 
 CAPACITY = 4096
-GROUP_DOCS = 8192
+GROUP_PIECES = 8192
 _SEARCH = 256
 
 
@@ -130,11 +130,12 @@ def pack_group(table: pa.Table, capacity: int) -> pa.Table:
     return pa.table(out | {"bin": pa.array(number), "slot": pa.array(slot), "offset": pa.array(offset), "source": table.column("source"), "cluster": table.column("cluster")})
 
 
-def best_fit(docs: DataFrame, length: Column, cluster: Column, source: str = "source", doc_id: str = "doc_id", capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
+def best_fit(docs: DataFrame, length: Column, cluster: Column, source: str = "source", doc_id: str = "doc_id", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: where it is (``group``, ``bin``, ``slot``, ``offset``) and what it is.
 
     ``piece`` counts the pieces of a document, ``start`` is where a piece begins in it. Only
-    lengths and codes are shuffled, not texts.
+    lengths and codes are shuffled, not texts; they are written first, as the number of
+    groups follows from the number of pieces.
     """
     rows = docs.select(
         named(docs, doc_id).cast("long").alias("doc_id"),
@@ -142,11 +143,13 @@ def best_fit(docs: DataFrame, length: Column, cluster: Column, source: str = "so
         cluster.cast("long").alias("cluster"),
         F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("total"),
     )
-    rows = rows.withColumn("tie", F.xxhash64("total", "source", "cluster"))
+    rows = handover(docs.sparkSession, rows.withColumn("tie", F.xxhash64("total", "source", "cluster")), "lengths")
+    last_piece = f"greatest(total - 1, 0L) div {capacity}"
+    n_pieces = rows.agg(F.sum(F.expr(f"1L + {last_piece}"))).first()[0] or 0
     # A long document would fill its group alone: its full pieces are spread like documents.
-    pieces = rows.withColumn("piece", F.explode(F.expr(f"sequence(0L, greatest(total - 1, 0L) div {capacity})")))
+    pieces = rows.withColumn("piece", F.explode(F.expr(f"sequence(0L, {last_piece})")))
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.col("total") - F.col("start"), F.lit(capacity).cast("long")))
-    groups = max(1, -(-docs.count() // group_docs))
+    groups = max(1, -(-n_pieces // group_pieces))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.lit(groups)).cast("long"))
     schema = "doc_id long, piece long, start long, length long, group long, bin long, slot int, offset long, source string, cluster long"
     return dealt.drop("total").groupBy("group").applyInArrow(lambda t: pack_group(t, capacity), schema)

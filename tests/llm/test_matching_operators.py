@@ -240,12 +240,12 @@ def test_packing_is_best_fit():
         assert sorted(b["room"] for b in plain) == bins.residual[: bins.n].tolist()
 
 
-@pytest.mark.parametrize("group_docs", [8192, 40])
+@pytest.mark.parametrize("group_pieces", [8192, 40])
 @pytest.mark.parametrize("which", ["odd", "table"])
-def test_packing_keeps_the_rules(odd, table, which, group_docs):
+def test_packing_keeps_the_rules(odd, table, which, group_pieces):
     docs = odd if which == "odd" else table("documents")
     length, cluster = packing.word_length(docs["text"]), packing.text_cluster(docs["text"])
-    placed = packing.best_fit(docs, length, cluster, capacity=500, group_docs=group_docs).collect()
+    placed = packing.best_fit(docs, length, cluster, capacity=500, group_pieces=group_pieces).collect()
     expected = Counter()
     for doc, n in docs.select("doc_id", length).collect():
         for piece, start in enumerate(range(0, max(n, 1), 500)):
