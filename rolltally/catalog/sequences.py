@@ -204,4 +204,4 @@ def workers_and_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def row_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = b.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    return row_index(orders, "o_orderkey", ["o_custkey"], block_rows=1000)
+    return row_index(orders, "o_orderkey", ["o_custkey"])

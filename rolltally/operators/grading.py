@@ -219,7 +219,7 @@ def running_metrics(
     run: Sequence[str] = ("run",),
     index: str = "problem_id",
     every: int | None = None,
-    block_rows: int = 100_000,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Pass@n, average@n and format rate after each problem of a run, in index order.
 
@@ -231,7 +231,7 @@ def running_metrics(
         "correct": F.col("num_correct"),
         "formatted": F.col("num_formatted"),
     }
-    summed = running_totals(results, index, totals, run, block_rows)
+    summed = running_totals(results, index, totals, run, blocks)
     if every is not None:
         summed = summed.where(F.pmod(F.col("seen"), F.lit(every)) == 0)
     seen, total = F.col("seen"), F.col("seen") * val_n

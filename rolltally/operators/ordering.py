@@ -1,9 +1,11 @@
 """Positions, running totals and moving averages that do not need one task per group.
 
-A plain window over a group puts the whole group into one task. Here the order column
-(integral, unique within its group) is cut into blocks of at most ``block_rows`` values:
-block totals are aggregated first, their prefix sums run over the few blocks only, and
-the window inside a block adds the rest.
+A plain window over a group puts the whole group into one task. Here rows are dealt by rank
+to ranges of (group, order column), whatever the values are: a range holds many small groups
+or a part of a large one. Totals of the ranges are aggregated first, a group that spans
+several is handed what came before, and the window inside a range adds the rest. Ranges come
+from sampled bounds, so the rows are written once with their range, which then holds for all
+that is derived from it, lost executors included.
 """
 
 from __future__ import annotations
@@ -14,34 +16,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolltally.session import new_path
+
 BLOCK_ROWS = 100_000
 
 
+def _in_ranges(df: DataFrame, keys: Sequence[str], blocks: int | None) -> DataFrame:
+    """Rows with the number of their range of ``keys`` in ``_block``, written and read back."""
+    dealt = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
+    placed = dealt.withColumn("_block", F.spark_partition_id())
+    path = new_path(df.sparkSession, "ranges")
+    placed.write.parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
+
+
 def running_totals(
     df: DataFrame,
     order_by: str,
     totals: dict[str, Column],
     partition_by: Sequence[str] = (),
-    block_rows: int = BLOCK_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums of the given expressions, per group, in order."""
-    position = F.col(order_by)
-    keyed = df.withColumn("_block", position - F.pmod(position, F.lit(block_rows)))
-    keyed = keyed.withColumns({f"_add_{name}": value for name, value in totals.items()})
+    """Add inclusive running sums of the given expressions, per group, in order.
+
+    ``blocks`` is the number of ranges, by default that of shuffle partitions, which adaptive
+    execution joins where they are small. This writes the rows, so it runs when called.
+    """
     group = list(partition_by)
+    keyed = df.withColumns({f"_add_{name}": value for name, value in totals.items()})
+    keyed = _in_ranges(keyed, [*group, order_by], blocks)
 
-    blocks = keyed.groupBy(*group, "_block").agg(
-        *[F.sum(f"_add_{name}").alias(f"_add_{name}") for name in totals]
+    sums = keyed.groupBy(*group, "_block").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_add_{name}").alias(f"_add_{name}") for name in totals]
     )
-    # One row per block: with the default size a billion ordered rows make 10,000 of them.
+    # A group has at most one row per range here, and is handed something only behind its first.
     earlier = (
         Window.partitionBy(*(group or [F.lit(0)]))
         .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = blocks.select(
-        *group, "_block", *[F.sum(f"_add_{name}").over(earlier).alias(f"_add_{name}") for name in totals]
+    carried = sums.select(
+        *group,
+        "_block",
+        F.sum("_rows").over(earlier).alias("_rows"),
+        *[F.sum(f"_add_{name}").over(earlier).alias(f"_add_{name}") for name in totals],
     )
+    carried = carried.where("_rows IS NOT NULL").drop("_rows")
     inside = (
         Window.partitionBy(*group, "_block")
         .orderBy(F.col("_carried").desc(), order_by)
@@ -56,7 +76,7 @@ def running_totals(
 
 
 def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    """Rows plus, per block, one marked row with what earlier blocks hand over."""
+    """Rows plus, per block that is handed something, one marked row with it."""
     return rows.withColumn("_carried", F.lit(False)).unionByName(
         carried.withColumn("_carried", F.lit(True)), allowMissingColumns=True
     )
@@ -67,10 +87,10 @@ def row_index(
     order_by: str,
     partition_by: Sequence[str] = (),
     name: str = "row_index",
-    block_rows: int = BLOCK_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """Add the 0-based position of each row in the order of a unique integral column."""
-    counted = running_totals(df, order_by, {name: F.lit(1).cast("long")}, partition_by, block_rows)
+    """Add the 0-based position of each row in the order of a unique column."""
+    counted = running_totals(df, order_by, {name: F.lit(1).cast("long")}, partition_by, blocks)
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -95,7 +115,7 @@ def moving_average(
         raise ValueError(f"decay must lie between 0 and 1, got {decay}")
     length = max(1, min(block_rows, math.ceil(80 / -math.log(decay))))
     keys = list(series)
-    placed = row_index(df, order_by, keys, "_at", block_rows)
+    placed = row_index(df, order_by, keys, "_at")
     local = F.pmod(F.col("_at"), F.lit(length))
     placed = placed.withColumns(
         {

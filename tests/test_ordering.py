@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rolltally.operators.ordering import moving_average, row_index, running_totals
+from rolltally.operators.ordering import _in_ranges, moving_average, row_index, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -24,20 +24,32 @@ def grouped(rows):
     return groups
 
 
-@pytest.mark.parametrize("block_rows", [1, 7, 1000, 100_000])
-def test_row_index_with_skewed_and_null_groups(table, rows, block_rows):
-    got = {(r["g"], r["k"]): r["row_index"] for r in row_index(table, "k", ["g"], block_rows=block_rows).collect()}
+@pytest.mark.parametrize("blocks", [1, 7, 64, None])
+def test_row_index_with_skewed_and_null_groups(table, rows, blocks):
+    got = {(r["g"], r["k"]): r["row_index"] for r in row_index(table, "k", ["g"], blocks=blocks).collect()}
     expected = {(g, k): i for g, members in grouped(rows).items() for i, (k, _) in enumerate(members)}
     assert got == expected
 
 
 def test_row_index_over_everything(table, rows):
-    got = {r["k"]: r["row_index"] for r in row_index(table, "k", block_rows=500).collect()}
+    got = {r["k"]: r["row_index"] for r in row_index(table, "k", blocks=5).collect()}
     assert got == {k: i for i, k in enumerate(sorted(r[1] for r in rows))}
 
 
+def test_sparse_positions_make_no_more_blocks_than_asked_for(spark):
+    far = spark.range(500).select((F.col("id") * 1_000_000).alias("k"))
+    placed = _in_ranges(far, ["k"], 8)
+    sizes = [r["count"] for r in placed.groupBy("_block").count().collect()]
+    assert len(sizes) <= 8 and sum(sizes) == 500 and max(sizes) < 250
+    assert {r["k"]: r["row_index"] for r in row_index(far, "k", blocks=8).collect()} == {k * 1_000_000: k for k in range(500)}
+
+
+def test_empty_table_has_no_positions(spark):
+    assert row_index(spark.createDataFrame([], "g string, k long"), "k", ["g"]).collect() == []
+
+
 def test_running_totals(table, rows):
-    summed = running_totals(table, "k", {"total": F.col("v"), "seen": F.lit(1).cast("long")}, ["g"], 900)
+    summed = running_totals(table, "k", {"total": F.col("v"), "seen": F.lit(1).cast("long")}, ["g"], 9)
     got = {(r["g"], r["k"]): (r["total"], r["seen"]) for r in summed.collect()}
     for g, members in grouped(rows).items():
         sums = np.cumsum([v for _, v in members])
