@@ -63,8 +63,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     """
     payload = F.coalesce(named(pages, "html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(named(pages, "page_id").cast("long").alias("page_id"), named(pages, "url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.length("payload") >= min_bytes, F.concat_ws(":", F.sha1("payload"), F.length("payload"))))
-    shared = rows.where("digest IS NOT NULL AND page_id IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Small payloads look up keys of their own that nothing has: as nulls they would meet in one task.
+    alone = F.concat(F.lit("small:"), F.xxhash64("page_id", "url", "payload").cast("string"))
+    large = F.length("payload") >= min_bytes
+    rows = rows.withColumn("digest", F.when(large, F.concat_ws(":", F.sha1("payload"), F.length("payload"))).otherwise(alone))
+    shared = rows.where(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = rows.join(shared, "digest", "left")
     return joined.select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("original"), F.col("original")).alias("refers_to"))
 
