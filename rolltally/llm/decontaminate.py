@@ -36,6 +36,8 @@ SAMPLED = 2
 # The share of embedded positions that differ, for which the recall is to be reached.
 FAR_SHARE = 0.7
 RECALL = 0.99
+# Symbols of window embeddings held at once.
+EMBEDDED = 1 << 22
 _WALK_BASE = 0xE7037ED1A0B428DB
 
 
@@ -170,9 +172,13 @@ class Matcher:
         """
         ok = np.zeros(len(item), dtype=bool)
         order = np.argsort(self.lengths[item], kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 20000)):
-            if not len(part):
-                continue
+        first = 0
+        while first < len(order):
+            # Short items come first, so the last of a part needs the most steps; a part's
+            # embeddings are bounded in symbols.
+            ahead = 2 * self.lengths[item[order[first : first + 20000]]] * np.arange(1, len(order[first : first + 20000]) + 1)
+            part = order[first : first + max(1, int(np.searchsorted(ahead, EMBEDDED, "right")))]
+            first += len(part)
             n = np.minimum(self.lengths[item[part]], room[part])
             steps = 2 * int(self.lengths[item[part]].max())
             for walk in range(WALKS):
