@@ -144,23 +144,14 @@ _REDUCTIONS = (
 def divergence_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = distill.position_divergence(b.logits(spark, sf_dir), beta=BETA).drop("student", "teacher")
     rows = rows.withColumn("batch", F.pmod("ex_id", F.lit(4)))
-    losses = {
-        how: distill.reduce_divergence(rows, ["batch"], how) for how in ("batchmean", "sum", "mean")
-    }
-    losses["per example"] = distill.reduce_divergence(rows, ["batch"], "batchmean", label=None)
-    return union_named(losses, "reduction").withColumn("loss", F.round("loss", 6))
+    return distill.reduce_divergence_all_ways(rows, ["batch"]).withColumn("loss", F.round("loss", 6))
 
 
 @query("divergence_losses", _REDUCTIONS)
 def divergence_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same numbers from the compiled sum over cells."""
     rows = b.logits(spark, sf_dir).withColumn("batch", F.pmod("ex_id", F.lit(4)))
-    losses = {
-        how: distill.divergence_loss(rows, ["batch"], beta=BETA, reduction=how)
-        for how in ("batchmean", "sum", "mean")
-    }
-    losses["per example"] = distill.divergence_loss(rows, ["batch"], beta=BETA, label=None)
-    return union_named(losses, "reduction").withColumn("loss", F.round("loss", 6))
+    return distill.divergence_losses(rows, ["batch"], beta=BETA).withColumn("loss", F.round("loss", 6))
 
 
 @query(
@@ -302,11 +293,10 @@ def teacher_top_k_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     _TOP + " SELECT ex_id, pos, CAST(token_id AS INTEGER) AS token_id, round(s, 6) AS logit FROM top",
 )
 def student_logits_at_teacher_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same cut in long form: student cells semi-joined to the teacher's choice."""
-    table = b.logits(spark, sf_dir)
-    cells = table.select("ex_id", "pos", F.posexplode("student").alias("token_id", "logit"))
-    wanted = distill.top_k_tokens(table, 5)
-    gathered = distill.gather_at(cells, wanted, ["ex_id", "pos"])
+    """Student logits at the teacher's choice, gathered inside the row."""
+    wanted = logprobs.keep_top_k(F.col("student"), F.col("teacher"), 5)["token_id"]
+    rows = b.logits(spark, sf_dir).select("ex_id", "pos", "student", wanted.alias("wanted"))
+    gathered = rows.select("ex_id", "pos", F.inline(distill.gather_in_row(F.col("student"), F.col("wanted"))))
     return gathered.withColumn("logit", F.round("logit", 6))
 
 

@@ -455,6 +455,35 @@ def rule_scorer_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics, "prompt_level", "instruction_level")
 
 
+@query(
+    "instruction_scorer_hook",
+    """SELECT lang, round(avg(CAST(a AND b AS DOUBLE)), 6) AS prompt_level,
+              round(sum(a::INT + b::INT) / (2 * count(*)), 6) AS instruction_level, count(*) AS num_prompts,
+              2 * count(*) AS num_instructions
+       FROM (SELECT lang, length(text) + doc_id % 2 <= n_chars AS a, contains(text, lang) AS b FROM documents)
+       GROUP BY lang""",
+)
+def instruction_scorer_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's rule checker over prompt, response, instruction ids and their arguments."""
+
+    @F.pandas_udf("array<boolean>")
+    def check(prompt, response, ids, kwargs):
+        def holds(text, name, given):
+            given = dict(given)
+            return len(text) <= int(given["max"]) if name == "length" else given["lang"] in text
+
+        rows = zip(response, ids, kwargs)
+        return pd.Series([[holds(text, n, g) for n, g in zip(names, args)] for text, names, args in rows])
+
+    odd = F.pmod("key", F.lit(2)) == 1
+    answered = _instruction_examples(spark, sf_dir).withColumn(
+        "response", F.when(odd, F.concat("prompt", F.lit("!"))).otherwise(F.col("prompt"))
+    )
+    scored = benchmarks.apply_scorer(answered, check, "prompt", "response", "instruction_id_list", "kwargs")
+    by_lang = scored.withColumn("lang", F.get("kwargs", F.lit(1))["lang"])
+    return rounded(benchmarks.instruction_metrics(by_lang, by=["lang"]), "prompt_level", "instruction_level")
+
+
 @query(
     "reward_hook",
     """SELECT event_type, round(avg(CASE WHEN CAST(regexp_extract(props, '[0-9]+') AS INTEGER) > 50 THEN 1.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +55,9 @@ def read_parquet_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_registered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registered dataset, of which one split is read."""
     documents = b.table(spark, sf_dir, "documents")
-    documents.withColumn("split", F.col("lang")).createOrReplaceTempView("rolltally_documents")
-    return datasets.read_dataset(spark, "rolltally_documents", "en").select("doc_id", "lang")
+    name = f"documents_{uuid4().hex}"
+    documents.withColumn("split", F.col("lang")).createOrReplaceTempView(name)
+    return datasets.read_dataset(spark, name, "en").select("doc_id", "lang")
 
 
 @query("shard_scan", "SELECT doc_id, doc_id AS row_index, length(text) AS num_chars FROM documents")

@@ -141,6 +141,45 @@ def _per_example_mean(df: DataFrame, by: Sequence[str], example: str) -> DataFra
     )
 
 
+def reduce_divergence_all_ways(
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", example: str = "ex_id"
+) -> DataFrame:
+    """``reduction``, ``loss`` and ``num_tokens`` of every reduction, from one pass.
+
+    ``per example`` is the batch mean without labels. A group whose tokens are all masked
+    has no row for the other reductions.
+    """
+    scored = F.col(label) != IGNORED_LABEL
+    per_example = df.groupBy(*by, example).agg(
+        F.sum("divergence").alias("_all"),
+        F.count(F.lit(1)).alias("_all_tokens"),
+        F.sum(F.when(scored, F.col("divergence"))).alias("_sum"),
+        F.sum(F.when(scored, F.col("num_cells"))).alias("_cells"),
+        count_when(scored).alias("_tokens"),
+    )
+    return _all_ways(per_example, by)
+
+
+def _all_ways(per_example: DataFrame, by: Sequence[str]) -> DataFrame:
+    sums = per_example.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("_all", "_all_tokens", "_sum", "_cells", "_tokens")],
+        F.count(F.lit(1)).alias("_examples"),
+    )
+    ways = {
+        "batchmean": (F.try_divide("_sum", "_tokens"), "_tokens"),
+        "sum": (F.col("_sum"), "_tokens"),
+        "mean": (F.try_divide("_sum", "_cells"), "_tokens"),
+        "per example": (F.try_divide("_all", "_examples"), "_all_tokens"),
+    }
+    rows = F.array(
+        *[
+            F.struct(F.lit(name).alias("reduction"), loss.alias("loss"), F.col(tokens).alias("num_tokens"))
+            for name, (loss, tokens) in ways.items()
+        ]
+    )
+    return sums.select(*by, F.inline(rows)).where("num_tokens > 0")
+
+
 def divergence_loss(
     df: DataFrame,
     by: Sequence[str] = (),
@@ -173,16 +212,7 @@ def divergence_loss(
         sides = scored.select(*keys, kept.alias("_kept")).select(
             *keys, F.col("_kept.student").alias("_s"), F.col("_kept.teacher").alias("_t")
         )
-    norms = {f"_norm{side}": logprobs.log_sum_exp(F.col(side), temperature) for side in ("_s", "_t")}
-    expanded = sides.withColumns(norms).select(
-        *keys, *norms, "_t", F.posexplode("_s").alias("_at", "_logit")
-    )
-    cell = logprobs.divergence_cell(
-        logprobs.scaled(F.col("_logit"), temperature) - F.col("_norm_s"),
-        logprobs.scaled(F.get("_t", F.col("_at")), temperature) - F.col("_norm_t"),
-        beta,
-    )
-    cell = logprobs.capped(cell, clip)
+    expanded, cell = _expanded_cells(sides, keys, beta, temperature, clip)
     summed = expanded.groupBy(*keys).agg(
         F.sum(cell).alias("_sum"),
         F.count(F.lit(1)).alias("_cells"),
@@ -198,6 +228,54 @@ def divergence_loss(
     return summed.groupBy(*by).agg(loss.alias("loss"), tokens.alias("num_tokens"))
 
 
+def _expanded_cells(
+    sides: DataFrame, keys: Sequence[str], beta: float, temperature: float, clip: float | None
+) -> tuple[DataFrame, Column]:
+    """One row per cell of the logits ``_s`` and ``_t``, with its place ``_at``, and the divergence."""
+    norms = {f"_norm{side}": logprobs.log_sum_exp(F.col(side), temperature) for side in ("_s", "_t")}
+    expanded = sides.withColumns(norms).select(
+        *keys, *norms, "_t", F.posexplode("_s").alias("_at", "_logit")
+    )
+    cell = logprobs.divergence_cell(
+        logprobs.scaled(F.col("_logit"), temperature) - F.col("_norm_s"),
+        logprobs.scaled(F.get("_t", F.col("_at")), temperature) - F.col("_norm_t"),
+        beta,
+    )
+    return expanded, logprobs.capped(cell, clip)
+
+
+def divergence_losses(
+    df: DataFrame,
+    by: Sequence[str] = (),
+    student: str = "student",
+    teacher: str = "teacher",
+    beta: float = 0.5,
+    temperature: float = 1.0,
+    clip: float | None = None,
+    label: str = "label",
+    example: str = "ex_id",
+) -> DataFrame:
+    """``reduction``, ``loss`` and ``num_tokens`` as ``divergence_loss`` gives them for every
+    reduction, from one pass over the logits."""
+    checked = logprobs.same_vocabulary(F.col(student), F.col(teacher))
+    keys = [*dict.fromkeys([*by, example]), "_scored"]
+    scored = F.coalesce(F.col(label) != IGNORED_LABEL, F.lit(False))
+    sides = df.withColumn("_scored", scored).select(*keys, checked.alias("_s"), F.col(teacher).alias("_t"))
+    expanded, cell = _expanded_cells(sides, keys, beta, temperature, limit_or_none(clip))
+    parts = expanded.groupBy(*keys).agg(
+        F.sum(cell).alias("_part"), F.count(F.lit(1)).alias("_n"), count_when(F.col("_at") == 0).alias("_t")
+    )
+    kept = F.col("_scored")
+    per_example = parts.groupBy(*keys[:-1]).agg(
+        F.sum("_part").alias("_all"),
+        F.sum("_t").alias("_all_tokens"),
+        F.sum(F.when(kept, F.col("_part"))).alias("_sum"),
+        F.sum(F.when(kept, F.col("_n"))).alias("_cells"),
+        F.coalesce(F.sum(F.when(kept, F.col("_t"))), F.lit(0)).alias("_tokens"),
+    )
+    return _all_ways(per_example, by)
+
+
 def sampled_log_probs(
     df: DataFrame,
     student: str = "student",
@@ -287,9 +365,15 @@ def top_k_tokens(
     )
 
 
+def gather_in_row(logits: Column, token_ids: Column) -> Column:
+    """``token_id`` and ``logit`` of the wanted tokens of a row, without leaving it."""
+    return F.transform(
+        token_ids, lambda i: F.struct(i.alias("token_id"), F.get(logits, i).alias("logit"))
+    )
+
+
 def gather_at(
     long_logits: DataFrame, wanted: DataFrame, keys: Sequence[str], token_id: str = "token_id"
 ) -> DataFrame:
     """Long-form logits (one row per token) at the wanted (keys, token) pairs only."""
     return long_logits.join(wanted.select(*keys, token_id), [*keys, token_id], "left_semi")
-

@@ -68,6 +68,18 @@ def with_group_values(
     return lookup_join(df, totals, by, salt_by, "inner", hot_rows, salts)
 
 
+def group_values(df: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Add aggregates of each row's group; null keys equal each other.
+
+    The totals have one row per group and the join is left to adaptive execution: it
+    broadcasts them while they are small and splits a group that holds many rows.
+    """
+    totals = df.groupBy(*by).agg(*[value.alias(name) for name, value in values.items()])
+    totals = totals.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return df.join(totals, same, "left").select(*df.columns, *values)
+
+
 def last_per_key(df: DataFrame, key: Sequence[str], order_by: str) -> DataFrame:
     """Keep the row of each key that arrived last. Partial aggregation keeps one row per
     key and task before the shuffle."""

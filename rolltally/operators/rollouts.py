@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolltally.functions.fixed_values import SAVE_EVERY
-from rolltally.operators.joins import with_group_values
+from rolltally.operators.joins import group_values
 
 PART_ROWS = 256
 
@@ -38,8 +38,7 @@ def due_batches(
     """
     due = F.greatest(F.ceil(F.col("step") / every), F.lit(1)) * every
     placed = rollouts.withColumn("save_step", due.cast("long"))
-    # A run may hold most of the rows, so its last step is looked up by salted key.
-    reached = with_group_values(placed, run, {"_last": F.max("step")}, ["step"])
+    reached = group_values(placed, run, {"_last": F.max("step")})
     return reached.where(F.col("save_step") <= F.col("_last")).drop("_last")
 
 

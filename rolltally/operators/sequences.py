@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolltally.functions import arrays
-from rolltally.operators.joins import HOT_ROWS, with_group_values
+from rolltally.operators.joins import group_values, with_group_values
 
 
 def assign_batches(
@@ -36,19 +36,22 @@ def shape_prompts(
     max_length: int,
     pad_id: int,
     prefix: str = "prompt",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Truncate, then pad to the longest prompt of the batch.
 
     Adds ``<prefix>_ids``, ``_mask``, ``_length`` (own) and ``_batch_length``. The batch
     maximum is a partial aggregate looked up again, so ids are never grouped by batch.
+    Batches of a fixed size need no more; where "batches" have any size, ``hot_rows``
+    spreads those with at least so many rows.
     """
     own, longest = f"{prefix}_length", f"{prefix}_batch_length"
     size = F.least(F.size(F.col(ids)), F.lit(max_length))
     sized = df.withColumn(own, size)
-    with_longest = with_group_values(
-        sized, batch, {longest: F.max(own)}, row_id, hot_rows=hot_rows
-    )
+    if hot_rows is None:
+        with_longest = group_values(sized, batch, {longest: F.max(own)})
+    else:
+        with_longest = with_group_values(sized, batch, {longest: F.max(own)}, row_id, hot_rows=hot_rows)
     return with_longest.withColumns(
         {
             f"{prefix}_ids": arrays.pad_right(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -43,7 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 @cache
 def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"rolltally-{application}-")
+    folder = tempfile.mkdtemp(prefix=f"rolltally-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:

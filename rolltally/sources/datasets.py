@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolltally.functions.fixed_values import SPLIT_FILE_FORMATS
+
 INSTRUCTION_EVAL_SCHEMA = T.StructType(
     [
         T.StructField("key", T.LongType()),
@@ -19,13 +20,19 @@ INSTRUCTION_EVAL_SCHEMA = T.StructType(
 
 
 def read_dataset(
-    spark: SparkSession, path: str, split: str = "train", schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    split: str = "train",
+    schema: T.StructType | None = None,
+    csv_multi_line: bool = True,
 ) -> DataFrame:
     """Read a dataset by folder, file or registered name.
 
     A folder is searched for ``<split>`` as .jsonl, .json, .parquet and .csv, in that
     order. A file is read by its ending. Anything else is a table name, filtered on its
     ``split`` column if it has one. Files may be folders of part files, as Spark writes.
+    CSV columns are text unless a schema says otherwise; a CSV file whose fields hold no
+    line breaks is split among tasks with ``csv_multi_line=False``.
     """
     ending = path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
     formats = dict(SPLIT_FILE_FORMATS)
@@ -33,9 +40,9 @@ def read_dataset(
         for suffix, fmt in SPLIT_FILE_FORMATS:
             candidate = f"{path.rstrip('/')}/{split}.{suffix}"
             if path_exists(spark, candidate):
-                return _read(spark, candidate, fmt, schema)
+                return _read(spark, candidate, fmt, schema, csv_multi_line)
         if ending in formats:
-            return _read(spark, path, formats[ending], schema)
+            return _read(spark, path, formats[ending], schema, csv_multi_line)
         raise ValueError(
             f"'{path}' has no file of split '{split}' and no supported ending. "
             f"Supported: {', '.join('.' + suffix for suffix in formats)}."
@@ -55,15 +62,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str, fmt: str, schema: T.StructType | None, csv_multi_line: bool
+) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "json":
         return reader.option("multiLine", is_json_array(spark, path)).json(path)
     if fmt == "csv":
-        # Quoted fields may span lines.
-        return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(
-            path, inferSchema=schema is None
-        )
+        return reader.option("header", True).option("multiLine", csv_multi_line).option("escape", '"').csv(path)
     return reader.parquet(path)
 
 

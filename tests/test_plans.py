@@ -6,8 +6,9 @@ import pytest
 
 from conftest import SF_DIR
 from rolltally.catalog import ORACLES, QUERIES
+from rolltally.catalog.bindings import logits as distill_input
 
-HOOKS = {"rule_scorer_hook", "reward_hook", "batch_function_hook"}
+HOOKS = {"rule_scorer_hook", "instruction_scorer_hook", "reward_hook", "batch_function_hook"}
 PYTHON = re.compile(r"ArrowEvalPython|BatchEvalPython|MapInPandas|PythonUDF")
 
 
@@ -95,5 +96,14 @@ def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[.*EqualTo\(lang,en\)", text)
 
 
+@pytest.mark.parametrize(
+    "name, most",
+    [("divergence_losses", 1), ("divergence_reductions", 1), ("student_logits_at_teacher_top_k", 1)],
+)
+def test_logits_are_read_once(spark, name, most):
+    one = plan(distill_input(spark, SF_DIR)).count("FileScan")
+    assert plan(QUERIES[name](spark, SF_DIR)).count("FileScan") <= most * one
+
+
 def test_every_query_has_a_check():
     assert set(ORACLES) == set(QUERIES)
