@@ -225,3 +225,19 @@ def test_null_cells_and_unequal_vocabularies(spark):
     ):
         with pytest.raises(Exception, match="Vocabularies differ"):
             run()
+
+
+def test_all_reductions_in_one_pass(table):
+    halves = table.withColumn("half", F.col("pos") % 2)
+    rows = distill.position_divergence(halves, beta=0.4)
+    one = {(r["half"], r["reduction"]): r for r in distill.reduce_divergence_all_ways(rows, ["half"]).collect()}
+    two = {(r["half"], r["reduction"]): r for r in distill.divergence_losses(halves, ["half"], beta=0.4).collect()}
+    assert one.keys() == two.keys() and len(one) == 8
+    for key, row in one.items():
+        half, how = key
+        reduction, label = ("batchmean", None) if how == "per example" else (how, "label")
+        wanted = distill.reduce_divergence(rows.where(F.col("half") == half), reduction=reduction, label=label).first()
+        assert row["loss"] == pytest.approx(wanted["loss"]) == pytest.approx(two[key]["loss"])
+        assert row["num_tokens"] == wanted["num_tokens"] == two[key]["num_tokens"]
+    masked = distill.divergence_losses(table.where("label = -100")).collect()
+    assert [r["reduction"] for r in masked] == ["per example"]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rolltally.operators import joins
 
@@ -68,3 +69,9 @@ def test_group_values(spark):
         (2, 9, -1),
         (None, 10, 5),
     }
+
+
+def test_group_values_keep_every_row(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, None, 2), (4, None, None)], "id long, g string, v int")
+    got = {r["id"]: r["top"] for r in joins.group_values(df, ["g"], {"top": F.max("v")}).collect()}
+    assert got == {1: 7, 2: 7, 3: 2, 4: 2}
