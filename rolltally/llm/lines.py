@@ -8,8 +8,15 @@ carry the parities of their hashed character pairs, of which an edit changes at
 so nearly all that differ elsewhere fall out at once; the others are verified by a banded
 bit-parallel edit distance over their texts.
 
+With ``words_an_edit``, lines are also near if one becomes the other by editing (changing,
+adding, dropping) at most one word for every so many words of the longer. That many edits
+leave one of the longer line's segments, one more than the edits, whole somewhere in the
+other. Both look up a run of ``GRAM`` words that the words around it determine, so that
+equal segments choose the same run. Candidates whose lengths and places allow it are
+verified by a bit-parallel edit distance over words, of any length.
+
 Lines are compared without white space at their ends. Lines without a word are left alone,
-lines of fewer than ``NEAR_CHARS`` code points have no near lines but equal ones. A line is
+lines of fewer than ``NEAR_CHARS`` code points have no lines within ``EDITS`` but equal ones. A line is
 removed if an equal line, or any near one, starts earlier: by document id (null last), then
 line number. What is judged is the input, not what is left of it.
 
@@ -20,15 +27,21 @@ Other columns, of whatever names, pass through.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolltally.llm.common import IN_WORD, handover, mix, named, packed, prefix_hash, row_key, substring_hash, text_chunks
+from rolltally.llm.common import IN_WORD, SEPARATORS, handover, mix, named, packed, prefix_hash, row_key, substring_hash, text_chunks, window_hash
 
 EDITS = 2
 NEAR_CHARS = 16
+# Words for each word that may be edited. Segments of longer lines have GRAM words at least,
+# from LONG words on WINDOW words.
+WORDS_AN_EDIT = 10
+GRAM, LONG, WINDOW = 5, 40, 8
 # Groups with more rows are compared block of rows by block of rows.
 GROUP_ROWS = 2048
 _CHAR_BASE = 0x8EBC6AF09C88C6E3
@@ -73,6 +86,17 @@ class Lines:
             np.bitwise_xor.accumulate(np.uint64(1) << hashed, out=pairs[1:n])
         self.parity = pairs[self.end - 1] ^ pairs[self.start]
 
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of all words; of each line, its first word and how many it has."""
+        inside = IN_WORD[np.minimum(self.codes, 255)]
+        begin, end = inside.copy(), inside.copy()
+        begin[1:] &= ~inside[:-1]
+        end[:-1] &= ~inside[1:]
+        begin[self.start], end[self.end - 1] = True, True
+        begin = np.flatnonzero(begin)
+        first = np.searchsorted(begin, self.start)
+        return begin, np.flatnonzero(end) + 1, first, np.searchsorted(begin, self.end) - first
+
     def line(self, k: int) -> str:
         return self.codes[self.start[k] : self.end[k]].tobytes().decode("utf-32-le")
 
@@ -106,6 +130,47 @@ def segment_keys(lines: Lines, chosen: np.ndarray, edits: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def word_keys(lines: Lines, chosen: np.ndarray, words_an_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key, place and whether a segment of its own chose it, for every run of words to meet under.
+
+    The place holds the line's number of words above that of the run's first word.
+    """
+    begin, end, first, count = lines.words()
+    hashes = mix(substring_hash(lines.prefix, begin, end, _CHAR_BASE) + mix((end - begin).astype(np.uint64)))
+    # A line is looked up by longer ones, which have at least words_an_edit words.
+    chosen = chosen[count[chosen] >= max(GRAM, words_an_edit - 1)]
+    none = np.zeros(0, dtype=np.int64)
+    if not len(chosen):
+        return none, none.astype(np.uint64), none, none.astype(bool)
+    first, count = first[chosen], count[chosen]
+    runs = window_hash(hashes, GRAM)
+    # The smallest run, the first of equal ones, of every window.
+    least = np.arange(len(runs))
+    shifts = WINDOW - GRAM
+    if len(runs) > shifts:
+        of_window = np.stack([runs[j : len(runs) - shifts + j] for j in range(shifts + 1)])
+        least[: len(runs) - shifts] += of_window.argmin(axis=0)
+    width = np.where(count < LONG, GRAM, WINDOW)
+
+    def spread(sizes):
+        which = np.repeat(np.arange(len(sizes)), sizes)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    which, k = spread(count - width + 1)
+    at = first[which] + k
+    at = np.where(width[which] == GRAM, at, least[at])
+    used = np.unique(at)
+    line = np.searchsorted(np.sort(first), used, "right") - 1
+    line = np.argsort(first, kind="stable")[line]
+    edits = count // words_an_edit
+    which, k = spread(np.where(edits > 0, edits + 1, 0))
+    begin_at, _ = _segment(count[which], k, edits[which] + 1)
+    at = first[which] + begin_at
+    at = np.where(width[which] == GRAM, at, least[at])
+    own = np.isin(used, at)
+    return chosen[line], runs[used], (count[line] << 32) | (used - first[line]), own
+
+
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
@@ -127,7 +192,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "row_key long, doc_id long, line_no int, id long")
 
 
-def _parts(docs: DataFrame, edits: int, near_chars: int) -> DataFrame:
+def _parts(docs: DataFrame, edits: int, near_chars: int, fewer_words: int | None = None) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(1)):
@@ -135,6 +200,8 @@ def _parts(docs: DataFrame, edits: int, near_chars: int) -> DataFrame:
                 # Equal lines of a chunk look up once.
                 _, at = np.unique(lines.id, return_index=True)
                 chosen = at[lines.length[at] >= max(near_chars, edits + 1)]
+                if fewer_words is not None:
+                    chosen = chosen[lines.words()[3][chosen] < fewer_words]
                 if not len(chosen):
                     continue
                 line, key, own = segment_keys(lines, chosen, edits)
@@ -143,16 +210,43 @@ def _parts(docs: DataFrame, edits: int, near_chars: int) -> DataFrame:
     return docs.mapInArrow(scan, "key long, id long, parity long, own boolean")
 
 
+def _word_parts(docs: DataFrame, words_an_edit: int) -> DataFrame:
+    def scan(batches):
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(1)):
+                lines = Lines(data, offsets)
+                _, at = np.unique(lines.id, return_index=True)
+                line, key, place, own = word_keys(lines, at, words_an_edit)
+                if len(line):
+                    yield pa.RecordBatch.from_arrays([_long(key), _long(lines.id[line]), pa.array(place), pa.array(own)], names=["key", "id", "parity", "own"])
+
+    return docs.mapInArrow(scan, "key long, id long, parity long, own boolean")
+
+
+def _like_parities(most_bits: int):
+    return lambda a, b: np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= most_bits
+
+
+def _like_places(words_an_edit: int):
+    """Whether moving the run and then ending at the other length takes no more edits than allowed."""
+
+    def agree(a, b):
+        longer, moved = (a >> 32) - (b >> 32), (a & 0xFFFFFFFF) - (b & 0xFFFFFFFF)
+        return np.abs(moved) + np.abs(longer - moved) <= np.maximum(a >> 32, b >> 32) // words_an_edit
+
+    return agree
+
+
 _NAMES = ("key", "sub", "side", "id", "parity", "own")
 
 
-def _pairs_of(rows: dict[str, np.ndarray], most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different lines of a group, one with the part as its own, whose parities agree."""
+def _pairs_of(rows: dict[str, np.ndarray], agree) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different lines of a group, one with the part as its own, whose parities (or places) agree."""
     n = len(rows["id"])
     new = np.ones(n, dtype=bool)
     new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["sub"][1:] != rows["sub"][:-1])
     group = np.cumsum(new)
-    parity, own, side, ids = rows["parity"].view(np.uint64), rows["own"], rows["side"], rows["id"]
+    parity, own, side, ids = rows["parity"], rows["own"], rows["side"], rows["id"]
     at, left, right = np.arange(n), [], []
     for step in range(1, n):
         at = at[at + step < n]
@@ -160,7 +254,7 @@ def _pairs_of(rows: dict[str, np.ndarray], most_bits: int) -> tuple[np.ndarray,
         if not len(at):
             break
         other = at + step
-        ok = np.bitwise_count(parity[at] ^ parity[other]) <= most_bits
+        ok = agree(parity[at], parity[other])
         a, b = at[ok], other[ok]
         ok = (own[a] | own[b]) & (ids[a] != ids[b]) & ((side[a] != side[b]) | (side[a] < 0))
         left.append(ids[a[ok]])
@@ -172,7 +266,7 @@ def _pairs_of(rows: dict[str, np.ndarray], most_bits: int) -> tuple[np.ndarray,
     return both[:, 0], both[:, 1]
 
 
-def _compare(batches, most_bits: int, limit: int):
+def _compare(batches, agree, limit: int):
     """Candidate pairs from rows sorted by group; rows of groups beyond ``limit`` go on unread.
 
     Yields rows with ``a`` and ``b`` for pairs, and with ``key`` for rows that are to be
@@ -180,7 +274,7 @@ def _compare(batches, most_bits: int, limit: int):
     """
 
     def pairs(rows):
-        a, b = _pairs_of(rows, most_bits)
+        a, b = _pairs_of(rows, agree)
         empty = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), empty, empty, empty, pa.nulls(len(a), pa.bool_())], names=["a", "b", "key", "id", "parity", "own"])
 
@@ -218,12 +312,20 @@ def _compare(batches, most_bits: int, limit: int):
 _COMPARED = "a long, b long, key long, id long, parity long, own boolean"
 
 
-def candidate_pairs(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Pairs (``a``, ``b``) of ids of different lines that may be within ``edits``."""
-    most_bits = 4 * edits
-    parts = _parts(docs, edits, near_chars).select("key", F.lit(0).alias("sub"), F.lit(-1).alias("side"), "id", "parity", "own")
+def candidate_pairs(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, group_rows: int = GROUP_ROWS, fewer_words: int | None = None) -> DataFrame:
+    """Pairs (``a``, ``b``) of ids of different lines (of ``fewer_words``) that may be within ``edits``."""
+    return _meet(spark, _parts(docs, edits, near_chars, fewer_words), _like_parities(4 * edits), group_rows)
+
+
+def word_candidate_pairs(spark: SparkSession, docs: DataFrame, words_an_edit: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Pairs (``a``, ``b``) of ids of different lines that may be near in words."""
+    return _meet(spark, _word_parts(docs, words_an_edit), _like_places(words_an_edit), group_rows)
+
+
+def _meet(spark: SparkSession, parts: DataFrame, agree, group_rows: int) -> DataFrame:
+    parts = parts.select("key", F.lit(0).alias("sub"), F.lit(-1).alias("side"), "id", "parity", "own")
     met = parts.repartition("key").sortWithinPartitions("key", "id")
-    first = handover(spark, met.mapInArrow(lambda batches: _compare(batches, most_bits, group_rows), _COMPARED), "line-pairs")
+    first = handover(spark, met.mapInArrow(lambda batches: _compare(batches, agree, group_rows), _COMPARED), "line-pairs")
     # Groups too large for one task: every pair of their blocks of rows becomes a group.
     hot = first.where("key IS NOT NULL").groupBy("key", "id", "parity").agg(F.max("own").alias("own"))
     sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(group_rows)).cast("int").alias("parts"))
@@ -238,7 +340,7 @@ def candidate_pairs(spark: SparkSession, docs: DataFrame, edits: int = EDITS, ne
         "own",
     )
     blocks = rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "id")
-    more = blocks.mapInArrow(lambda batches: _compare(batches, most_bits, 1 << 62), _COMPARED)
+    more = blocks.mapInArrow(lambda batches: _compare(batches, agree, 1 << 62), _COMPARED)
     return first.where("a IS NOT NULL").select("a", "b").union(more.select("a", "b")).distinct()
 
 
@@ -280,6 +382,45 @@ def banded_distances(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     return np.where(far > edits, edits + 1, score)
 
 
+_SPACE = re.compile("[" + re.escape(SEPARATORS.decode()) + "]+")
+
+
+def word_distance(a: list[str], b: list[str]) -> int:
+    """Edit distance over words: bit vectors of vertical differences, as long as the line."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    full, last, score = (1 << len(a)) - 1, len(a) - 1, len(a)
+    up, down = full, 0
+    for word in b:
+        match = places.get(word, 0)
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        right, left = down | (full & ~(diagonal | up)), diagonal & up
+        score += (right >> last & 1) - (left >> last & 1)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | (full & ~(diagonal | right)), right & diagonal
+    return score
+
+
+def near_in_words(a: str, b: str, words_an_edit: int) -> bool:
+    """Whether edits of words, one for every ``words_an_edit`` of the longer line, suffice.
+
+    Shorter lines are near to none, not even to those of the same words in other white space.
+    """
+    one, other = _SPACE.split(a), _SPACE.split(b)
+    allowed = max(len(one), len(other)) // words_an_edit
+    return allowed > 0 and abs(len(one) - len(other)) <= allowed and word_distance(one, other) <= allowed
+
+
 def _texts_of(spark: SparkSession, docs: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id`` and ``line`` of every line that is in a pair, read where it first occurs."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -299,34 +440,43 @@ def _texts_of(spark: SparkSession, docs: DataFrame, firsts: DataFrame, pairs: Da
     return handover(spark, read.dropDuplicates(["id"]), "candidate-lines")
 
 
-def links(spark: SparkSession, docs: DataFrame, firsts: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """Pairs (``a``, ``b``) of different lines within ``edits``, with their ``distance``."""
-    pairs = handover(spark, candidate_pairs(spark, docs, edits, near_chars), "candidate-pairs")
+def links(spark: SparkSession, docs: DataFrame, firsts: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, words_an_edit: int | None = None) -> DataFrame:
+    """Pairs (``a``, ``b``) of different lines within ``edits``, or near in words."""
+    if words_an_edit is not None and words_an_edit < 2 * GRAM:
+        raise ValueError(f"words_an_edit has to be {2 * GRAM} or more, for segments to hold {GRAM} words")
+    # An edit of a character edits at most two words (a space between them comes or goes), so
+    # a line of so many words that is within edits of another is near to it in words.
+    fewer_words = None if words_an_edit is None else 2 * edits * words_an_edit
+    pairs = candidate_pairs(spark, docs, edits, near_chars, fewer_words=fewer_words).withColumn("by_chars", F.lit(True))
+    if words_an_edit is not None:
+        pairs = pairs.union(word_candidate_pairs(spark, docs, words_an_edit).withColumn("by_chars", F.lit(False)))
+        pairs = pairs.groupBy("a", "b").agg(F.max("by_chars").alias("by_chars"))
+    pairs = handover(spark, pairs, "candidate-pairs")
     texts = _texts_of(spark, docs, firsts, pairs)
     first, second = texts.toDF("a", "line_a"), texts.toDF("b", "line_b")
 
     def verify(batches):
         for batch in batches:
-            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            lines = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-            sizes = np.array([max(len(a), len(b)) for a, b in lines])
+            lines = list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()))
+            near = np.array([words_an_edit is not None and near_in_words(a, b, words_an_edit) for a, b in lines], dtype=bool)
+            sizes = np.array([max(len(a), len(b)) for a, b in lines], dtype=np.int64)
             order = np.argsort(sizes, kind="stable")
+            order = order[batch.column(2).to_numpy(zero_copy_only=False)[order] & ~near[order]]
             low = 0
             while low < len(order):  # pairs of like length, bounded in characters
                 high = low + 1
                 while high < len(order) and (high + 1 - low) * sizes[order[high]] <= 1 << 21:
                     high += 1
                 part = order[low:high]
-                distance = banded_distances([lines[k] for k in part], edits)
-                near = distance <= edits
-                yield pa.RecordBatch.from_arrays([pa.array(ids[0][part[near]]), pa.array(ids[1][part[near]]), pa.array(distance[near].astype(np.int32))], names=["a", "b", "distance"])
+                near[part] = banded_distances([lines[k] for k in part], edits) <= edits
                 low = high
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "line_a", "line_b")
-    return handover(spark, joined.mapInArrow(verify, "a long, b long, distance int"), "line-links")
+    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "by_chars", "line_a", "line_b")
+    return handover(spark, joined.mapInArrow(verify, "a long, b long"), "line-links")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, words_an_edit: int | None = None) -> DataFrame:
     """All rows with their columns in ``row``, and per row what its lines came to.
 
     ``kept_text`` is the text without the removed lines, ``n_lines`` counts lines with a word,
@@ -338,7 +488,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_c
     order = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "line_no", "row_key")
     firsts = found.groupBy("id").agg(F.min(order).alias("first")).select("id", "first.*")
     firsts = handover(spark, firsts, "first-lines")
-    near = links(spark, source.select("row_key", "text"), firsts.select("id", "row_key", "line_no"), edits, near_chars)
+    near = links(spark, source.select("row_key", "text"), firsts.select("id", "row_key", "line_no"), edits, near_chars, words_an_edit)
 
     both = near.select(F.col("a").alias("id"), F.col("b").alias("other")).union(near.select("b", "a"))
     placed = firsts.select("id", F.struct("without_id", "doc_id", "line_no", "row_key").alias("place"))
@@ -378,9 +528,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_c
     )
 
 
-def without_repeated_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, words_an_edit: int | None = None) -> DataFrame:
     """The documents with the same columns, ``text`` (and ``n_chars``, if there) brought up to date."""
-    result = dedup_lines(spark, docs, edits, near_chars)
+    result = dedup_lines(spark, docs, edits, near_chars, words_an_edit)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     kinds = dict(docs.dtypes)
     fields = [(new[c].cast(kinds[c]) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns]

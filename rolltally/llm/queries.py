@@ -76,7 +76,7 @@ def op5_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(spark, _table(spark, sf_dir, "documents"))
+    found = lines.dedup_lines(spark, _table(spark, sf_dir, "documents"), words_an_edit=lines.WORDS_AN_EDIT)
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "n_links", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -129,6 +129,62 @@ def test_lines_of_odd_documents(spark, odd, empty):
     assert lines.dedup_lines(spark, empty).count() == 0
 
 
+def near_by_either_rule(x, y):
+    one, other = x.split(" "), y.split(" ")
+    allowed = max(len(one), len(other)) // lines.WORDS_AN_EDIT
+    by_words = allowed > 0 and abs(len(one) - len(other)) <= allowed and edit_distance(one, other) <= allowed
+    by_chars = min(len(x), len(y)) >= lines.NEAR_CHARS and abs(len(x) - len(y)) <= lines.EDITS and edit_distance(x, y) <= lines.EDITS
+    return by_words or by_chars
+
+
+def word_edited(random, words, vocabulary, n):
+    words = list(words)
+    for _ in range(n):
+        k = random.randrange(len(words))
+        words[k : k + random.randrange(2)] = random.choices(vocabulary, k=random.randrange(2))
+    return words
+
+
+def test_lines_near_in_words_equal_all_pairs(spark, docs_of):
+    rng = random.Random(5)
+    # Few words, so that runs of them recur at many places.
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 11))) for _ in range(40)]
+    bases = [rng.choices(vocabulary, k=n) for n in (9, 10, 11, 19, 20, 36, 40, 44, 60, 120)] + [["same"] * 50]
+    texts = []
+    for base in bases:
+        for n in (0, 1, 2, len(base) // 10, len(base) // 10, len(base) // 10 + 1):
+            texts.append(" ".join(word_edited(rng, base, vocabulary, n)))
+    # Two edits of characters that are four of words, around the length from which these suffice.
+    for n in (38, 39, 40, 41, 42):
+        w = rng.choices(vocabulary, k=n)
+        texts += [" ".join(w), " ".join(w[:5]) + " ".join(w[5:30]) + " ".join(w[30:])]
+    rng.shuffle(texts)
+    texts = list(dict.fromkeys(texts))
+    near = {i: [] for i in range(len(texts))}
+    for i, x in enumerate(texts):
+        for j in range(i):
+            if near_by_either_rule(x, texts[j]):
+                near[i].append(j)
+                near[j].append(i)
+    assert sum(map(len, near.values())) > 2 * len(texts)
+    found = lines.dedup_lines(spark, docs_of([(i, t, "en", "s", 0) for i, t in enumerate(texts)]).repartition(5), words_an_edit=lines.WORDS_AN_EDIT)
+    got = {r[0]: (r[1], r[2]) for r in found.select("row.doc_id", "n_links", "n_removed").collect()}
+    assert got == {i: (len(js), int(any(j < i for j in js))) for i, js in near.items()}
+
+
+def test_line_with_one_word_changed_goes(spark, docs_of, monkeypatch):
+    line = "the committee met on monday to read the long report about rivers and lakes"
+    texts = [line, line.replace("monday", "wednesday"), line.replace("long ", ""), line + " again", "ten other words that stand in no other line here"]
+    monkeypatch.setattr(queries, "_table", lambda *_: docs_of([(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    assert sorted((r["doc_id"], r["n_removed"]) for r in queries.op6_line_dedup(spark, "").collect()) == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 0)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+def test_word_distance(a, b):
+    assert lines.word_distance(a, b) == edit_distance(a, b)
+
+
 # --- decontamination
 
 
