@@ -13,7 +13,7 @@ result. Extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolltally.llm.common import handover, named
@@ -32,8 +32,10 @@ RULES = {
     "capitals": ("(1000 * n_capitals) div word_chars", 300, False, 0),
     "length": ("(100 * word_chars) div n_words", 0, True, 200),
 }
-# Bins of a sketch are the whole numbers up to here; higher values share the last bin.
+# Bins of a sketch are the whole numbers up to here and beyond, then ever wider: a value keeps
+# its first BIN_BITS bits. There is no last bin, and wide ones merge by adding just as well.
 TOP_BIN = 5000
+BIN_BITS = 13
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
@@ -113,13 +115,19 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def bin_of(value: str) -> Column:
+    """The bin of a statistic, for the sketches as for what is judged by them."""
+    wide = f"greatest(length(bin({value})) - {BIN_BITS}, 0)"
+    return F.expr(f"shiftleft(shiftright(CAST({value} AS BIGINT), {wide}), {wide})")
+
+
 def sketches(stats: DataFrame) -> DataFrame:
     """Histogram sketches: ``lang``, ``source``, ``rule``, ``bin``, ``n``.
 
     Counted from what passes the base rules. Tasks send one row per bin that occurs, however
     many documents a source has. Sketches of sources merge to that of their language by adding.
     """
-    values = [F.struct(F.lit(name).alias("rule"), F.least(F.expr(value), F.lit(TOP_BIN)).cast("long").alias("bin")) for name, (value, *_) in RULES.items()]
+    values = [F.struct(F.lit(name).alias("rule"), bin_of(value).alias("bin")) for name, (value, *_) in RULES.items()]
     each = stats.where("NOT base_failed").select("lang", "source", F.explode(F.array(*values)).alias("x"))
     return each.groupBy("lang", "source", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
@@ -170,6 +178,6 @@ def quality_filter(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = ~F.col("base_failed")
     for rule, (value, *_) in RULES.items():
         # Text that passes the base rules has words; others are not judged further.
-        measured = F.expr(f"CASE WHEN base_failed THEN NULL ELSE {value} END")
+        measured = F.when(~F.col("base_failed"), bin_of(value))
         kept &= F.coalesce(measured.between(F.col(f"{rule}_low"), F.col(f"{rule}_high")), F.lit(True))
     return joined.select("s.doc_id", "s.lang", "s.source", *STATISTICS, "base_failed", kept.alias("kept"))

@@ -338,6 +338,20 @@ def test_limits_follow_the_sketches(spark, table):
     assert 0 < sum(r["kept"] for r in judged) < len(judged)
 
 
+def test_bins_have_no_top(spark):
+    values = [0, 1, 4999, 5000, 5001, 8191, 8192, 8193, 123_457, (1 << 40) + 12345]
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.bin_of("v")).collect()]
+    assert found == [v if v < 8192 else v >> v.bit_length() - 13 << v.bit_length() - 13 for v in values]
+
+
+def test_long_words_are_judged_by_their_own_group(spark, docs_of):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("漢字仮名交文", k=60 + i % 31)) for _ in range(60)), "zh", "s", 0) for i in range(62)]
+    rows.append((99, " ".join("".join(rng.choices("漢字仮名交文", k=900)) for _ in range(60)), "zh", "s", 0))
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_filter(spark, docs_of(rows)).collect()}
+    assert kept == {r[0]: r[0] != 99 for r in rows}
+
+
 def test_quality_has_no_python_in_its_plan(spark, table):
     plan = quality.base_statistics(table("documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
