@@ -5,6 +5,9 @@ and source, a histogram sketch of each statistic (counts of equal-width bins, so
 merge by adding) gives its quartiles, and what lies far beyond them fails. Groups with few
 documents use their language's merged sketch.
 
+With ``tail``, upper limits have no fixed floors: where a rule's quartiles lie closer than the
+statistic resolves, its limit is the quantile ``tail`` (per cent) of the same sketch.
+
 Defined results: null texts have no words and fail the base rules; null languages and
 sources are groups like others; where even the language has fewer than ``MIN_GROUP``
 documents that pass the base rules, only these apply. Rows that repeat are rows of the
@@ -32,6 +35,10 @@ RULES = {
     "capitals": ("(1000 * n_capitals) div word_chars", 300, False, 0),
     "length": ("(100 * word_chars) div n_words", 0, True, 200),
 }
+# The quantile, in per cent, for rules without spread: the last of MIN_GROUP documents exceeds it.
+TAIL = 95
+# What one more symbol, repeated word or capital comes to in the shortest texts that are judged.
+RESOLUTION = {"symbols": 20, "copied_lines": 20, "repeats": 20, "capitals": 4}
 # Bins of a sketch are the whole numbers up to here and beyond, then ever wider: a value keeps
 # its first BIN_BITS bits. There is no last bin, and wide ones merge by adding just as well.
 TOP_BIN = 5000
@@ -132,8 +139,8 @@ def sketches(stats: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _limits(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Lower and upper limit per group and rule, from the quartiles of the merged sketch."""
+def _limits(sketch: DataFrame, by: list[str], tail: int | None) -> DataFrame:
+    """Lower and upper limit per group and rule, from the quartiles (and tail) of the merged sketch."""
     merged = sketch.groupBy(*by, "rule", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rule")
     ranked = merged.withColumn("below", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
@@ -141,12 +148,18 @@ def _limits(sketch: DataFrame, by: list[str]) -> DataFrame:
         F.max("total").alias("total"),
         F.min(F.when(4 * F.col("below") >= F.col("total"), F.col("bin"))).alias("q1"),
         F.min(F.when(4 * F.col("below") >= 3 * F.col("total"), F.col("bin"))).alias("q3"),
+        F.min(F.when(100 * F.col("below") >= F.lit(tail or 100) * F.col("total"), F.col("bin"))).alias("tail"),
     )
     reach = REACH * (F.col("q3") - F.col("q1"))
     out = []
     for name, (_, floor, two_sided, slack) in RULES.items():
         far = F.greatest(reach, F.lit(slack))
-        out.append((name, F.greatest(F.col("q3") + far, F.lit(floor)), F.col("q1") - far if two_sided else F.lit(-1)))
+        high = F.greatest(F.col("q3") + far, F.lit(floor))
+        if tail is not None and name in RESOLUTION:
+            least = RESOLUTION[name]
+            beyond = F.greatest(F.col("tail"), F.col("q3") + reach) + least
+            high = F.when(F.col("q3") - F.col("q1") < least, beyond).otherwise(F.col("q3") + reach)
+        out.append((name, high, F.col("q1") - far if two_sided else F.lit(-1)))
     high, low = F.lit(None).cast("long"), F.lit(None).cast("long")
     for name, top, bottom in out:
         high, low = F.when(F.col("rule") == name, top).otherwise(high), F.when(F.col("rule") == name, bottom).otherwise(low)
@@ -154,25 +167,25 @@ def _limits(sketch: DataFrame, by: list[str]) -> DataFrame:
     return wide.pivot("rule", list(RULES)).agg(F.max(high).alias("high"), F.max(low).alias("low"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
+def thresholds(sketch: DataFrame, tail: int | None = None) -> DataFrame:
     """Limits per ``lang`` and ``source`` that occur, from the source's sketch or its language's."""
     names = [f"{rule}_{side}" for rule in RULES for side in ("high", "low")]
-    own = _limits(sketch, ["lang", "source"])
-    merged = _limits(sketch, ["lang"])
+    own = _limits(sketch, ["lang", "source"], tail)
+    merged = _limits(sketch, ["lang"], tail)
     groups = sketch.select("lang", "source").distinct().alias("g")
     joined = groups.join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left")
     joined = joined.join(merged.alias("m"), F.col("g.lang").eqNullSafe(F.col("m.lang")), "left")
     return joined.select("g.lang", "g.source", *(F.coalesce(f"o.{n}", f"m.{n}").alias(n) for n in names))
 
 
-def quality_filter(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def quality_filter(spark: SparkSession, docs: DataFrame, tail: int | None = None) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` of every document.
 
     The statistics (a few numbers per document) are written once, sketched, and filtered by
     a join with the limits of their language and source.
     """
     stats = handover(spark, base_statistics(docs), "quality-statistics")
-    limits = handover(spark, thresholds(sketches(stats)), "quality-limits").alias("l")
+    limits = handover(spark, thresholds(sketches(stats), tail), "quality-limits").alias("l")
     s = stats.alias("s")
     joined = s.join(limits, F.col("s.lang").eqNullSafe(F.col("l.lang")) & F.col("s.source").eqNullSafe(F.col("l.source")), "left")
     kept = ~F.col("base_failed")

@@ -89,7 +89,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality_filter(spark, _table(spark, sf_dir, "documents"))
+    judged = quality.quality_filter(spark, _table(spark, sf_dir, "documents"), tail=quality.TAIL)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

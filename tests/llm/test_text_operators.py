@@ -352,6 +352,21 @@ def test_long_words_are_judged_by_their_own_group(spark, docs_of):
     assert kept == {r[0]: r[0] != 99 for r in rows}
 
 
+def test_rules_without_spread_follow_their_tail(spark, docs_of, monkeypatch):
+    rng = random.Random(7)
+
+    def text(n_symbols):
+        w = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(100)]
+        return " ".join(x + "#" * (i < n_symbols) for i, x in enumerate(w))
+
+    # A source without symbols, and one in which they are usual; 100 per mille in the first stands out.
+    rows = [(i, text(10 if i < 3 else 0), "en", "plain", 0) for i in range(100)]
+    rows += [(100 + i, text(rng.choice([10, 20, 30])), "en", "code", 0) for i in range(100)]
+    monkeypatch.setattr(queries, "_table", lambda *_: docs_of(rows))
+    kept = {r["doc_id"]: r["kept"] for r in queries.op8_quality_rules(spark, "").collect()}
+    assert [i for i, k in sorted(kept.items()) if not k] == [0, 1, 2]
+
+
 def test_quality_has_no_python_in_its_plan(spark, table):
     plan = quality.base_statistics(table("documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
