@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolltally.llm import decontaminate, lines, packing, quality, simhash, substrings, tokencounts, tokenfiles, toxicity, warc
+from rolltally.llm import alignment, decontaminate, lines, packing, quality, sharding, simhash, substrings, tokencounts, tokenfiles, toxicity, variants, warc
 from rolltally.llm.common import handover, reach_workers
 from rolltally.llm.oracles import ORACLES  # noqa: F401  (read by the entry point)
 
@@ -20,6 +19,19 @@ END_ID = 2
 SEPARATOR_ID = 49407
 
 
+# The tokenizers that the alignment compares.
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
+# One in so many words of a document loses a letter in the query on spelling.
+SPOILED = 199
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a tokenizer's file; only the queries that encode need the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(function):
     QUERIES[function.__name__] = function
     return function
@@ -70,7 +82,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tokenfiles.write_packed(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
+    files = tokenfiles.write_packed(spark, _table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), END_ID)
     return tokenfiles.read_packed(files, digest=True)
 
 
@@ -95,7 +107,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, written = tokencounts.write_flat(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), SEPARATOR_ID)
+    folder, written = tokencounts.write_flat(spark, _table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), SEPARATOR_ID)
     counts = handover(spark, tokencounts.token_counts(spark, folder, written, SEPARATOR_ID), "token-counts")
     return written.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
@@ -105,3 +117,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     placed = packing.best_fit(docs, packing.word_length(docs["text"]) + 1, packing.text_cluster(docs["text"]))
     return placed.select("doc_id", "piece", "start", "length", "group", "bin", "slot", "offset")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.variants_of(spark, _table(spark, sf_dir, "documents"), spoil_one_in=SPOILED)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.align(spark, docs, tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.balanced_shards(spark, _table(spark, sf_dir, "documents"))
+    return dealt.select(
+        F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
