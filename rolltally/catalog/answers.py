@@ -254,5 +254,36 @@ def correctness_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<think>\\boxed{none}</think>"), "props", F.lit(" \\boxed{"), answer, F.lit("} not \\boxed{0}")),
     ).otherwise(F.col("props"))
     return b.table(spark, sf_dir, "events").select(
-        "event_id", answers.correctness_reward(completion, wanted).alias("reward")
+        "event_id", answers.correctness_reward(completion, wanted, expressions=False).alias("reward")
     )
+
+
+_A, _B, _C = "(o_custkey % 9 + 1)", "(o_orderkey % 7 + 1)", "(o_custkey // 9 % 3)"
+
+
+@query(
+    "expression_equality",
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 3 THEN {_A} = {_B} WHEN o_orderkey % 11 = 10 THEN false
+                                ELSE {_C} = 0 END AS equal FROM orders""",
+)
+def expression_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers written in two ways; the second is off by a number, which may be zero."""
+    orders = b.table(spark, sf_dir, "orders")
+    first, second, off = F.pmod("o_custkey", F.lit(9)) + 1, F.pmod("o_orderkey", F.lit(7)) + 1, F.pmod(F.floor(F.col("o_custkey") / 9), F.lit(3))
+    pairs = [
+        (r"\frac{%1$s}{%2$s}", r"(%1$s+%3$s)/%2$s"),
+        (r"%1$s\%%", r"\frac{%1$s + %3$s}{100}"),
+        (r"\sqrt{%1$s^2 \cdot %2$s}", r"(%1$s+%3$s)\sqrt{%2$s}"),
+        ("(%1$s, %2$s)", r"\left( %2$s , %1$s \right)"),
+        (r"\{%1$s, %2$s\}", r"\{ %2$s, %1$s+%3$s \}"),
+        ("x^2 - %1$s^2", "(x - %1$s)(x + %1$s + %3$s)"),
+        (r"%1$s\text{ cm}", "x = %1$s + %3$s"),
+        ("2^{%2$s}", "2^%2$s + %3$s"),
+        (r"\frac{1}{\sqrt{%2$s+1}+\sqrt{%2$s}}", r"\sqrt{%2$s+1} - \sqrt{%2$s} - %3$s"),
+        (r"%1$s\pi + %2$s\pi", r"(%1$s + %2$s + %3$s)\pi"),
+        (r"\frac{%1$s", r"%1$s/"),
+    ]
+    which = F.pmod("o_orderkey", F.lit(len(pairs))).cast("int")
+    numbers = [x.cast("string") for x in (first, second, off)]
+    left, right = (F.get(F.array(*[F.format_string(pair[k], *numbers) for pair in pairs]), which) for k in (0, 1))
+    return orders.select("o_orderkey", answers.grade(left, right).alias("equal"))

@@ -22,7 +22,7 @@ from rolltally.plans.math_eval import evaluate_benchmark, evaluate_math
         SELECT run, problem_id, sample_idx, shown, is_formatted, is_correct FROM samples""",
 )
 def graded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = grading.grade_samples(b.samples(spark, sf_dir))
+    graded = grading.grade_samples(b.samples(spark, sf_dir), expressions=False)
     return graded.select("run", "problem_id", "sample_idx", "shown", "is_formatted", "is_correct")
 
 
@@ -32,7 +32,7 @@ def graded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT run, shown, count(*) AS n FROM samples WHERE is_formatted GROUP BY run, shown""",
 )
 def formatted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = grading.grade_samples(b.samples(spark, sf_dir))
+    graded = grading.grade_samples(b.samples(spark, sf_dir), expressions=False)
     return graded.where("is_formatted").groupBy("run", "shown").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -43,7 +43,7 @@ def formatted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                has_correct FROM problems""",
 )
 def problem_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = grading.problem_results(b.samples(spark, sf_dir))
+    results = grading.problem_results(b.samples(spark, sf_dir), expressions=False)
     return results.drop("majority_answer", "majority_correct")
 
 
@@ -52,7 +52,7 @@ def problem_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {b.PROBLEMS} SELECT run, problem_id, majority_answer, majority_correct FROM problems",
 )
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = grading.problem_results(b.samples(spark, sf_dir))
+    results = grading.problem_results(b.samples(spark, sf_dir), expressions=False)
     return results.select("run", "problem_id", "majority_answer", "majority_correct")
 
 
@@ -81,7 +81,7 @@ _RATES = ("pass_at_n_pct", "average_at_n_pct", "majority_vote_at_n_pct", "format
 
 @query("math_run_metrics", _METRICS + " SELECT * FROM metrics")
 def math_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate_math(b.samples(spark, sf_dir), b.VAL_N).metrics, *_RATES)
+    return rounded(evaluate_math(b.samples(spark, sf_dir), b.VAL_N, expressions=False).metrics, *_RATES)
 
 
 _STEPS = (0, 25, 50, 75, 100)
@@ -138,14 +138,14 @@ _RUNNING_COLUMNS = ("run", "problem_id", "seen", "pass_at_n_pct", "average_at_n_
 
 @query("running_metrics", _RUNNING + " SELECT * FROM running")
 def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = grading.problem_results(b.samples(spark, sf_dir))
+    results = grading.problem_results(b.samples(spark, sf_dir), expressions=False)
     running = grading.running_metrics(results, b.VAL_N)
     return rounded(running.select(*_RUNNING_COLUMNS), *_RUNNING_COLUMNS[3:])
 
 
 @query("progress_rows", _RUNNING + " SELECT * FROM running WHERE (problem_id + 1) % 10 = 0")
 def progress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    progress = evaluate_math(b.samples(spark, sf_dir), b.VAL_N).progress
+    progress = evaluate_math(b.samples(spark, sf_dir), b.VAL_N, expressions=False).progress
     return rounded(progress.select(*_RUNNING_COLUMNS), *_RUNNING_COLUMNS[3:])
 
 
@@ -164,7 +164,7 @@ def progress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY s.run, s.problem_id, part""",
 )
 def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = evaluate_math(b.samples(spark, sf_dir), b.VAL_N).nested
+    nested = evaluate_math(b.samples(spark, sf_dir), b.VAL_N, expressions=False).nested
     return nested.select(
         "run",
         "problem_id",
@@ -208,7 +208,7 @@ SELECT 'bench' AS benchmark, step, score, round(score - first_value(score) OVER
 FROM scores""",
 )
 def gain_over_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = evaluate_math(b.samples(spark, sf_dir), b.VAL_N).metrics
+    metrics = evaluate_math(b.samples(spark, sf_dir), b.VAL_N, expressions=False).metrics
     scores = metrics.select(
         F.lit("bench").alias("benchmark"),
         F.regexp_extract("run", r"(\d+)$", 1).cast("long").alias("step"),
@@ -226,7 +226,7 @@ def gain_over_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM samples GROUP BY run""",
 )
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = grading.grade_samples(b.samples(spark, sf_dir)).select(
+    graded = grading.grade_samples(b.samples(spark, sf_dir), expressions=False).select(
         F.lit("model").alias("model"),
         F.when(F.col("run") != "checkpoint-0", F.col("run")).alias("checkpoint"),
         "is_correct",
@@ -425,7 +425,7 @@ def union_named_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def custom_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial credit for a box with a wrong answer, as a user may want it."""
-    graded = grading.grade_samples(b.samples(spark, sf_dir))
+    graded = grading.grade_samples(b.samples(spark, sf_dir), expressions=False)
     credit = F.when(F.col("is_correct"), 1.0).when(F.col("is_formatted"), 0.25).otherwise(0.0)
     return benchmarks.custom_metrics(
         graded,

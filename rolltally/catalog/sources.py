@@ -173,7 +173,7 @@ def jsonl_null_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document of settings and metrics, written and read back."""
     path = new_path(spark, "summary")
-    metrics = run_metrics(problem_results(b.samples(spark, sf_dir)), b.VAL_N, by=[])
+    metrics = run_metrics(problem_results(b.samples(spark, sf_dir), expressions=False), b.VAL_N, by=[])
     config = {"base_model": "model", "dataset": "events", "temperature": 1.0, "val_n": b.VAL_N}
     sinks.write_summary(sinks.summary_row(metrics, config), path)
     schema = """base_model string, dataset string, temperature double, val_n int, num_problems long, pass_at_n long,
@@ -192,7 +192,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detailed results beside the summary, read back from the files."""
     path = new_path(spark, "evaluation")
-    write_evaluation(evaluate_math(b.samples(spark, sf_dir), b.VAL_N), path, {"dataset": "events"})
+    write_evaluation(evaluate_math(b.samples(spark, sf_dir), b.VAL_N, expressions=False), path, {"dataset": "events"})
     schema = """run string, problem_id long, part int, val_n int, generations array<struct<predicted_answer: string,
                 full_generation: string, correct: boolean, formatted: boolean>>"""
     stored = spark.read.schema(schema).json(f"{path}/results")
@@ -215,7 +215,7 @@ def written_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of all runs appended to one log."""
     path = new_path(spark, "log")
-    results = problem_results(b.samples(spark, sf_dir))
+    results = problem_results(b.samples(spark, sf_dir), expressions=False)
     sinks.append_summary(results, None)
     # All runs are summed up in one pass; each appends its own line.
     summaries = results.groupBy("run").agg(

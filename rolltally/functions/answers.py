@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolltally.functions.expressions import same_expression
 from rolltally.functions.fixed_values import (
     ANSWER_LINE_PREFIXES,
     ANSWER_PATTERNS,
@@ -338,30 +339,44 @@ def same_number(left: Column, right: Column) -> Column:
     return F.coalesce(_same_value(_bare(left), _bare(right)), F.lit(False))
 
 
-def grade(predicted: Column, gold: Column) -> Column:
+def _same_in_value(left: Column, right: Column, bare_left: Column, bare_right: Column, expressions: bool) -> Column:
+    other = same_expression(left, right) if expressions else F.lit(False)
+    return F.coalesce(_same_value(bare_left, bare_right), other)
+
+
+def grade(predicted: Column, gold: Column, expressions: bool = True) -> Column:
     """Whether a predicted answer equals the gold one; false for a missing prediction.
 
-    Equal as text without ``$``, blanks and case, or equal in value. Nothing equals an
-    empty answer, not even an empty gold one.
+    Equal as text without ``$``, blanks and case, or equal in value: as numbers, or else as
+    expressions. Nothing equals an empty answer, not even an empty gold one. Where answers
+    are plain numbers, ``expressions=False`` saves planning what is never computed.
     """
 
-    def compare(a: Column, b: Column) -> Column:
-        same_text = F.coalesce((F.lower(a) == F.lower(b)) & (a != ""), F.lit(False))
-        return same_text | F.coalesce(_same_value(a, b), F.lit(False))
+    def compare(p: Column, g: Column) -> Column:
+        def bare(a: Column, b: Column) -> Column:
+            same_text = (F.lower(a) == F.lower(b)) & (a != "")
+            return F.when(same_text, F.lit(True)).otherwise(_same_in_value(p, g, a, b, expressions))
 
-    bare = let(_bare(predicted), lambda a: let(_bare(gold), lambda b: compare(a, b)))
-    return F.when((predicted == gold) & (_bare(gold) != ""), F.lit(True)).otherwise(bare)
+        return let(_bare(p), lambda a: let(_bare(g), lambda b: bare(a, b)))
 
+    given = predicted.isNotNull() & gold.isNotNull()
+    unequal = let(predicted, lambda p: let(gold, lambda g: compare(p, g)))
+    return F.when((predicted == gold) & (_bare(gold) != ""), F.lit(True)).when(given, unequal).otherwise(F.lit(False))
 
-def correctness_reward(completion: Column, gold: Column) -> Column:
+
+def correctness_reward(completion: Column, gold: Column, expressions: bool = True) -> Column:
     """1.0 for a completion whose boxed answer is right, else 0.0."""
 
     def right(predicted: Column) -> Column:
-        return same_without_whitespace(predicted, gold) | same_number(ratio_to_fraction(predicted), gold)
+        def in_value(p: Column) -> Column:
+            return _same_in_value(p, gold, _bare(p), _bare(gold), expressions)
+
+        same_text = same_without_whitespace(predicted, gold)
+        return F.when(same_text, F.lit(True)).otherwise(let(ratio_to_fraction(predicted), in_value))
 
     return let(
         boxed_after_thinking(completion),
-        lambda predicted: F.when(predicted.isNotNull() & right(predicted), F.lit(1.0)).otherwise(F.lit(0.0)),
+        lambda predicted: F.when(predicted.isNotNull() & gold.isNotNull() & right(predicted), F.lit(1.0)).otherwise(F.lit(0.0)),
     )
 
 

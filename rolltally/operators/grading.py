@@ -14,7 +14,7 @@ from rolltally.operators.ordering import running_totals
 PART_ROWS = 256
 
 
-def grade_samples(df: DataFrame, text: str = "text", gold: str = "gold") -> DataFrame:
+def grade_samples(df: DataFrame, text: str = "text", gold: str = "gold", expressions: bool = True) -> DataFrame:
     """Add ``predicted``, ``is_formatted``, ``is_correct`` and the ``shown`` answer.
 
     An empty box counts as formatted and is shown as the placeholder.
@@ -23,7 +23,7 @@ def grade_samples(df: DataFrame, text: str = "text", gold: str = "gold") -> Data
     return df.withColumn("predicted", boxed_last_marker(F.col(text))).withColumns(
         {
             "is_formatted": predicted.isNotNull(),
-            "is_correct": F.coalesce(grade(predicted, F.col(gold)), F.lit(False)),
+            "is_correct": F.coalesce(grade(predicted, F.col(gold), expressions), F.lit(False)),
             "shown": shown_answer(predicted),
         }
     )
@@ -35,6 +35,7 @@ def problem_results(
     text: str = "text",
     gold: str = "gold",
     sample_idx: str = "sample_idx",
+    expressions: bool = True,
 ) -> DataFrame:
     """One row per problem from raw samples: counts and the majority vote.
 
@@ -58,14 +59,9 @@ def problem_results(
             F.min(sample_idx).alias("first"),
         )
     )
-    # The placeholder stands for empty boxes, which are graded as the empty text.
-    right = F.when(F.col("is_formatted"), grade(F.col("shown"), F.col(gold))).otherwise(F.lit(False))
-    empty_right = grade(F.lit(""), F.col(gold))
-    graded = answers.withColumn("right", right).withColumn(
-        "correct",
-        (F.col("n") - F.col("n_empty")) * F.col("right").cast("long")
-        + F.when(F.col("n_empty") > 0, F.col("n_empty") * empty_right.cast("long")).otherwise(F.lit(0)),
-    )
+    # The placeholder stands for empty boxes too, and nothing equals the empty text.
+    right = F.when(F.col("is_formatted"), grade(F.col("shown"), F.col(gold), expressions)).otherwise(F.lit(False))
+    graded = answers.withColumn("right", right).withColumn("correct", (F.col("n") - F.col("n_empty")) * F.col("right").cast("long"))
     vote = F.max(
         F.when(
             F.col("is_formatted"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,30 +15,45 @@ from rolltally.sources.sinks import summary_row, write_jsonl, write_summary
 
 @dataclass(frozen=True)
 class MathEvaluation:
-    """Lazy results of one evaluation; nothing runs before an action on one of them."""
+    """Results of one evaluation, each planned when it is first asked for.
 
-    graded: DataFrame
-    problems: DataFrame
-    metrics: DataFrame
-    progress: DataFrame
-    nested: DataFrame
+    Planning runs nothing but for ``progress``, whose running totals write a table.
+    """
+
+    samples: DataFrame
+    val_n: int
+    progress_every: int = 10
+    expressions: bool = True
+
+    @cached_property
+    def graded(self) -> DataFrame:
+        return grading.grade_samples(self.samples, expressions=self.expressions)
+
+    @cached_property
+    def problems(self) -> DataFrame:
+        return grading.problem_results(self.samples, expressions=self.expressions)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return grading.run_metrics(self.problems, self.val_n)
+
+    @cached_property
+    def progress(self) -> DataFrame:
+        return grading.running_metrics(self.problems, self.val_n, every=self.progress_every)
+
+    @cached_property
+    def nested(self) -> DataFrame:
+        golds = self.samples.groupBy("run", "problem_id").agg(F.min("gold").alias("gold"))
+        return grading.result_records(grading.nested_results(self.graded), self.problems, golds, self.val_n)
 
 
-def evaluate_math(samples: DataFrame, val_n: int, progress_every: int = 10) -> MathEvaluation:
+def evaluate_math(samples: DataFrame, val_n: int, progress_every: int = 10, expressions: bool = True) -> MathEvaluation:
     """Evaluate samples (run, problem_id, sample_idx, text, gold).
 
-    ``problem_id`` is the 0-based position of the problem in its benchmark.
+    ``problem_id`` is the 0-based position of the problem in its benchmark. Answers are
+    compared as expressions too, unless ``expressions`` is off, for plain numbers.
     """
-    graded = grading.grade_samples(samples)
-    problems = grading.problem_results(samples)
-    golds = samples.groupBy("run", "problem_id").agg(F.min("gold").alias("gold"))
-    return MathEvaluation(
-        graded=graded,
-        problems=problems,
-        metrics=grading.run_metrics(problems, val_n),
-        progress=grading.running_metrics(problems, val_n, every=progress_every),
-        nested=grading.result_records(grading.nested_results(graded), problems, golds, val_n),
-    )
+    return MathEvaluation(samples, val_n, progress_every, expressions)
 
 
 def evaluate_benchmark(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolltally.functions.fixed_values import SPLIT_FILE_FORMATS
+from rolltally.session import new_path
+from rolltally.sources.splitting import json_array_records, read_split_csv
 
 INSTRUCTION_EVAL_SCHEMA = T.StructType(
     [
@@ -31,8 +33,9 @@ def read_dataset(
     A folder is searched for ``<split>`` as .jsonl, .json, .parquet and .csv, in that
     order. A file is read by its ending. Anything else is a table name, filtered on its
     ``split`` column if it has one. Files may be folders of part files, as Spark writes.
-    CSV columns are text unless a schema says otherwise; a CSV file whose fields hold no
-    line breaks is split among tasks with ``csv_multi_line=False``.
+    CSV columns are text unless a schema says otherwise. Files are split among tasks, CSV
+    files with line breaks in fields and JSON arrays of objects too; where no field holds a
+    line break, ``csv_multi_line=False`` saves looking for them.
     """
     ending = path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
     formats = dict(SPLIT_FILE_FORMATS)
@@ -66,10 +69,20 @@ def _read(
     spark: SparkSession, path: str, fmt: str, schema: T.StructType | None, csv_multi_line: bool
 ) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
+    if fmt == "json" and is_json_array(spark, path):
+        objects = json_array_records(spark, path).select("text")
+        if schema is not None:
+            return objects.select(F.from_json("text", schema).alias("row")).select("row.*")
+        # Types are inferred over all objects, which are written one per line for that.
+        lines = new_path(spark, "json-lines")
+        objects.write.text(lines)
+        return spark.read.json(lines)
     if fmt == "json":
-        return reader.option("multiLine", is_json_array(spark, path)).json(path)
+        return reader.json(path)
+    if fmt == "csv" and csv_multi_line:
+        return read_split_csv(spark, path, schema)
     if fmt == "csv":
-        return reader.option("header", True).option("multiLine", csv_multi_line).option("escape", '"').csv(path)
+        return reader.option("header", True).option("escape", '"').csv(path)
     return reader.parquet(path)
 
 
