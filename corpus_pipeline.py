@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that are equal or near to an earlier one."""
-    return lines.without_repeated_lines(spark, docs)
+    return lines.without_repeated_lines(spark, docs, words_an_edit=lines.WORDS_AN_EDIT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -25,19 +24,24 @@ IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[list(SEPARATORS)] = False
 
 
+# Whether Spark removes a query's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def handover(spark: SparkSession, df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` under the shared folder (or to ``path``) and read it back.
 
-    This cuts the lineage: lost executors cost no recomputation of what is written, and the
-    shuffle files behind it are no longer referred to and may go.
+    This cuts the lineage: lost executors cost no recomputation of what is written. The
+    shuffle files behind it, which nothing else refers to, go when it is written.
     """
     path = path or new_path(spark, label)
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def named(df: DataFrame, name: str) -> Column:

@@ -15,6 +15,10 @@ other. Both look up a run of ``GRAM`` words that the words around it determine,
 equal segments choose the same run. Candidates whose lengths and places allow it are
 verified by a bit-parallel edit distance over words, of any length.
 
+Keys are counted before anything is sent under them: chunks of lines send their distinct keys,
+packed, and get back those that two different lines share and one of them owns. Only rows
+under these, a small part, are dealt out.
+
 Lines are compared without white space at their ends. Lines without a word are left alone,
 lines of fewer than ``NEAR_CHARS`` code points have no lines within ``EDITS`` but equal ones. A line is
 removed if an equal line, or any near one, starts earlier: by document id (null last), then
@@ -31,10 +35,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolltally.llm.common import IN_WORD, SEPARATORS, handover, mix, named, packed, prefix_hash, row_key, substring_hash, text_chunks, window_hash
+from rolltally.llm.common import IN_WORD, SEPARATORS, discard, handover, mix, named, packed, prefix_hash, row_key, substring_hash, text_chunks, window_hash
+from rolltally.session import new_path
 
 EDITS = 2
 NEAR_CHARS = 16
@@ -44,6 +50,8 @@ WORDS_AN_EDIT = 10
 GRAM, LONG, WINDOW = 5, 40, 8
 # Groups with more rows are compared block of rows by block of rows.
 GROUP_ROWS = 2048
+# Stands for the place of a run that comes several times in its line.
+ANYWHERE = 0x7FFFFFFF
 _CHAR_BASE = 0x8EBC6AF09C88C6E3
 _SMALL = mix(np.arange(1, 0x3001, dtype=np.uint64))
 
@@ -171,6 +179,20 @@ def word_keys(lines: Lines, chosen: np.ndarray, words_an_edit: int) -> tuple[np.
     return chosen[line], runs[used], (count[line] << 32) | (used - first[line]), own
 
 
+def _one_a_line(line: np.ndarray, key: np.ndarray, place: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each line and key; where a run comes again in its line, its place is left open.
+
+    A line that says one word a thousand times has one run at a thousand places.
+    """
+    if not len(line):
+        return line, key, place, own
+    order = np.lexsort((place, key, line))
+    line, key, place, own = line[order], key[order], place[order], own[order]
+    starts = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])]))
+    several = np.diff(np.append(starts, len(line))) > 1
+    return line[starts], key[starts], np.where(several, place[starts] | ANYWHERE, place[starts]), np.logical_or.reduceat(own, starts)
+
+
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
@@ -192,35 +214,140 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "row_key long, doc_id long, line_no int, id long")
 
 
-def _parts(docs: DataFrame, edits: int, near_chars: int, fewer_words: int | None = None) -> DataFrame:
+# A chunk of texts in one row: its lines (ids, parities, numbers of words) and the keys that they
+# meet under, by characters (c) and by words (w).
+_KEYED = (
+    "chunk long, ids array<long>, parity array<long>, words array<int>, "
+    "c_line array<int>, c_key array<long>, c_at array<int>, c_own array<boolean>, "
+    "w_line array<int>, w_key array<long>, w_at array<int>, w_own array<boolean>"
+)
+_KEYED_NAMES = [f.split()[0] for f in _KEYED.split(", ")]
+# Keys that one task counts at once, on average.
+BUCKET_KEYS = 1 << 20
+
+
+def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_edit: int | None, fewer_words: int | None = None) -> DataFrame:
+    """Lines and keys of chunks of ``docs`` (``row_key``, ``text`` and, if there, ``at``: the line numbers that count).
+
+    ``edits`` None leaves out keys by characters, ``words_an_edit`` None those by words;
+    with ``fewer_words`` only lines of fewer words have keys by characters.
+    """
+    chosen_only = "at" in docs.columns
+
     def scan(batches):
+        first_chunk, number = TaskContext.get().partitionId() << 32, 0
+        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(1)):
+            if chosen_only:
+                at = batch.column(2)
+                counts = np.diff(np.asarray(at.offsets))
+                numbers, ends = np.asarray(at.flatten()), np.cumsum(counts)
+            for first, last, data, offsets in text_chunks(batch.column(1)):
                 lines = Lines(data, offsets)
+                if chosen_only:
+                    wanted = np.repeat(np.arange(last - first), counts[first:last]) << 32 | numbers[ends[first] - counts[first] : ends[last - 1]]
+                    at_lines = np.flatnonzero(np.isin(lines.text << 32 | lines.number, wanted))
+                else:
+                    at_lines = np.arange(len(lines.id))
                 # Equal lines of a chunk look up once.
-                _, at = np.unique(lines.id, return_index=True)
-                chosen = at[lines.length[at] >= max(near_chars, edits + 1)]
-                if fewer_words is not None:
-                    chosen = chosen[lines.words()[3][chosen] < fewer_words]
-                if not len(chosen):
+                at_lines = at_lines[np.unique(lines.id[at_lines], return_index=True)[1]]
+                if not len(at_lines):
                     continue
-                line, key, own = segment_keys(lines, chosen, edits)
-                yield pa.RecordBatch.from_arrays([_long(key), _long(lines.id[line]), _long(lines.parity[line]), pa.array(own)], names=["key", "id", "parity", "own"])
-
-    return docs.mapInArrow(scan, "key long, id long, parity long, own boolean")
+                place = np.zeros(len(lines.id), dtype=np.int64)
+                place[at_lines] = np.arange(len(at_lines))
+                words = lines.words()[3]
+                c_line, c_key, c_own = none, none.astype(np.uint64), none.astype(bool)
+                if edits is not None:
+                    short = at_lines[lines.length[at_lines] >= max(near_chars, edits + 1)]
+                    if fewer_words is not None:
+                        short = short[words[short] < fewer_words]
+                    if len(short):
+                        c_line, c_key, c_own = segment_keys(lines, short, edits)
+                w_line, w_key, w_at, w_own = none, none.astype(np.uint64), none, none.astype(bool)
+                if words_an_edit is not None:
+                    w_line, w_key, w_at, w_own = _one_a_line(*word_keys(lines, at_lines, words_an_edit))
+                columns = [
+                    *(lines.id[at_lines].view(np.int64), lines.parity[at_lines].view(np.int64), words[at_lines].astype(np.int32)),
+                    *(place[c_line].astype(np.int32), c_key.view(np.int64), np.zeros(len(c_line), dtype=np.int32), c_own),
+                    *(place[w_line].astype(np.int32), w_key.view(np.int64), (w_at & 0xFFFFFFFF).astype(np.int32), w_own),
+                ]
+                arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(np.ascontiguousarray(x))) for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([first_chunk + number]), *arrays], names=_KEYED_NAMES)
+                number += 1
+
+    return docs.mapInArrow(scan, _KEYED)
+
+
+def _meeting_keys(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame:
+    """``chunk`` and ``keys``: those of its keys that two different lines share, one of which owns it.
+
+    A chunk sends every distinct key once, packed by ranges of keys, with whether a line owns
+    it and whether several of the chunk's lines have it. Nothing else of the lines is moved.
+    """
+    total = keyed.agg(F.sum(F.size(f"{kind}_key"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_KEYS))
 
+    def pack(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                line, key, own = (np.asarray(batch.column(k)[row].values) for k in (1, 2, 3))
+                if not len(key):
+                    continue
+                order = np.argsort(key, kind="stable")
+                line, key, own = line[order], key[order], own[order].astype(np.uint8)
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                several = np.maximum.reduceat(line, starts) != np.minimum.reduceat(line, starts)
+                flags = np.maximum.reduceat(own, starts) | several.astype(np.uint8) << 1
+                key = key[starts]
+                bucket = ((key.view(np.uint64) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                key, flags, bucket = key[order], flags[order], bucket[order]
+                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                ends = [*starts[1:].tolist(), len(key)]
+                data = [key[a:b].tobytes() for a, b in zip(starts.tolist(), ends)]
+                marks = [flags[a:b].tobytes() for a, b in zip(starts.tolist(), ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[starts]), pa.array([batch.column(0)[row].as_py()] * len(data), pa.int64()), pa.array(data, pa.binary()), pa.array(marks, pa.binary())],
+                    names=["bucket", "chunk", "keys", "flags"],
+                )
 
-def _word_parts(docs: DataFrame, words_an_edit: int) -> DataFrame:
-    def scan(batches):
+    def count(table: pa.Table) -> pa.Table:
+        chunks, data, marks = (table.column(c).to_pylist() for c in ("chunk", "keys", "flags"))
+        key = np.frombuffer(b"".join(data), dtype=np.int64)
+        flags = np.frombuffer(b"".join(marks), dtype=np.uint8)
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        any_flag = np.bitwise_or.reduceat(flags[order], starts)
+        meets = (any_flag & 1 > 0) & ((sizes > 1) | (any_flag & 2 > 0))
+        kept = np.zeros(len(key), dtype=bool)
+        kept[order] = np.repeat(meets, sizes)
+        cuts = np.cumsum([0, *(len(d) // 8 for d in data)])
+        left = [key[a:b][kept[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        some = [k for k, d in enumerate(left) if d]
+        return pa.table({"chunk": pa.array([chunks[k] for k in some], pa.int64()), "keys": pa.array([left[k] for k in some], pa.binary())})
+
+    sent = keyed.select("chunk", f"{kind}_line", f"{kind}_key", f"{kind}_own").mapInArrow(pack, "bucket int, chunk long, keys binary, flags binary")
+    return handover(spark, sent.groupBy("bucket").applyInArrow(count, "chunk long, keys binary"), f"meeting-keys-{kind}")
+
+
+def _meeting_rows(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame:
+    """``key``, ``id``, ``parity`` (or place) and ``own`` of lines under keys that can bring a pair together."""
+    meeting = _meeting_keys(spark, keyed, kind).groupBy("chunk").agg(F.collect_list("keys").alias("meeting"))
+    by_words = kind == "w"
+
+    def rows(batches):
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(1)):
-                lines = Lines(data, offsets)
-                _, at = np.unique(lines.id, return_index=True)
-                line, key, place, own = word_keys(lines, at, words_an_edit)
-                if len(line):
-                    yield pa.RecordBatch.from_arrays([_long(key), _long(lines.id[line]), pa.array(place), pa.array(own)], names=["key", "id", "parity", "own"])
+            for row in range(len(batch)):
+                ids, parity, words, line, key, at, own = (np.asarray(batch.column(k)[row].values) for k in range(7))
+                met = np.frombuffer(b"".join(batch.column(7)[row].as_py()), dtype=np.int64)
+                chosen = np.flatnonzero(np.isin(key, met))
+                line = line[chosen]
+                place = words[line].astype(np.int64) << 32 | at[chosen] if by_words else parity[line]
+                yield pa.RecordBatch.from_arrays([pa.array(key[chosen]), pa.array(ids[line]), pa.array(place), pa.array(own[chosen])], names=["key", "id", "parity", "own"])
 
-    return docs.mapInArrow(scan, "key long, id long, parity long, own boolean")
+    columns = ["ids", "parity", "words", *(f"{kind}_{c}" for c in ("line", "key", "at", "own"))]
+    return keyed.join(meeting, "chunk").select(*columns, "meeting").mapInArrow(rows, "key long, id long, parity long, own boolean")
 
 
 def _like_parities(most_bits: int):
@@ -232,16 +359,27 @@ def _like_places(words_an_edit: int):
 
     def agree(a, b):
         longer, moved = (a >> 32) - (b >> 32), (a & 0xFFFFFFFF) - (b & 0xFFFFFFFF)
-        return np.abs(moved) + np.abs(longer - moved) <= np.maximum(a >> 32, b >> 32) // words_an_edit
+        edits = np.maximum(a >> 32, b >> 32) // words_an_edit
+        open_place = ((a & ANYWHERE) == ANYWHERE) | ((b & ANYWHERE) == ANYWHERE)
+        return np.where(open_place, np.abs(longer), np.abs(moved) + np.abs(longer - moved)) <= edits
 
     return agree
 
 
+def _within_reach(words_an_edit: int):
+    """Whether a line may be near the next longer one; if not, then to no line after that."""
+    return lambda a, b: (b >> 32) - (a >> 32) <= (b >> 32) // words_an_edit
+
+
 _NAMES = ("key", "sub", "side", "id", "parity", "own")
 
 
-def _pairs_of(rows: dict[str, np.ndarray], agree) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different lines of a group, one with the part as its own, whose parities (or places) agree."""
+def _pairs_of(rows: dict[str, np.ndarray], agree, reach) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different lines of a group, one with the part as its own, whose parities (or places) agree.
+
+    Rows are in order of these; with ``reach``, a row is compared with those after it only
+    as far as that holds.
+    """
     n = len(rows["id"])
     new = np.ones(n, dtype=bool)
     new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["sub"][1:] != rows["sub"][:-1])
@@ -253,6 +391,8 @@ def _pairs_of(rows: dict[str, np.ndarray], agree) -> tuple[np.ndarray, np.ndarra
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
+        if reach is not None:
+            at = at[reach(parity[at], parity[at + step])]
         other = at + step
         ok = agree(parity[at], parity[other])
         a, b = at[ok], other[ok]
@@ -266,7 +406,7 @@ def _pairs_of(rows: dict[str, np.ndarray], agree) -> tuple[np.ndarray, np.ndarra
     return both[:, 0], both[:, 1]
 
 
-def _compare(batches, agree, limit: int):
+def _compare(batches, agree, reach, limit: int):
     """Candidate pairs from rows sorted by group; rows of groups beyond ``limit`` go on unread.
 
     Yields rows with ``a`` and ``b`` for pairs, and with ``key`` for rows that are to be
@@ -274,7 +414,7 @@ def _compare(batches, agree, limit: int):
     """
 
     def pairs(rows):
-        a, b = _pairs_of(rows, agree)
+        a, b = _pairs_of(rows, agree, reach)
         empty = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), empty, empty, empty, pa.nulls(len(a), pa.bool_())], names=["a", "b", "key", "id", "parity", "own"])
 
@@ -314,18 +454,20 @@ _COMPARED = "a long, b long, key long, id long, parity long, own boolean"
 
 def candidate_pairs(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, group_rows: int = GROUP_ROWS, fewer_words: int | None = None) -> DataFrame:
     """Pairs (``a``, ``b``) of ids of different lines (of ``fewer_words``) that may be within ``edits``."""
-    return _meet(spark, _parts(docs, edits, near_chars, fewer_words), _like_parities(4 * edits), group_rows)
+    keyed = handover(spark, keyed_lines(docs, edits, near_chars, None, fewer_words), "keyed-lines")
+    return _meet(spark, _meeting_rows(spark, keyed, "c"), _like_parities(4 * edits), group_rows)
 
 
 def word_candidate_pairs(spark: SparkSession, docs: DataFrame, words_an_edit: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pairs (``a``, ``b``) of ids of different lines that may be near in words."""
-    return _meet(spark, _word_parts(docs, words_an_edit), _like_places(words_an_edit), group_rows)
+    keyed = handover(spark, keyed_lines(docs, None, 0, words_an_edit), "keyed-lines")
+    return _meet(spark, _meeting_rows(spark, keyed, "w"), _like_places(words_an_edit), group_rows, _within_reach(words_an_edit))
 
 
-def _meet(spark: SparkSession, parts: DataFrame, agree, group_rows: int) -> DataFrame:
+def _meet(spark: SparkSession, parts: DataFrame, agree, group_rows: int, reach=None) -> DataFrame:
     parts = parts.select("key", F.lit(0).alias("sub"), F.lit(-1).alias("side"), "id", "parity", "own")
-    met = parts.repartition("key").sortWithinPartitions("key", "id")
-    first = handover(spark, met.mapInArrow(lambda batches: _compare(batches, agree, group_rows), _COMPARED), "line-pairs")
+    met = parts.repartition("key").sortWithinPartitions("key", "parity")
+    first = handover(spark, met.mapInArrow(lambda batches: _compare(batches, agree, reach, group_rows), _COMPARED), "line-pairs")
     # Groups too large for one task: every pair of their blocks of rows becomes a group.
     hot = first.where("key IS NOT NULL").groupBy("key", "id", "parity").agg(F.max("own").alias("own"))
     sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(group_rows)).cast("int").alias("parts"))
@@ -339,8 +481,8 @@ def _meet(spark: SparkSession, parts: DataFrame, agree, group_rows: int) -> Data
         "parity",
         "own",
     )
-    blocks = rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "id")
-    more = blocks.mapInArrow(lambda batches: _compare(batches, agree, 1 << 62), _COMPARED)
+    blocks = rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "parity")
+    more = blocks.mapInArrow(lambda batches: _compare(batches, agree, reach, 1 << 62), _COMPARED)
     return first.where("a IS NOT NULL").select("a", "b").union(more.select("a", "b")).distinct()
 
 
@@ -447,11 +589,18 @@ def links(spark: SparkSession, docs: DataFrame, firsts: DataFrame, edits: int =
     # An edit of a character edits at most two words (a space between them comes or goes), so
     # a line of so many words that is within edits of another is near to it in words.
     fewer_words = None if words_an_edit is None else 2 * edits * words_an_edit
-    pairs = candidate_pairs(spark, docs, edits, near_chars, fewer_words=fewer_words).withColumn("by_chars", F.lit(True))
+    # Every line where it first occurs, and no other, is read for its keys.
+    places = firsts.groupBy("row_key").agg(F.collect_list("line_no").alias("at"))
+    path = new_path(spark, "keyed-lines")
+    chosen = docs.join(places, "row_key").select("row_key", "text", "at")
+    keyed = handover(spark, keyed_lines(chosen, edits, near_chars, words_an_edit, fewer_words), "keyed-lines", path)
+    pairs = _meet(spark, _meeting_rows(spark, keyed, "c"), _like_parities(4 * edits), GROUP_ROWS).withColumn("by_chars", F.lit(True))
     if words_an_edit is not None:
-        pairs = pairs.union(word_candidate_pairs(spark, docs, words_an_edit).withColumn("by_chars", F.lit(False)))
+        by_words = _meet(spark, _meeting_rows(spark, keyed, "w"), _like_places(words_an_edit), GROUP_ROWS, _within_reach(words_an_edit))
+        pairs = pairs.union(by_words.withColumn("by_chars", F.lit(False)))
         pairs = pairs.groupBy("a", "b").agg(F.max("by_chars").alias("by_chars"))
     pairs = handover(spark, pairs, "candidate-pairs")
+    discard(spark, path)
     texts = _texts_of(spark, docs, firsts, pairs)
     first, second = texts.toDF("a", "line_a"), texts.toDF("b", "line_b")
 
