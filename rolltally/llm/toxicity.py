@@ -1,13 +1,15 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Training, on a bounded sample of the labelled rows: log-odds of each feature (a word or its
-first three to five letters) between toxic and other texts, with a Dirichlet prior in
+first three to eight letters) between toxic and other texts, with a Dirichlet prior in
 proportion to the corpus, kept where their z-score says so. A token scores as its most
 significant feature, every other token a small penalty. One linear scan finds all maximal
 scoring segments (Ruzzo and Tompa). Karlin-Altschul statistics, fitted on texts without
-toxic label, turn a segment's score into how unlikely it is in a text of that length, and
-what all significant segments of a text say together becomes a probability by logistic
-regression on labelled rows that the log-odds have not seen.
+toxic label, turn a segment's score into how unlikely it is in a text of that length. What
+the best segment, all significant ones and all of them against the text's length say becomes
+a probability by logistic regression. Rows are dealt to folds, and each fold is measured by
+log-odds of the others, so every row serves both the log-odds and the regression. What comes
+to the driver are features that several texts share and a few numbers per labelled text.
 
 Defined results: null and empty texts have no segments and get the score of a text without
 evidence. Labels that are null, contradictory (a toxic one wins) or repeated count once per
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 
 from rolltally.llm.common import handover, named, packed
 
-# The model is fitted on at most so many labelled rows and has at most so many features.
+# The model is fitted on at most so many labelled rows, which bounds its features too.
 SAMPLE_ROWS = 60_000
-MAX_FEATURES = 50_000
-LEXICON_SHARE = 2 / 3
+# Parts of these rows; each part is measured by a model learnt from the others.
+FOLDS = 3
 MIN_DOCS = 4
 MIN_Z = 3.0
 PRIOR_TOKENS = 1000.0
@@ -50,18 +52,18 @@ def tokens(text: str | None) -> list[str]:
 
 
 def features(token: str) -> list[str]:
-    """The word itself (marked as whole) and its first three to five letters."""
-    return [token + "$", *(token[:n] for n in (5, 4, 3) if len(token) >= n)]
+    """The word itself (marked as whole) and its first three to eight letters."""
+    return [token + "$", *(token[:n] for n in range(8, 2, -1) if len(token) >= n)]
 
 
 @dataclass
 class Model:
-    """All that scoring takes; its size is bounded by ``MAX_FEATURES``."""
+    """All that scoring takes; features are those of ``SAMPLE_ROWS`` texts that are significant."""
 
     weights: dict[str, tuple[float, float]] = field(default_factory=dict)
     decay: float = 1.0
     scale: float = 1.0
-    coefficients: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    coefficients: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     fixed: float | None = None
     name: str = field(default_factory=lambda: uuid4().hex)
 
@@ -73,11 +75,10 @@ class Model:
         """Minus the logarithm of the expected number of such segments in such a text."""
         return self.decay * segment_score - math.log(self.scale * max(1, n_tokens))
 
-    def probability(self, best: float, total: float) -> float:
+    def probability(self, summary: tuple[float, ...]) -> float:
         if self.fixed is not None:
             return self.fixed
-        a, b, c = self.coefficients
-        x = a + b * best + c * total
+        x = self.coefficients[0] + sum(c * v for c, v in zip(self.coefficients[1:], summary))
         return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
@@ -131,16 +132,17 @@ class Scorer:
         words = tokens(text)
         return len(words), segments(self.scores(words))
 
-    def summary(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:
-        """Evidence of the best segment and of all significant ones together."""
+    def summary(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float, float]:
+        """Evidence of the best segment, of all significant ones together, and of all against the length."""
         evidence = [self.model.evidence(s, n) for _, _, s in found]
         limit = -math.log(SIGNIFICANT)
-        return max([0.0, *evidence]), math.log1p(sum(e for e in evidence if e >= limit))
+        graded = math.log1p(self.model.decay * sum(s for _, _, s in found)) - 0.5 * math.log1p(n)
+        return max([0.0, *evidence]), math.log1p(sum(e for e in evidence if e >= limit)), graded
 
     def text(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         n, found = self.passages(text)
         limit = -math.log(SIGNIFICANT)
-        return self.model.probability(*self.summary(n, found)), [x for x in found if self.model.evidence(x[2], n) >= limit]
+        return self.model.probability(self.summary(n, found)), [x for x in found if self.model.evidence(x[2], n) >= limit]
 
 
 def _rows(batch: pa.RecordBatch, size: int = 256):
@@ -161,61 +163,68 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return source.join(F.broadcast(chosen), "id").select("id", "text", "toxic")
 
 
-def feature_log_odds(sample: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """``feature``, ``log_odds`` (with Dirichlet prior) and ``z`` of the significant features."""
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """``feature``, ``fold`` and how often it occurs in clean (``n0``) and toxic texts (``n1``), and in how many."""
 
     def rows_of(counts):
         columns = list(zip(*counts.values())) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["feature", "n0", "n1", "docs"])
+        keys = [pa.array([f for f, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32())]
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.int64()) for c in columns)], names=["feature", "fold", "n0", "n1", "docs"])
 
     def count(batches):
-        counts: dict[str, list[int]] = {}
+        counts: dict[tuple[str, int], list[int]] = {}
         for batch in batches:
-            for text, toxic in _rows(batch):
+            for (text, toxic), fold in zip(_rows(batch), batch.column(2).to_pylist()):
                 if len(counts) > FLUSH_FEATURES:
                     yield rows_of(counts)
                     counts = {}
                 seen = set()
                 for token in tokens(text):
                     for f in features(token):
-                        row = counts.get(f)
+                        row = counts.get((f, fold))
                         if row is None:
-                            row = counts[f] = [0, 0, 0]
+                            row = counts[f, fold] = [0, 0, 0]
                         row[toxic] += 1
                         if f not in seen:
                             seen.add(f)
                             row[2] += 1
         yield rows_of(counts)
 
-    rows = sample.select("text", F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic")).mapInArrow(count, "feature string, n0 long, n1 long, docs long")
-    counted = rows.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("docs").alias("docs"))
+    toxic = F.least(F.greatest("toxic", F.lit(0)), F.lit(1))
+    rows = sample.select("text", toxic.alias("toxic"), "fold").mapInArrow(count, "feature string, fold int, n0 long, n1 long, docs long")
+    counted = rows.groupBy("feature", "fold").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "docs")))
+    # Written, so that the texts are counted once for the sums and the features of all folds.
+    return handover(sample.sparkSession, counted, "feature-counts")
+
+
+def feature_log_odds(counted: DataFrame) -> DataFrame:
+    """``feature``, ``log_odds`` (with Dirichlet prior) and ``z`` of the significant features."""
     kind = F.when(F.col("feature").endswith("$"), F.lit(0)).otherwise(F.length("feature"))
-    # Written, so that the texts are counted once for both the sums and the features.
-    counted = handover(sample.sparkSession, counted.withColumn("kind", kind), "feature-counts")
+    counted = counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "docs"))).withColumn("kind", kind)
     totals = counted.groupBy("kind").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    joined = counted.where(F.col("docs") >= MIN_DOCS).join(F.broadcast(totals), "kind")  # four kinds, four rows
+    joined = counted.where(F.col("docs") >= MIN_DOCS).join(F.broadcast(totals), "kind")  # one row per kind
     prior = F.lit(PRIOR_TOKENS) * (F.col("n0") + F.col("n1")) / (F.col("t0") + F.col("t1"))
     a, b = F.col("n1") + prior, F.col("n0") + prior
     odds = F.log(a / (F.col("t1") + PRIOR_TOKENS - a)) - F.log(b / (F.col("t0") + PRIOR_TOKENS - b))
     scored = joined.select("feature", odds.alias("log_odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    return scored.where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "feature").limit(max_features)
+    return scored.where(F.abs("z") >= MIN_Z)
 
 
 def _gumbel(maxima: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
     """Decay and scale of the extreme-value law of the best segment in n tokens, by moments."""
-    if len(maxima) < 30 or maxima.std() < 1e-6:
+    if len(maxima) < 2 or maxima.std() < 1e-6:  # nothing varies, so there is no law to fit
         return 1.0, 1.0
     # The maximum of n tokens is about (ln(K n) + g) / decay with g of Gumbel's law.
-    decay = min(5.0, math.pi / math.sqrt(6) / float(maxima.std()))
+    decay = math.pi / math.sqrt(6) / float(maxima.std())
     scale = math.exp(float(np.mean(decay * maxima - np.log(lengths))) - 0.5772156649)
     return decay, max(scale, 1e-9)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression with a light ridge, by Newton steps."""
     design = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(design.shape[1])
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
+    ridge = np.diag([1e-6, *[1e-2] * x.shape[1]])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge, design.T @ (y - p) - ridge @ w)
@@ -227,35 +236,69 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit the model on the labelled rows given; at most ``rows`` of them are used."""
-    sample = handover(spark, labelled_sample(docs, labels, rows), "labelled")
-    in_lexicon = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(3000)) < int(3000 * LEXICON_SHARE)
+    fold = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(FOLDS)).cast("int")
+    sample = handover(spark, labelled_sample(docs, labels, rows).withColumn("fold", fold), "labelled")
     counts = {r["toxic"] != 0: r["n"] for r in sample.groupBy((F.col("toxic") != 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Model(fixed=1.0 if counts.get(True) else 0.0)
-    learned = feature_log_odds(sample.where(in_lexicon)).collect()  # at most MAX_FEATURES
-    model = Model(weights={r["feature"]: (r["log_odds"], r["z"]) for r in learned})
+    counted = feature_counts(sample)
+
+    def learned(rows_of: DataFrame) -> Model:
+        return Model(weights={r["feature"]: (r["log_odds"], r["z"]) for r in feature_log_odds(rows_of).collect()})  # of ``rows`` texts at most
+
+    x, y, laws = [], [], []
+    for part in range(FOLDS):
+        model = learned(counted.where(F.col("fold") != part))
+        held = sample.where(F.col("fold") == part).select("text", (F.col("toxic") != 0).cast("int").alias("toxic"))
+        measured = [(r["n"], r["best"], r["total"], r["toxic"]) for r in _measure(held, model).collect()]  # four numbers a text
+        clean = [(n, best) for n, best, _, toxic in measured if not toxic and best > 0]
+        model.decay, model.scale = _gumbel(np.array([m for _, m in clean]), np.array([max(1, n) for n, _ in clean], dtype=float))
+        again = _summaries(held, model).collect()
+        x += [(r["a"], r["b"], r["c"]) for r in again]
+        y += [float(r["toxic"]) for r in again]
+        if clean:
+            laws.append((model.decay, math.log(model.scale), len(clean)))
+    model = learned(counted)
+    if laws:
+        weight = sum(n for _, _, n in laws)
+        model.decay = sum(d * n for d, _, n in laws) / weight
+        model.scale = math.exp(sum(s * n for _, s, n in laws) / weight)
+    model.coefficients = _logistic(np.array(x), np.array(y))
+    return model
+
+
+def _measure(sample: DataFrame, model: Model) -> DataFrame:
+    """Tokens, best and total segment score and label of every text."""
 
     def measure(batches):
         scorer = Scorer(model)
         for batch in batches:
             out = []
-            for text, _ in _rows(batch):
+            for text, toxic in _rows(batch):
                 n, found = scorer.passages(text)
-                out.append((n, [s for _, _, s in found]))
-            arrays = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["n", "found", "toxic"])
-
-    measured = sample.where(~in_lexicon).select("text", (F.col("toxic") != 0).cast("int").alias("toxic")).mapInArrow(measure, "n long, found array<double>, toxic int").collect()
-    found = [(r["n"], r["found"], r["toxic"]) for r in measured]
-    clean = [(n, max(s)) for n, s, toxic in found if not toxic and s]
-    model.decay, model.scale = _gumbel(np.array([m for _, m in clean]), np.array([max(1, n) for n, _ in clean], dtype=float))
-    scorer = Scorer(model)
-    x = np.array([scorer.summary(n, [(0, 0, s) for s in scores]) for n, scores, _ in found])
-    y = np.array([t for _, _, t in found], dtype=float)
-    if len(set(y.tolist())) < 2:
-        return Model(fixed=counts[True] / (counts[True] + counts[False]))
-    model.coefficients = _logistic(x, y)
-    return model
+                scores = [s for _, _, s in found]
+                out.append((n, max(scores, default=0.0), math.fsum(scores), toxic))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _MEASURED)], names=["n", "best", "total", "toxic"])
+
+    return sample.mapInArrow(measure, "n long, best double, total double, toxic int")
+
+
+_MEASURED = (pa.int64(), pa.float64(), pa.float64(), pa.int32())
+
+
+def _summaries(sample: DataFrame, model: Model) -> DataFrame:
+    """What the logistic fit takes of every text, and its label."""
+
+    def summarise(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            out = [(*scorer.summary(*scorer.passages(text)), toxic) for text, toxic in _rows(batch)]
+            columns = list(zip(*out)) or [(), (), (), ()]
+            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "c", "toxic"])
+
+    return sample.mapInArrow(summarise, "a double, b double, c double, toxic int")
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
