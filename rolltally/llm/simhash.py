@@ -59,7 +59,8 @@ def block_keys(table: np.ndarray) -> np.ndarray:
     for a in range(BLOCKS):
         for b in range(a + 1, BLOCKS):
             pair = np.uint64(len(keys) + 1)
-            keys.append((packed_blocks[:, a] * np.uint64(0x9E3779B97F4A7C15)) ^ (packed_blocks[:, b] + pair * np.uint64(0xC2B2AE3D27D4EB4F)))
+            apart = np.uint64(int(pair) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+            keys.append((packed_blocks[:, a] * np.uint64(0x9E3779B97F4A7C15)) ^ (packed_blocks[:, b] + apart))
     return np.stack(keys, axis=1) if len(table) else np.zeros((0, 6), dtype=np.uint64)
 
 

@@ -13,9 +13,11 @@ an id are responses of their own with no id in the record. Extra columns are not
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
+from collections.abc import Sequence
 from uuid import uuid4
 
 import pyarrow as pa
@@ -32,7 +34,6 @@ READ_BYTES = 1 << 16
 FILE_BYTES = 1 << 28
 VERSION = b"WARC/1.1"
 _MEMBER = re.compile(rb"\x1f\x8b\x08")
-_HEADER_LIMIT = 1 << 20
 
 
 def record_bytes(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -149,8 +150,6 @@ def _member(source: Source, at: int) -> tuple[bytes, int] | None:
             return None
         if len(out) >= len(VERSION) and not out.startswith(b"WARC/"):
             return None
-        if len(out) > _HEADER_LIMIT and b"\r\n\r\n" not in out[:_HEADER_LIMIT]:
-            return None
         position += len(part)
     end = position - len(code.unused_data)
     return (bytes(out), end) if out.startswith(b"WARC/") else None
@@ -166,6 +165,22 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
+def sha1_of(field: str | None) -> str | None:
+    """A SHA-1 in lower-case hex, however a digest field spells it; null for other digests or none."""
+    name, _, value = (field or "").partition(":")
+    if name.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+def payload_of(fields: dict[str, str], block: bytes, http_heads: bool) -> bytes:
+    """The block, or what stands behind the head of an HTTP message in it."""
+    if http_heads and fields.get("content-type", "").replace(" ", "").startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
 def records_in(stream, start: int, end: int, size: int):
     """Records whose members start in ``[start, end)``: offset, fields, block."""
     source, at = Source(stream, start, size), start
@@ -192,29 +207,36 @@ def records_in(stream, start: int, end: int, size: int):
         at = after
 
 
-def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, keep_payload: bool = True) -> DataFrame:
-    """All records of the files: position, type, ids, payload size and digest, and payload.
+def read_warc(
+    files: DataFrame, range_bytes: int = RANGE_BYTES, keep_payload: bool = True, types: Sequence[str] | None = ("response", "revisit"), http_heads: bool = True
+) -> DataFrame:
+    """Records of the files (``folder``, ``file``, ``bytes``): position, type, ids, payload size and digest, and payload.
 
-    Sizes and digests of responses are computed from what was read and must agree with the
-    record's fields; those of revisits are the fields'. ``keep_payload=False`` leaves the
-    payload null.
+    Archives of other writers are read too: record ``types`` to keep (all if None), digests
+    in hex or base 32 or none, HTTP messages whose heads are passed over unless
+    ``http_heads`` is off. Sizes and digests of responses are computed from what was read
+    and must agree with the record's fields where it has them and is not truncated; those of
+    other records are the fields'. ``keep_payload=False`` leaves the payload null.
     """
 
     def read(batches):
         names = ["file", "offset", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
-            for folder, file, size, start in zip(*batch.to_pydict().values()):
+            for folder, file, size, start in zip(*batch.to_pydict().values(), strict=True):
                 shared, rows, held = SharedFiles(folder), [], 0
                 with shared.open(file) as stream:
                     for at, fields, block in records_in(stream, start, min(start + range_bytes, size), size):
-                        kind = fields.get("warc-type")
-                        if kind not in ("response", "revisit"):
+                        kind = fields.get("warc-type", "")
+                        if types is not None and kind not in types:
                             continue
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        n = int(fields["payload-length"])
-                        if kind == "response" and (len(block) != n or hashlib.sha1(block).hexdigest() != digest):
-                            raise ValueError(f"Damaged record at {at} of {file}")
+                        block = payload_of(fields, block, http_heads)
+                        digest, n = sha1_of(fields.get("warc-payload-digest")), int(fields.get("payload-length", len(block)))
+                        if kind == "response":
+                            actual = hashlib.sha1(block).hexdigest()
+                            if "warc-truncated" not in fields and (n != len(block) or digest not in (None, actual)):
+                                raise ValueError(f"Damaged record at {at} of {file}")
+                            digest, n = actual, len(block)
                         number = lambda key: int(fields[key]) if key in fields else None
                         rows.append((file, at, kind, number("page-id"), fields.get("warc-target-uri"), n, digest, number("refers-to-page-id"), block if keep_payload else None))
                         held += len(block) if keep_payload else 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -178,12 +179,37 @@ def test_segments_are_the_maximal_scoring_ones(scores):
     assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
 
 
+def area_under_curve(scores, truth):
+    high, low = ([s for s, t in zip(scores, truth) if t == k] for k in (1, 0))
+    return sum((a > b) + 0.5 * (a == b) for a in high for b in low) / len(high) / len(low)
+
+
+def naive_bayes(train, test):
+    """Log-odds of words, add-one smoothed, summed over the text."""
+    counts = [Counter(), Counter()]
+    for text, toxic in train:
+        counts[toxic].update(toxicity.tokens(text))
+    sizes = [sum(c.values()) + len(counts[0] | counts[1]) for c in counts]
+    odds = {w: math.log((counts[1][w] + 1) / sizes[1]) - math.log((counts[0][w] + 1) / sizes[0]) for w in counts[0] | counts[1]}
+    return [sum(odds.get(w, 0.0) for w in toxicity.tokens(text)) for text, _ in test]
+
+
 def test_toxicity_on_held_out_documents(spark):
-    scored = queries.op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    rows = scored.join(labels, "doc_id").select("predicted", "toxic").collect()
-    assert sum(r[0] == r[1] for r in rows) / len(rows) > 0.97
-    assert all(0 <= r["score"] <= 1 for r in scored.collect())
+    """Better than the commoner label and than naive Bayes, in ranking and in what is caught."""
+    path = "/root/testdata/sf0.1"
+    scored = queries.op3_toxicity(spark, path)
+    texts = spark.read.parquet(f"{path}/documents.parquet").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id")
+    rows = scored.join(texts, "doc_id").select("held_out", "score", "predicted", "text", "toxic").collect()
+    held, train = [r for r in rows if r["held_out"]], [(r["text"], r["toxic"]) for r in rows if not r["held_out"]]
+    truth, score = [r["toxic"] for r in held], [r["score"] for r in held]
+    assert all(0 <= s <= 1 for s in score)
+    assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 1 - sum(truth) / len(truth) + 0.03
+    assert area_under_curve(score, truth) > 0.9 > area_under_curve(naive_bayes(train, [(r["text"], 0) for r in held]), truth)
+    # What is caught where at least four of five alarms are right: 0.57 was measured.
+    ranked = sorted(zip(score, truth), reverse=True)
+    hits = [sum(t for _, t in ranked[: k + 1]) for k in range(len(ranked))]
+    assert max(h for k, h in enumerate(hits) if h >= 0.8 * (k + 1)) / sum(truth) > 0.5
+    assert max(Counter(score).values()) < 0.05 * len(score)
 
 
 def test_toxicity_of_odd_documents(spark, odd, empty):
@@ -414,3 +440,50 @@ def test_warc_members_look_like_members_only(tmp_path):
 
 def test_warc_of_no_pages(spark, pages):
     assert warc.read_warc(warc.write_warc(spark, pages.limit(0))).count() == 0
+
+
+def test_archives_of_other_writers_and_long_headers(spark, tmp_path):
+    import base64
+    import gzip
+
+    body = b"<html>a page</html>" * 20
+    message = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    base32 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+    def member(kind, block, *fields):
+        head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *fields, ("Content-Length", len(block))])
+        return gzip.compress(b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+    http = ("Content-Type", "application/http; msgtype=response")
+    data = b"".join(
+        [
+            member("warcinfo", b"software: other\r\n"),
+            member("response", message, ("WARC-Target-URI", "http://a/"), http, ("WARC-Payload-Digest", f"sha1:{base32}")),
+            member("response", message, ("WARC-Target-URI", "http://b/" + "x" * (1 << 20)), http),
+            member("request", b"GET / HTTP/1.1\r\n\r\n", ("WARC-Target-URI", "http://a/")),
+            member("conversion", b"a page", ("WARC-Target-URI", "http://a/")),
+        ]
+    )
+    (tmp_path / "other.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path), "other.warc.gz", len(data))], "folder string, file string, bytes long")
+    for range_bytes in (300, 1 << 20):
+        rows = warc.read_warc(files, range_bytes, types=None).orderBy("offset").collect()
+        assert [r["record_type"] for r in rows] == ["warcinfo", "response", "response", "request", "conversion"]
+        assert all((r["payload"], r["payload_digest"], r["payload_bytes"]) == (body, hashlib.sha1(body).hexdigest(), len(body)) for r in rows[1:3])
+        assert len(rows[2]["url"]) == (1 << 20) + 9
+    whole = warc.read_warc(files.select("folder", "file", "bytes"), types=("request",), http_heads=False).collect()
+    assert [bytes(r["payload"]) for r in whole] == [b"GET / HTTP/1.1\r\n\r\n"]
+
+
+def test_ids_are_the_library_s_for_every_tokenizer_file(docs_of):
+    import pathlib
+
+    from tokenizers import Tokenizer
+
+    texts = ["Two Words  and\nlines", " leading", "Ünïcode ÀÉ don't 12a", "", "plain lower words, here", "<|endoftext|> x", "a" * 300]
+    for file in pathlib.Path(public_tokenizers.path("byte_bpe_50k.json")).parent.glob("*.json"):
+        library = Tokenizer.from_file(str(file))
+        library.encode_special_tokens = True
+        found = CachedEncoder(str(file), literal_markers=True).encode([*texts, None, *texts])
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in found] == [*expected, [], *expected]
