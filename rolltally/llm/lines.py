@@ -12,8 +12,10 @@ With ``words_an_edit``, lines are also near if one becomes the other by editing
 adding, dropping) at most one word for every so many words of the longer. That many edits
 leave one of the longer line's segments, one more than the edits, whole somewhere in the
 other. Both look up a run of ``GRAM`` words that the words around it determine, so that
-equal segments choose the same run. Candidates whose lengths and places allow it are
-verified by a bit-parallel edit distance over words, of any length.
+equal segments choose the same run. Under a run, only lines are compared whose lengths and
+places allow it, which are ranges of its rows in order of these, by the parities of their
+hashed words, of which an edit changes at most two. What is left is verified by a
+bit-parallel edit distance over words, of any length.
 
 Keys are counted before anything is sent under them: chunks of lines send their distinct keys,
 packed, and get back those that two different lines share and one of them owns. Only rows
@@ -93,9 +95,12 @@ class Lines:
             hashed = ((values[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ values[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(58)
             np.bitwise_xor.accumulate(np.uint64(1) << hashed, out=pairs[1:n])
         self.parity = pairs[self.end - 1] ^ pairs[self.start]
+        self._words = None
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of all words; of each line, its first word and how many it has."""
+        if self._words is not None:
+            return self._words
         inside = IN_WORD[np.minimum(self.codes, 255)]
         begin, end = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
@@ -103,7 +108,20 @@ class Lines:
         begin[self.start], end[self.end - 1] = True, True
         begin = np.flatnonzero(begin)
         first = np.searchsorted(begin, self.start)
-        return begin, np.flatnonzero(end) + 1, first, np.searchsorted(begin, self.end) - first
+        self._words = begin, np.flatnonzero(end) + 1, first, np.searchsorted(begin, self.end) - first
+        return self._words
+
+    def word_hashes(self) -> np.ndarray:
+        begin, end, _, _ = self.words()
+        return mix(substring_hash(self.prefix, begin, end, _CHAR_BASE) + mix((end - begin).astype(np.uint64)))
+
+    def word_parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each line, which of 64 classes of words it has an odd number of, and its number of words."""
+        _, _, first, count = self.words()
+        hashed = self.word_hashes()
+        odd = np.zeros(len(hashed) + 1, dtype=np.uint64)
+        np.bitwise_xor.accumulate(np.uint64(1) << (hashed >> np.uint64(58)), out=odd[1:])
+        return odd[first + count] ^ odd[first], count
 
     def line(self, k: int) -> str:
         return self.codes[self.start[k] : self.end[k]].tobytes().decode("utf-32-le")
@@ -143,8 +161,8 @@ def word_keys(lines: Lines, chosen: np.ndarray, words_an_edit: int) -> tuple[np.
 
     The place holds the line's number of words above that of the run's first word.
     """
-    begin, end, first, count = lines.words()
-    hashes = mix(substring_hash(lines.prefix, begin, end, _CHAR_BASE) + mix((end - begin).astype(np.uint64)))
+    _, _, first, count = lines.words()
+    hashes = lines.word_hashes()
     # A line is looked up by longer ones, which have at least words_an_edit words.
     chosen = chosen[count[chosen] >= max(GRAM, words_an_edit - 1)]
     none = np.zeros(0, dtype=np.int64)
@@ -214,10 +232,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "row_key long, doc_id long, line_no int, id long")
 
 
-# A chunk of texts in one row: its lines (ids, parities, numbers of words) and the keys that they
+# A chunk of texts in one row: its lines (ids, parities of character pairs and of words, numbers of words) and the keys that they
 # meet under, by characters (c) and by words (w).
 _KEYED = (
-    "chunk long, ids array<long>, parity array<long>, words array<int>, "
+    "chunk long, ids array<long>, parity array<long>, marks array<long>, words array<int>, "
     "c_line array<int>, c_key array<long>, c_at array<int>, c_own array<boolean>, "
     "w_line array<int>, w_key array<long>, w_at array<int>, w_own array<boolean>"
 )
@@ -255,7 +273,7 @@ def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_ed
                     continue
                 place = np.zeros(len(lines.id), dtype=np.int64)
                 place[at_lines] = np.arange(len(at_lines))
-                words = lines.words()[3]
+                marks, words = lines.word_parity()
                 c_line, c_key, c_own = none, none.astype(np.uint64), none.astype(bool)
                 if edits is not None:
                     short = at_lines[lines.length[at_lines] >= max(near_chars, edits + 1)]
@@ -267,7 +285,7 @@ def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_ed
                 if words_an_edit is not None:
                     w_line, w_key, w_at, w_own = _one_a_line(*word_keys(lines, at_lines, words_an_edit))
                 columns = [
-                    *(lines.id[at_lines].view(np.int64), lines.parity[at_lines].view(np.int64), words[at_lines].astype(np.int32)),
+                    *(lines.id[at_lines].view(np.int64), lines.parity[at_lines].view(np.int64), marks[at_lines].view(np.int64), words[at_lines].astype(np.int32)),
                     *(place[c_line].astype(np.int32), c_key.view(np.int64), np.zeros(len(c_line), dtype=np.int32), c_own),
                     *(place[w_line].astype(np.int32), w_key.view(np.int64), (w_at & 0xFFFFFFFF).astype(np.int32), w_own),
                 ]
@@ -332,95 +350,139 @@ def _meeting_keys(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame
 
 
 def _meeting_rows(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame:
-    """``key``, ``id``, ``parity`` (or place) and ``own`` of lines under keys that can bring a pair together."""
+    """``key``, ``id``, ``place``, ``mark`` (parities) and ``own`` of lines under keys that can bring a pair together."""
     meeting = _meeting_keys(spark, keyed, kind).groupBy("chunk").agg(F.collect_list("keys").alias("meeting"))
     by_words = kind == "w"
 
     def rows(batches):
         for batch in batches:
             for row in range(len(batch)):
-                ids, parity, words, line, key, at, own = (np.asarray(batch.column(k)[row].values) for k in range(7))
+                ids, marks, words, line, key, at, own = (np.asarray(batch.column(k)[row].values) for k in range(7))
                 met = np.frombuffer(b"".join(batch.column(7)[row].as_py()), dtype=np.int64)
                 chosen = np.flatnonzero(np.isin(key, met))
                 line = line[chosen]
-                place = words[line].astype(np.int64) << 32 | at[chosen] if by_words else parity[line]
-                yield pa.RecordBatch.from_arrays([pa.array(key[chosen]), pa.array(ids[line]), pa.array(place), pa.array(own[chosen])], names=["key", "id", "parity", "own"])
-
-    columns = ["ids", "parity", "words", *(f"{kind}_{c}" for c in ("line", "key", "at", "own"))]
-    return keyed.join(meeting, "chunk").select(*columns, "meeting").mapInArrow(rows, "key long, id long, parity long, own boolean")
-
-
-def _like_parities(most_bits: int):
-    return lambda a, b: np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= most_bits
-
-
-def _like_places(words_an_edit: int):
-    """Whether moving the run and then ending at the other length takes no more edits than allowed."""
-
-    def agree(a, b):
-        longer, moved = (a >> 32) - (b >> 32), (a & 0xFFFFFFFF) - (b & 0xFFFFFFFF)
-        edits = np.maximum(a >> 32, b >> 32) // words_an_edit
-        open_place = ((a & ANYWHERE) == ANYWHERE) | ((b & ANYWHERE) == ANYWHERE)
-        return np.where(open_place, np.abs(longer), np.abs(moved) + np.abs(longer - moved)) <= edits
-
-    return agree
-
-
-def _within_reach(words_an_edit: int):
-    """Whether a line may be near the next longer one; if not, then to no line after that."""
-    return lambda a, b: (b >> 32) - (a >> 32) <= (b >> 32) // words_an_edit
-
-
-_NAMES = ("key", "sub", "side", "id", "parity", "own")
-
-
-def _pairs_of(rows: dict[str, np.ndarray], agree, reach) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different lines of a group, one with the part as its own, whose parities (or places) agree.
-
-    Rows are in order of these; with ``reach``, a row is compared with those after it only
-    as far as that holds.
+                place = words[line].astype(np.int64) << 32 | at[chosen] if by_words else np.zeros(len(line), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[chosen], ids[line], place, marks[line], own[chosen])], names=["key", "id", "place", "mark", "own"])
+
+    columns = ["ids", "marks" if by_words else "parity", "words", *(f"{kind}_{c}" for c in ("line", "key", "at", "own"))]
+    return keyed.join(meeting, "chunk").select(*columns, "meeting").mapInArrow(rows, "key long, id long, place long, mark long, own boolean")
+
+
+class ByCharacters:
+    """Who is compared under a part of a line: all, by the parities of their character pairs."""
+
+    def __init__(self, edits: int) -> None:
+        self.most_bits = 4 * edits
+
+    def ranges(self, group: np.ndarray, place: np.ndarray):
+        at = np.arange(len(group))
+        yield at, at + 1, np.searchsorted(group, group, "right")
+
+    def alike(self, place_a: np.ndarray, place_b: np.ndarray, differing: np.ndarray) -> np.ndarray:
+        return differing <= self.most_bits
+
+
+class ByWords:
+    """Who is compared under a run of words: lines that may be near by their numbers of words and the run's places."""
+
+    def __init__(self, words_an_edit: int) -> None:
+        self.words_an_edit = words_an_edit
+
+    def ranges(self, group: np.ndarray, place: np.ndarray):
+        """Rows and the ranges of later rows that each is compared with.
+
+        Moving the run and then ending at the other length must take no more edits than the
+        longer line allows, so that for each larger number of words the run's place lies in
+        one interval. Runs of no one place come last among those of their number of words.
+        """
+        count, at = place >> 32, place & ANYWHERE
+        new = np.ones(len(group), dtype=bool)
+        new[1:] = (group[1:] != group[:-1]) | (count[1:] != count[:-1])
+        block, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        ends = np.append(starts[1:], len(group))
+        order = block << 32 | at
+        opened = np.searchsorted(order, np.arange(len(starts)) << 32 | ANYWHERE)
+        rows, step = np.arange(len(group)), 0
+        while len(rows):
+            other = block[rows] + step
+            rows, other = rows[other < len(starts)], other[other < len(starts)]
+            longer = count[starts[other]] - count[rows]
+            edits = count[starts[other]] // self.words_an_edit
+            # Where a line is out of reach, so are all longer ones.
+            near = (group[starts[other]] == group[rows]) & (longer <= edits)
+            rows, other, longer, edits = rows[near], other[near], longer[near], edits[near]
+            slack = (edits - longer) // 2
+            fixed = at[rows] != ANYWHERE
+            low = np.searchsorted(order, other << 32 | np.maximum(at[rows] - slack, 0))
+            high = np.searchsorted(order, other << 32 | np.minimum(at[rows] + longer + slack, ANYWHERE - 1), "right")
+            low, high = np.where(fixed, low, starts[other]), np.where(fixed, high, ends[other])
+            yield rows, np.maximum(low, rows + 1), high
+            yield rows[fixed], opened[other[fixed]], ends[other[fixed]]
+            step += 1
+
+    def alike(self, place_a: np.ndarray, place_b: np.ndarray, differing: np.ndarray) -> np.ndarray:
+        return differing <= 2 * ((np.maximum(place_a, place_b) >> 32) // self.words_an_edit)
+
+
+_NAMES = ("key", "sub", "side", "id", "place", "mark", "own")
+# Pairs of rows compared at once.
+_AT_ONCE = 1 << 19
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _pairs_of(rows: dict[str, np.ndarray], rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different lines of a group, one with the part as its own, that ``rule`` finds alike.
+
+    Rows are in order of group and place.
     """
     n = len(rows["id"])
     new = np.ones(n, dtype=bool)
     new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["sub"][1:] != rows["sub"][:-1])
-    group = np.cumsum(new)
-    parity, own, side, ids = rows["parity"], rows["own"], rows["side"], rows["id"]
-    at, left, right = np.arange(n), [], []
-    for step in range(1, n):
-        at = at[at + step < n]
-        at = at[group[at] == group[at + step]]
-        if not len(at):
-            break
-        if reach is not None:
-            at = at[reach(parity[at], parity[at + step])]
-        other = at + step
-        ok = agree(parity[at], parity[other])
-        a, b = at[ok], other[ok]
-        ok = (own[a] | own[b]) & (ids[a] != ids[b]) & ((side[a] != side[b]) | (side[a] < 0))
-        left.append(ids[a[ok]])
-        right.append(ids[b[ok]])
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
-
-
-def _compare(batches, agree, reach, limit: int):
+    place, mark, own, side, ids = (rows[c] for c in ("place", "mark", "own", "side", "id"))
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at, low, high in rule.ranges(np.cumsum(new), place):
+        some = high > low
+        at, low, sizes = at[some], low[some], (high - low)[some]
+        upto = np.cumsum(sizes)
+        first = 0
+        while first < len(at):
+            before = upto[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(upto, before + _AT_ONCE, "right")))
+            a = np.repeat(at[first:last], sizes[first:last])
+            b = np.arange(len(a)) + np.repeat(low[first:last] - (upto[first:last] - sizes[first:last] - before), sizes[first:last])
+            ok = rule.alike(place[a], place[b], np.bitwise_count((mark[a] ^ mark[b]).view(np.uint64)))
+            a, b = a[ok], b[ok]
+            ok = (own[a] | own[b]) & (ids[a] != ids[b]) & ((side[a] != side[b]) | (side[a] < 0))
+            left.append(ids[a[ok]])
+            right.append(ids[b[ok]])
+            first = last
+    return _distinct_pairs(np.concatenate(left), np.concatenate(right))
+
+
+def _compare(batches, rule, limit: int):
     """Candidate pairs from rows sorted by group; rows of groups beyond ``limit`` go on unread.
 
     Yields rows with ``a`` and ``b`` for pairs, and with ``key`` for rows that are to be
     compared in blocks. At most ``limit`` rows of a group are held.
     """
+    names = ["a", "b", "key", "id", "place", "mark", "own"]
 
     def pairs(rows):
-        a, b = _pairs_of(rows, agree, reach)
+        a, b = _pairs_of(rows, rule)
         empty = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), empty, empty, empty, pa.nulls(len(a), pa.bool_())], names=["a", "b", "key", "id", "parity", "own"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), empty, empty, empty, empty, pa.nulls(len(a), pa.bool_())], names=names)
 
     def deferred(rows):
         empty = pa.nulls(len(rows["id"]), pa.int64())
-        return pa.RecordBatch.from_arrays([empty, empty, pa.array(rows["key"]), pa.array(rows["id"]), pa.array(rows["parity"]), pa.array(rows["own"])], names=["a", "b", "key", "id", "parity", "own"])
+        return pa.RecordBatch.from_arrays([empty, empty, *(pa.array(rows[c]) for c in names[2:])], names=names)
 
     held, passing = None, None
     for batch in batches:
@@ -449,27 +511,27 @@ def _compare(batches, agree, reach, limit: int):
         yield pairs(held)
 
 
-_COMPARED = "a long, b long, key long, id long, parity long, own boolean"
+_COMPARED = "a long, b long, key long, id long, place long, mark long, own boolean"
 
 
 def candidate_pairs(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, group_rows: int = GROUP_ROWS, fewer_words: int | None = None) -> DataFrame:
     """Pairs (``a``, ``b``) of ids of different lines (of ``fewer_words``) that may be within ``edits``."""
     keyed = handover(spark, keyed_lines(docs, edits, near_chars, None, fewer_words), "keyed-lines")
-    return _meet(spark, _meeting_rows(spark, keyed, "c"), _like_parities(4 * edits), group_rows)
+    return _meet(spark, _meeting_rows(spark, keyed, "c"), ByCharacters(edits), group_rows)
 
 
 def word_candidate_pairs(spark: SparkSession, docs: DataFrame, words_an_edit: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pairs (``a``, ``b``) of ids of different lines that may be near in words."""
     keyed = handover(spark, keyed_lines(docs, None, 0, words_an_edit), "keyed-lines")
-    return _meet(spark, _meeting_rows(spark, keyed, "w"), _like_places(words_an_edit), group_rows, _within_reach(words_an_edit))
+    return _meet(spark, _meeting_rows(spark, keyed, "w"), ByWords(words_an_edit), group_rows)
 
 
-def _meet(spark: SparkSession, parts: DataFrame, agree, group_rows: int, reach=None) -> DataFrame:
-    parts = parts.select("key", F.lit(0).alias("sub"), F.lit(-1).alias("side"), "id", "parity", "own")
-    met = parts.repartition("key").sortWithinPartitions("key", "parity")
-    first = handover(spark, met.mapInArrow(lambda batches: _compare(batches, agree, reach, group_rows), _COMPARED), "line-pairs")
+def _meet(spark: SparkSession, parts: DataFrame, rule, group_rows: int) -> DataFrame:
+    parts = parts.select("key", F.lit(0).alias("sub"), F.lit(-1).alias("side"), "id", "place", "mark", "own")
+    met = parts.repartition("key").sortWithinPartitions("key", "place")
+    first = handover(spark, met.mapInArrow(lambda batches: _compare(batches, rule, group_rows), _COMPARED), "line-pairs")
     # Groups too large for one task: every pair of their blocks of rows becomes a group.
-    hot = first.where("key IS NOT NULL").groupBy("key", "id", "parity").agg(F.max("own").alias("own"))
+    hot = first.where("key IS NOT NULL").groupBy("key", "id", "place", "mark").agg(F.max("own").alias("own"))
     sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(group_rows)).cast("int").alias("parts"))
     rows = hot.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -478,11 +540,12 @@ def _meet(spark: SparkSession, parts: DataFrame, agree, group_rows: int, reach=N
         (F.least("part", "mate") * F.col("parts") + F.greatest("part", "mate")).alias("sub"),
         F.when(F.col("part") == F.col("mate"), F.lit(-1)).otherwise(F.col("part")).alias("side"),
         "id",
-        "parity",
+        "place",
+        "mark",
         "own",
     )
-    blocks = rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "parity")
-    more = blocks.mapInArrow(lambda batches: _compare(batches, agree, reach, 1 << 62), _COMPARED)
+    blocks = rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "place")
+    more = blocks.mapInArrow(lambda batches: _compare(batches, rule, 1 << 62), _COMPARED)
     return first.where("a IS NOT NULL").select("a", "b").union(more.select("a", "b")).distinct()
 
 
@@ -594,9 +657,9 @@ def links(spark: SparkSession, docs: DataFrame, firsts: DataFrame, edits: int =
     path = new_path(spark, "keyed-lines")
     chosen = docs.join(places, "row_key").select("row_key", "text", "at")
     keyed = handover(spark, keyed_lines(chosen, edits, near_chars, words_an_edit, fewer_words), "keyed-lines", path)
-    pairs = _meet(spark, _meeting_rows(spark, keyed, "c"), _like_parities(4 * edits), GROUP_ROWS).withColumn("by_chars", F.lit(True))
+    pairs = _meet(spark, _meeting_rows(spark, keyed, "c"), ByCharacters(edits), GROUP_ROWS).withColumn("by_chars", F.lit(True))
     if words_an_edit is not None:
-        by_words = _meet(spark, _meeting_rows(spark, keyed, "w"), _like_places(words_an_edit), GROUP_ROWS, _within_reach(words_an_edit))
+        by_words = _meet(spark, _meeting_rows(spark, keyed, "w"), ByWords(words_an_edit), GROUP_ROWS)
         pairs = pairs.union(by_words.withColumn("by_chars", F.lit(False)))
         pairs = pairs.groupBy("a", "b").agg(F.max("by_chars").alias("by_chars"))
     pairs = handover(spark, pairs, "candidate-pairs")
