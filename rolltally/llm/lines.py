@@ -550,7 +550,13 @@ def _meet(spark: SparkSession, parts: DataFrame, rule, group_rows: int) -> DataF
 
 
 def banded_distances(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
-    """Edit distances of pairs, exact where at most ``edits``, larger than that elsewhere.
+    """Edit distances of pairs, exact where at most ``edits``, larger than that elsewhere."""
+    codes = [tuple(np.frombuffer(x.encode("utf-32-le"), dtype="<u4") for x in p) for p in pairs]
+    return banded_sequence_distances(codes, edits)
+
+
+def banded_sequence_distances(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int) -> np.ndarray:
+    """Edit distances of pairs of code sequences, exact where at most ``edits`` (31 or fewer).
 
     A band of ``2 * edits + 1`` rows around the diagonal is kept as bit vectors of vertical
     differences, one small integer per pair; a step over one column serves all pairs.
@@ -558,12 +564,12 @@ def banded_distances(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     if not pairs:
         return np.zeros(0, dtype=np.int64)
     ordered = [p if len(p[0]) >= len(p[1]) else p[::-1] for p in pairs]
-    longer, shorter = ([np.frombuffer(p[k].encode("utf-32-le"), dtype="<u4") for p in ordered] for k in (0, 1))
+    longer, shorter = zip(*ordered)
     rows, columns = np.array([len(x) for x in longer]), np.array([len(x) for x in shorter])
     width = 2 * edits + 1
     pattern = np.zeros((int(rows.max()) + width + 1, len(pairs)), dtype=np.uint32)
     text = np.zeros((int(columns.max()) + 1, len(pairs)), dtype=np.uint32)
-    # 0 stands for no character: code points are moved by one, and a text's end never matches.
+    # 0 stands for no symbol: codes are moved by one, and a sequence's end never matches.
     for k, (x, y) in enumerate(zip(longer, shorter)):
         pattern[edits : edits + len(x), k] = x + 1
         text[: len(y), k] = y + 1
@@ -590,7 +596,7 @@ def banded_distances(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
 _SPACE = re.compile("[" + re.escape(SEPARATORS.decode()) + "]+")
 
 
-def word_distance(a: list[str], b: list[str]) -> int:
+def word_distance(a: list, b: list) -> int:
     """Edit distance over words: bit vectors of vertical differences, as long as the line."""
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
@@ -601,7 +607,7 @@ def word_distance(a: list[str], b: list[str]) -> int:
     a, b = a[low : len(a) - high], b[low : len(b) - high]
     if not a or not b:
         return len(a) + len(b)
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, word in enumerate(a):
         places[word] = places.get(word, 0) | 1 << i
     full, last, score = (1 << len(a)) - 1, len(a) - 1, len(a)
@@ -616,14 +622,42 @@ def word_distance(a: list[str], b: list[str]) -> int:
     return score
 
 
-def near_in_words(a: str, b: str, words_an_edit: int) -> bool:
-    """Whether edits of words, one for every ``words_an_edit`` of the longer line, suffice.
+# Edits whose band fits a machine word.
+_MOST_BANDED = 31
+
+
+def near_in_words(pairs: list[tuple[str, str]], words_an_edit: int) -> np.ndarray:
+    """Whether edits of words, one for every ``words_an_edit`` of the longer line, suffice, for each pair.
 
     Shorter lines are near to none, not even to those of the same words in other white space.
+    Pairs with equally many edits are verified together; few pairs, and those of lines too
+    long for a band in a machine word, one by one.
     """
-    one, other = _SPACE.split(a), _SPACE.split(b)
-    allowed = max(len(one), len(other)) // words_an_edit
-    return allowed > 0 and abs(len(one) - len(other)) <= allowed and word_distance(one, other) <= allowed
+    known: dict[str, int] = {}
+    coded: dict[str, np.ndarray] = {}
+
+    def codes(line: str) -> np.ndarray:
+        if line not in coded:
+            coded[line] = np.array([known.setdefault(w, len(known)) for w in _SPACE.split(line)], dtype=np.uint32)
+        return coded[line]
+
+    cut = [(codes(a), codes(b)) for a, b in pairs]
+    sizes = np.array([(len(a), len(b)) for a, b in cut], dtype=np.int64).reshape(-1, 2)
+    longer = sizes.max(axis=1)
+    allowed = longer // words_an_edit
+    near = np.zeros(len(pairs), dtype=bool)
+    possible = (allowed > 0) & (longer - sizes.min(axis=1) <= allowed)
+    for edits in np.unique(allowed[possible]).tolist():
+        chosen = np.flatnonzero(possible & (allowed == edits))
+        # All of them have about edits * words_an_edit words, which bounds the memory of a part.
+        room = max(1, (1 << 21) // ((edits + 1) * words_an_edit))
+        for first in range(0, len(chosen), room):
+            part = chosen[first : first + room]
+            if edits <= _MOST_BANDED and len(part) > 4 * edits:
+                near[part] = banded_sequence_distances([cut[k] for k in part], edits) <= edits
+            else:
+                near[part] = [word_distance(*(x.tolist() for x in cut[k])) <= edits for k in part]
+    return near
 
 
 def _texts_of(spark: SparkSession, docs: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -670,7 +704,7 @@ def links(spark: SparkSession, docs: DataFrame, firsts: DataFrame, edits: int =
     def verify(batches):
         for batch in batches:
             lines = list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()))
-            near = np.array([words_an_edit is not None and near_in_words(a, b, words_an_edit) for a, b in lines], dtype=bool)
+            near = np.zeros(len(lines), dtype=bool) if words_an_edit is None else near_in_words(lines, words_an_edit)
             sizes = np.array([max(len(a), len(b)) for a, b in lines], dtype=np.int64)
             order = np.argsort(sizes, kind="stable")
             order = order[batch.column(2).to_numpy(zero_copy_only=False)[order] & ~near[order]]

@@ -206,6 +206,54 @@ def test_word_distance(a, b):
     assert lines.word_distance(a, b) == edit_distance(a, b)
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_near_in_words_one_by_one_and_together(copies):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(30)]
+    pairs = []
+    for n in (1, 9, 10, 11, 20, 33, 64, 319, 330):
+        for _ in range(4):
+            base = rng.choices(vocabulary, k=n)
+            pairs.append((" ".join(base), " \t".join(word_edited(rng, base, vocabulary, rng.randrange(n // 10 + 3)) or ["w"])))
+    expected = []
+    for a, b in pairs:
+        one, other = a.split(), b.split()
+        allowed = max(len(one), len(other)) // lines.WORDS_AN_EDIT
+        expected.append(allowed > 0 and edit_distance(one, other) <= allowed)
+    assert 5 < sum(expected) < len(pairs)
+    assert lines.near_in_words(pairs * copies, lines.WORDS_AN_EDIT).tolist() == expected * copies
+
+
+def plain_candidates(rows, words_an_edit):
+    """Pairs of rows (key, id, words, place or None, mark, own) that may be near, each tried."""
+    found = set()
+    for i, (key, a, words_a, at_a, mark_a, own_a) in enumerate(rows):
+        for other, b, words_b, at_b, mark_b, own_b in rows[:i]:
+            edits, longer = max(words_a, words_b) // words_an_edit, words_a - words_b
+            moves = abs(longer) if at_a is None or at_b is None else abs(at_a - at_b) + abs(longer - (at_a - at_b))
+            if key == other and a != b and (own_a or own_b) and moves <= edits and (mark_a ^ mark_b).bit_count() <= 2 * edits:
+                found.add((min(a, b), max(a, b)))
+    return found
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(
+        st.tuples(st.integers(0, 2), st.integers(0, 9), st.integers(9, 45), st.one_of(st.none(), st.integers(0, 12)), st.integers(0, 31), st.booleans()),
+        min_size=1,
+        max_size=40,
+    )
+)
+def test_ranges_of_rows_equal_all_pairs(rows):
+    rows = sorted(rows, key=lambda r: (r[0], r[2], lines.ANYWHERE if r[3] is None else r[3]))
+    columns = {c: np.array([r[k] for r in rows]) for c, k in (("key", 0), ("id", 1), ("mark", 4), ("own", 5))}
+    place = np.array([r[2] << 32 | (lines.ANYWHERE if r[3] is None else r[3]) for r in rows])
+    columns |= {"place": place, "sub": np.zeros(len(rows), dtype=np.int32), "side": np.full(len(rows), -1, dtype=np.int32)}
+    a, b = lines._pairs_of(columns, lines.ByWords(10))
+    assert set(zip(a.tolist(), b.tolist())) == plain_candidates(rows, 10)
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
+
+
 # --- decontamination
 
 
