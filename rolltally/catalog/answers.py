@@ -9,6 +9,7 @@ from rolltally.catalog import bindings as b
 from rolltally.catalog.registry import query
 from rolltally.functions import answers
 from rolltally.functions.conversation import message
+from rolltally.operators.grading import grade_pairs
 from rolltally.operators.joins import last_per_key
 from rolltally.plans.conversion import extraction_coverage, with_answer
 
@@ -268,8 +269,7 @@ _A, _B, _C = "(o_custkey % 9 + 1)", "(o_orderkey % 7 + 1)", "(o_custkey // 9 % 3
 )
 def expression_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers written in two ways; the second is off by a number, which may be zero."""
-    # Costly rows of a single file, which one task would read.
-    orders = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(64)
+    orders = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     first, second, off = F.pmod("o_custkey", F.lit(9)) + 1, F.pmod("o_orderkey", F.lit(7)) + 1, F.pmod(F.floor(F.col("o_custkey") / 9), F.lit(3))
     pairs = [
         (r"\frac{%1$s}{%2$s}", r"(%1$s+%3$s)/%2$s"),
@@ -286,5 +286,6 @@ def expression_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     which = F.pmod("o_orderkey", F.lit(len(pairs))).cast("int")
     numbers = [x.cast("string") for x in (first, second, off)]
-    left, right = (F.get(F.array(*[F.format_string(pair[k], *numbers) for pair in pairs]), which) for k in (0, 1))
-    return orders.select("o_orderkey", answers.grade(left, right).alias("equal"))
+    left, right = (F.coalesce(*[F.when(which == i, F.format_string(pair[k], *numbers)) for i, pair in enumerate(pairs)]) for k in (0, 1))
+    answered = orders.select("o_orderkey", left.alias("left"), right.alias("right"))
+    return grade_pairs(answered, "left", "right", "equal").select("o_orderkey", "equal")

@@ -251,3 +251,14 @@ def test_repeated_keys_and_verdict_lines(spark, tmp_path):
     summary = stored("summary.json")
     assert summary["eval_rules_strict_instruction_level"] == 0.5 and summary["step"] == 25
     assert summary["strict_path"] == f"{base}/strict.jsonl"
+
+
+def test_equal_pairs_are_compared_once(spark, monkeypatch):
+    pairs = [("0.5", r"\frac{1}{2}", True), ("2", "3", False), (None, "3", False), ("2", None, False), (None, None, False), ("", "", False)]
+    rows = [(i, *pairs[i % len(pairs)][:2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, left string, right string").repartition(4)
+    got = grading.grade_pairs(df, "left", "right", "equal")
+    assert got.columns == ["id", "left", "right", "equal"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(*row, pairs[row[0] % len(pairs)][2]) for row in rows]
+    monkeypatch.setattr(grading, "grade", lambda a, b: F.uuid())
+    assert grading.grade_pairs(df, "left", "right", "mark").select("mark").distinct().count() == len(pairs)
