@@ -31,10 +31,11 @@ def due_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
                  CAST(sum(event_id) AS BIGINT) AS id_sum FROM due GROUP BY run, save_step""",
 )
 def rollout_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written flat by run and save step, then read back."""
+    """Written flat by run and range of save steps, then read back."""
     path = new_path(spark, "rollouts")
-    write_rollouts(ops.due_batches(b.rollouts(spark, sf_dir)), path, run=["run"])
-    schema = "step long, idx int, prompt string, completion string, event_id long, run string, save_step long"
+    # Steps of a hundred records each: folders of their own would take most of the time.
+    write_rollouts(ops.due_batches(b.rollouts(spark, sf_dir)), path, run=["run"], steps_a_folder=5000)
+    schema = "step long, idx int, prompt string, completion string, event_id long, save_step long, run string, steps_from long"
     stored = spark.read.schema(schema).json(path)
     return stored.groupBy("run", "save_step").agg(
         F.count(F.lit(1)).alias("num_samples"),

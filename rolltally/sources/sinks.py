@@ -22,14 +22,21 @@ def write_jsonl_counted(df: DataFrame, path: str, counts: dict, mode: str = "err
 
 
 def write_rollouts(
-    df: DataFrame, path: str, step: str = "save_step", run: Sequence[str] = ()
+    df: DataFrame, path: str, step: str = "save_step", run: Sequence[str] = (), steps_a_folder: int = 1
 ) -> None:
     """Write rollout records flat, one folder per save step. A step that is written again
     replaces its folder only.
 
-    Rebalancing brings the rows of small steps together and splits large ones, so that
+    A folder costs many times what its rows do where steps are small. For tables of many
+    such steps, a folder can hold the steps of a range (``steps_from`` and up), which then
+    are written again together; the step stays a column of the rows.
+
+    Rebalancing brings the rows of small folders together and splits large ones, so that
     neither tiny files nor one huge file per folder come out.
     """
+    if steps_a_folder > 1:
+        df = df.withColumn("steps_from", F.col(step) - F.pmod(F.col(step), F.lit(steps_a_folder)))
+        step = "steps_from"
     (
         df.hint("rebalance", *run, step)
         .write.mode("overwrite")
@@ -40,6 +47,11 @@ def write_rollouts(
     )
 
 
+def write_documents(df: DataFrame, path: str) -> None:
+    """Write every row as a JSON file of its own, all in one folder."""
+    df.write.option("ignoreNullFields", "false").option("maxRecordsPerFile", 1).json(path)
+
+
 def read_rollout_documents(
     spark: SparkSession, path: str, schema: T.StructType | None = None
 ) -> DataFrame:

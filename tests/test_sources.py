@@ -127,6 +127,18 @@ def test_rollout_step_is_replaced_alone(spark, tmp_path):
     assert got == {(5, "a"), (10, "c")}
 
 
+def test_steps_of_a_range_share_a_folder(spark, tmp_path):
+    path = str(tmp_path / "rollouts")
+    rows = [(run, step, f"{run}{step}{i}") for run in "ab" for step in range(5, 205, 5) for i in range(3)]
+    first = spark.createDataFrame(rows, "run string, save_step long, completion string")
+    sinks.write_rollouts(first, path, run=["run"], steps_a_folder=100)
+    assert len(list((tmp_path / "rollouts").glob("run=*/steps_from=*"))) == 6
+    again = first.where("run = 'b' and save_step >= 200").withColumn("completion", F.lit("new"))
+    sinks.write_rollouts(again, path, run=["run"], steps_a_folder=100)
+    got = sorted((r["run"], r["save_step"], r["completion"]) for r in spark.read.json(path).collect())
+    assert got == sorted((r, s, "new" if r == "b" and s >= 200 else c) for r, s, c in rows)
+
+
 def test_step_documents_are_flattened(spark, tmp_path):
     for step in (5, 10):
         records = [{"step": step - i, "prompt": "p", "completion": "c", "teacher_reward": -0.5} for i in range(3)]
