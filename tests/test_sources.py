@@ -139,6 +139,17 @@ def test_steps_of_a_range_share_a_folder(spark, tmp_path):
     assert got == sorted((r, s, "new" if r == "b" and s >= 200 else c) for r, s, c in rows)
 
 
+def test_documents_are_files_of_one_folder(spark, tmp_path):
+    record = {"step": 5, "completion": None}
+    documents = [{"save_step": step, "num_samples": 1, "generations": [record]} for step in range(5, 55, 5)]
+    df = spark.createDataFrame(documents, "save_step long, num_samples long, generations array<struct<step:long,completion:string>>").coalesce(2)
+    sinks.write_documents(df, str(tmp_path / "steps"))
+    files = list((tmp_path / "steps").glob("*.json"))
+    assert sorted(json.loads(f.read_text())["save_step"] for f in files) == [d["save_step"] for d in documents]
+    got = sinks.read_rollout_documents(spark, str(tmp_path / "steps"), df.schema)
+    assert sorted(map(tuple, got.collect())) == [(d["save_step"], 1, 5, None) for d in documents]
+
+
 def test_step_documents_are_flattened(spark, tmp_path):
     for step in (5, 10):
         records = [{"step": step - i, "prompt": "p", "completion": "c", "teacher_reward": -0.5} for i in range(3)]
