@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from itertools import islice
 from uuid import uuid4
 
 import numpy as np
@@ -42,6 +43,8 @@ PENALTY = 0.3
 SIGNIFICANT = 0.05
 CACHE_WORDS = 150_000
 FLUSH_FEATURES = 120_000
+# Words counted at once, or those of one longer text.
+COUNT_WORDS = 1 << 17
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -112,21 +115,27 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(start, end, high - low) for low, high, start, end in found]
 
 
+class _Scores(dict):
+    """Scores of words, computed when they are first looked up."""
+
+    def __init__(self, score) -> None:
+        self.score = score
+
+    def __missing__(self, word: str) -> float:
+        self[word] = found = self.score(word)
+        return found
+
+
 class Scorer:
     """Scores texts; words seen before are looked up."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.cache = model, {}
+        self.model, self.cache = model, _Scores(model.token_score)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        cache, score = self.cache, self.model.token_score
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        out = [cache.get(w) for w in words]
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = cache[words[i]] = score(words[i])
-        return np.array(out, dtype=np.float64)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        return np.fromiter(map(self.cache.__getitem__, words), dtype=np.float64, count=len(words))
 
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         words = tokens(text)
@@ -163,32 +172,86 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return source.join(F.broadcast(chosen), "id").select("id", "text", "toxic")
 
 
+class _Numbered(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key):
+        self[key] = len(self)
+        return self[key]
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each occurs."""
+    values = np.sort(values)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
+    return values[starts], np.diff(starts, append=len(values))
+
+
+class FeatureCounter:
+    """How often features occur in texts of each fold and label, counted by distinct words of some texts at a time."""
+
+    def __init__(self) -> None:
+        self.words, self.features = _Numbered(), _Numbered()
+        # Of every word met: where its features begin among those of all words.
+        self.of_words, self.starts = [], [0]
+        self.n = np.zeros((FOLDS, 3, 0), dtype=np.int64)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.ids, self.sizes, self.toxic, self.folds, self.pending = [], [], [], [], 0
+
+    def add(self, words: list[str], toxic: int, fold: int) -> None:
+        self.ids.extend(map(self.words.__getitem__, words))
+        self.sizes.append(len(words))
+        self.toxic.append(toxic)
+        self.folds.append(fold)
+        self.pending += len(words)
+
+    def count(self) -> None:
+        """Count the texts added since the last call."""
+        for word in islice(self.words, len(self.starts) - 1, None):
+            self.of_words.extend(map(self.features.__getitem__, features(word)))
+            self.starts.append(len(self.of_words))
+        starts, n_words, n_features = np.array(self.starts), max(1, len(self.words)), max(1, len(self.features))
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        each, times = _counted(text * n_words + np.array(self.ids, dtype=np.int64))
+        text, word = each // n_words, each % n_words
+        sizes = starts[word + 1] - starts[word]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(sizes.sum())) + np.repeat(starts[word] - (ends - sizes), sizes)
+        feature, text, times = np.array(self.of_words, dtype=np.int64)[at], np.repeat(text, sizes), np.repeat(times, sizes)
+        toxic, fold = np.array(self.toxic, dtype=np.int64), np.array(self.folds, dtype=np.int64)
+        cells = FOLDS * 3 * n_features
+        counts = np.bincount(((fold * 3 + toxic)[text]) * n_features + feature, times, cells)
+        once, _ = _counted(text * n_features + feature)
+        counts += np.bincount((fold * 3 + 2)[once // n_features] * n_features + once % n_features, minlength=cells)
+        counts = counts.astype(np.int64).reshape(FOLDS, 3, n_features)
+        counts[:, :, : self.n.shape[2]] += self.n
+        self.n = counts
+        self._begin()
+
+    def rows(self) -> pa.RecordBatch:
+        fold, feature = np.nonzero(self.n[:, 2])
+        names = pa.array(list(self.features), pa.string()).take(pa.array(feature))
+        columns = [pa.array(fold.astype(np.int32)), *(pa.array(self.n[fold, k, feature]) for k in range(3))]
+        return pa.RecordBatch.from_arrays([names, *columns], names=["feature", "fold", "n0", "n1", "docs"])
+
+
 def feature_counts(sample: DataFrame) -> DataFrame:
     """``feature``, ``fold`` and how often it occurs in clean (``n0``) and toxic texts (``n1``), and in how many."""
 
-    def rows_of(counts):
-        columns = list(zip(*counts.values())) or [(), (), ()]
-        keys = [pa.array([f for f, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32())]
-        return pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.int64()) for c in columns)], names=["feature", "fold", "n0", "n1", "docs"])
-
     def count(batches):
-        counts: dict[tuple[str, int], list[int]] = {}
+        counter = FeatureCounter()
         for batch in batches:
             for (text, toxic), fold in zip(_rows(batch), batch.column(2).to_pylist()):
-                if len(counts) > FLUSH_FEATURES:
-                    yield rows_of(counts)
-                    counts = {}
-                seen = set()
-                for token in tokens(text):
-                    for f in features(token):
-                        row = counts.get((f, fold))
-                        if row is None:
-                            row = counts[f, fold] = [0, 0, 0]
-                        row[toxic] += 1
-                        if f not in seen:
-                            seen.add(f)
-                            row[2] += 1
-        yield rows_of(counts)
+                counter.add(tokens(text), toxic, fold)
+                if counter.pending > COUNT_WORDS:
+                    counter.count()
+                    if len(counter.features) > FLUSH_FEATURES:
+                        yield counter.rows()
+                        counter = FeatureCounter()
+        counter.count()
+        yield counter.rows()
 
     toxic = F.least(F.greatest("toxic", F.lit(0)), F.lit(1))
     rows = sample.select("text", toxic.alias("toxic"), "fold").mapInArrow(count, "feature string, fold int, n0 long, n1 long, docs long")
@@ -250,10 +313,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
     for part in range(FOLDS):
         model = learned(counted.where(F.col("fold") != part))
         held = sample.where(F.col("fold") == part).select("text", (F.col("toxic") != 0).cast("int").alias("toxic"))
-        measured = [(r["n"], r["best"], r["total"], r["toxic"]) for r in _measure(held, model).collect()]  # four numbers a text
-        clean = [(n, best) for n, best, _, toxic in measured if not toxic and best > 0]
+        # Kept, so that the texts are scanned once for the law and the regression.
+        found = _measure(held, model).persist()
+        measured = found.select("n", "best", "toxic").collect()  # three numbers a text
+        clean = [(r["n"], r["best"]) for r in measured if not r["toxic"] and r["best"] > 0]
         model.decay, model.scale = _gumbel(np.array([m for _, m in clean]), np.array([max(1, n) for n, _ in clean], dtype=float))
-        again = _summaries(held, model).collect()
+        again = _summaries(found, model).collect()
+        found.unpersist()
         x += [(r["a"], r["b"], r["c"]) for r in again]
         y += [float(r["toxic"]) for r in again]
         if clean:
@@ -268,7 +334,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAM
 
 
 def _measure(sample: DataFrame, model: Model) -> DataFrame:
-    """Tokens, best and total segment score and label of every text."""
+    """Tokens, best segment score, all of them and label of every text."""
 
     def measure(batches):
         scorer = Scorer(model)
@@ -277,28 +343,29 @@ def _measure(sample: DataFrame, model: Model) -> DataFrame:
             for text, toxic in _rows(batch):
                 n, found = scorer.passages(text)
                 scores = [s for _, _, s in found]
-                out.append((n, max(scores, default=0.0), math.fsum(scores), toxic))
+                out.append((n, max(scores, default=0.0), scores, toxic))
             columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _MEASURED)], names=["n", "best", "total", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _MEASURED)], names=["n", "best", "scores", "toxic"])
 
-    return sample.mapInArrow(measure, "n long, best double, total double, toxic int")
+    return sample.mapInArrow(measure, "n long, best double, scores array<double>, toxic int")
 
 
-_MEASURED = (pa.int64(), pa.float64(), pa.float64(), pa.int32())
+_MEASURED = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int32())
 
 
-def _summaries(sample: DataFrame, model: Model) -> DataFrame:
+def _summaries(measured: DataFrame, model: Model) -> DataFrame:
     """What the logistic fit takes of every text, and its label."""
 
     def summarise(batches):
         scorer = Scorer(model)
         for batch in batches:
-            out = [(*scorer.summary(*scorer.passages(text)), toxic) for text, toxic in _rows(batch)]
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            out = [(*scorer.summary(n, [(0, 0, s) for s in scores]), toxic) for n, scores, toxic in rows]
             columns = list(zip(*out)) or [(), (), (), ()]
             kinds = (pa.float64(), pa.float64(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "c", "toxic"])
 
-    return sample.mapInArrow(summarise, "a double, b double, c double, toxic int")
+    return measured.select("n", "scores", "toxic").mapInArrow(summarise, "a double, b double, c double, toxic int")
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -487,3 +487,23 @@ def test_ids_are_the_library_s_for_every_tokenizer_file(docs_of):
         found = CachedEncoder(str(file), literal_markers=True).encode([*texts, None, *texts])
         expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
         assert [x.tolist() for x in found] == [*expected, [], *expected]
+
+
+def test_features_are_counted_by_distinct_words():
+    texts = [("bad bad badly, good", 1, 0), ("good goods BAD", 0, 2), ("", 0, 1), ("ab", 1, 2), ("bad", 1, 0), ("Öl öl", 0, 1)]
+    wanted = {}
+    for text, toxic, fold in texts:
+        found = [f for token in toxicity.tokens(text) for f in toxicity.features(token)]
+        for f in found:
+            wanted.setdefault((f, fold), [0, 0, 0])[toxic] += 1
+        for f in set(found):
+            wanted[f, fold][2] += 1
+    counter = toxicity.FeatureCounter()
+    for k, (text, toxic, fold) in enumerate(texts):
+        counter.add(toxicity.tokens(text), toxic, fold)
+        if k % 2:
+            counter.count()
+    assert {(r["feature"], r["fold"]): [r["n0"], r["n1"], r["docs"]] for r in counter.rows().to_pylist()} == wanted
+    empty = toxicity.FeatureCounter()
+    empty.count()
+    assert empty.rows().num_rows == 0
