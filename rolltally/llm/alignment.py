@@ -15,6 +15,8 @@ one number for each of them, so no row per document and pair is ever shuffled.
 Texts are encoded in parts, cut at single spaces between two characters that are not white
 space, and parts met before are looked up. That no token reaches over such a cut is derived
 from the tokenizers' own files; tokenizers for which it does not follow encode texts whole.
+New parts are strung together again, by such spaces, to be encoded many in one call, and
+their ids cut apart by their bytes; where these do not come back, part by part.
 
 Defined results: texts that are null, empty, or not given back byte by byte by both
 tokenizers have no tokens, no groups and an empty digest; null ids, and rows that repeat an
@@ -40,8 +42,9 @@ from rolltally.llm.common import handover, named
 
 CHUNK_CHARS = 1 << 20
 CACHE_PARTS, CACHE_TOKENS = 300_000, 6_000_000
-# Characters that one call hands to a tokenizer.
+# Characters that one call hands to a tokenizer, and of the parts strung together in it.
 CALL_CHARS = 1 << 22
+STRING_CHARS = 1 << 12
 # A space between two characters neither of which is white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE_SIGN = "▁"
@@ -117,12 +120,10 @@ class _Known:
         self.data, self.start, self.count = np.zeros(1 << 16, dtype=np.int32), [], []
         self.used = 0
 
-    def add(self, ids: list[list[int]]) -> None:
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32)
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(flat) > len(self.data):
             self.data = np.concatenate([self.data, np.zeros(len(self.data), dtype=np.int32)])
         self.data[self.used : self.used + len(flat)] = flat
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         self.start.append(self.used + np.cumsum(sizes) - sizes)
         self.count.append(sizes)
         self.used += len(flat)
@@ -158,15 +159,70 @@ class Encoders:
                 size += len(parts[last]) + 1
                 last += 1
             some = parts[first:last]
-            a, b = self.a.encode(some), self.b.encode(some)
-            self.known_a.add(a)
-            self.known_b.add(b)
-            bytes_a, bytes_b = self.a.bytes.__getitem__, self.b.bytes.__getitem__
-            wanted = [(" " + p).encode() for p in some]
-            self.sound.append(np.array([b"".join(map(bytes_a, x)) == w == b"".join(map(bytes_b, y)) for x, y, w in zip(a, b, wanted)], dtype=bool))
-            self.slots.update(zip(some, range(len(self.slots), len(self.slots) + len(some))))
+            if self.by_parts:
+                # Only between other characters than white space is a space a cut.
+                apart = [p for p in some if p[0].isspace() or p[-1].isspace()]
+                strung = [p for p in some if not (p[0].isspace() or p[-1].isspace())]
+                apart += self._learn_strung(strung)
+            else:
+                apart = some
+            self._learn_apart(apart)
             first = last
 
+    def _known(self, parts: list[str], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sound: np.ndarray) -> None:
+        self.known_a.add(*a)
+        self.known_b.add(*b)
+        self.sound.append(sound)
+        self.slots.update(zip(parts, range(len(self.slots), len(self.slots) + len(parts))))
+
+    def _learn_apart(self, parts: list[str]) -> None:
+        if not parts:
+            return
+        a, b = self.a.encode(parts), self.b.encode(parts)
+        bytes_a, bytes_b = self.a.bytes.__getitem__, self.b.bytes.__getitem__
+        wanted = [(" " + p).encode() for p in parts]
+        sound = np.array([b"".join(map(bytes_a, x)) == w == b"".join(map(bytes_b, y)) for x, y, w in zip(a, b, wanted)], dtype=bool)
+        flat = [(np.fromiter(chain.from_iterable(ids), dtype=np.int32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))) for ids in (a, b)]
+        self._known(parts, *flat, sound)
+
+    def _learn_strung(self, parts: list[str]) -> list[str]:
+        """Learn parts, many in one text; those are left over whose bytes do not come back."""
+        if not parts:
+            return []
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1
+        of_string = (np.cumsum(lengths) - lengths) // STRING_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(of_string)) + 1).tolist(), len(parts)]
+        strings = [" ".join(parts[i:j]) for i, j in zip(cuts[:-1], cuts[1:]) if j > i]
+        encoded = (self.a.encode(strings), self.b.encode(strings))
+        good, ids, sizes, left = [], ([], []), ([], []), []
+        for k, string in enumerate(strings):
+            some = parts[cuts[k] : cuts[k + 1]]
+            wanted = (" " + string).encode()
+            of_part = lengths[cuts[k] : cuts[k + 1]] if len(wanted) == len(string) + 1 else np.array([len(p.encode()) + 1 for p in some])
+            borders = np.cumsum(of_part)
+            counted = []
+            for x, tokenizer, token_bytes in ((encoded[0][k], self.a, self.length_a), (encoded[1][k], self.b, self.length_b)):
+                if b"".join(map(tokenizer.bytes.__getitem__, x)) != wanted:
+                    break
+                x = np.array(x, dtype=np.int32)
+                ends = np.cumsum(token_bytes[x])
+                at = np.searchsorted(ends, borders)
+                # A token without bytes belongs to no part.
+                if not (ends[at] == borders).all() or not token_bytes[x].all():
+                    break
+                counted.append((x, np.diff(at, prepend=-1)))
+            if len(counted) < 2:
+                left += some
+                continue
+            good += some
+            for side, (x, n) in enumerate(counted):
+                ids[side].append(x)
+                sizes[side].append(n)
+        if good:
+            a, b = ((np.concatenate(ids[side]), np.concatenate(sizes[side])) for side in (0, 1))
+            self._known(good, a, b, np.ones(len(good), dtype=bool))
+        return left
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of both tokenizers and how many of them each text has: none where a text has no tokens."""
         cut = [[] if not t else _CUT.split(t) if self.by_parts else [t] for t in texts]

@@ -191,6 +191,24 @@ def test_parts_give_the_ids_of_whole_texts():
         encoders.forget()
 
 
+def test_new_parts_are_encoded_many_in_one_call(monkeypatch):
+    encoders, given = alignment.Encoders(A, B), []
+    encode = encoders.a.encode
+    monkeypatch.setattr(encoders.a, "encode", lambda texts: given.extend(texts) or encode(texts))
+    parts = [f"part{k}" for k in range(3000)] + ["\x00", "\u2581", "\u00e9\u6f22", "<|endoftext|>", "it's", "\tx", "y\n\n", " ", "a  b"]
+    texts = [" ".join(parts), "\u2581 one", None, ""]
+    found = encoders.encode(texts)
+    assert len(given) < 1000
+    monkeypatch.setattr(alignment, "STRING_CHARS", 1)
+    apart = alignment.Encoders(A, B)
+    for x, y in zip(found, apart.encode(texts)):
+        assert x.tolist() == y.tolist()
+    # Parts whose bytes do not come back leave those strung with them as they are.
+    texts = ["one two \u2581 three", "one two three"]
+    a, n_a, b, n_b = encoders.encode(texts)
+    assert n_a.tolist()[0] == n_b.tolist()[0] == 0 and a.tolist() == encode(texts[1:])[0] and b.tolist() == encoders.b.encode(texts[1:])[0]
+
+
 def test_cuts_by_halving_are_all_common_ends():
     rng = np.random.default_rng(7)
     for _ in range(200):
