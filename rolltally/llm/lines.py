@@ -242,17 +242,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 # A chunk of texts in one row: its lines (ids, parities of character pairs and of words, numbers of words) and the keys that they
-# meet under, by characters (c) and by words (w).
+# meet under, by characters (c) and by words (w), line by line. Arrays are kept as bytes: there are many small numbers.
 _KEYED = (
-    "chunk long, ids array<long>, parity array<long>, marks array<long>, words array<int>, "
-    "c_line array<int>, c_key array<long>, c_at array<int>, c_own array<boolean>, "
-    "w_line array<int>, w_key array<long>, w_at array<int>, w_own array<boolean>"
+    "chunk long, ids binary, parity binary, marks binary, words binary, "
+    "c_count binary, c_key binary, c_at binary, c_own binary, "
+    "w_count binary, w_key binary, w_at binary, w_own binary"
 )
 _KEYED_NAMES = [f.split()[0] for f in _KEYED.split(", ")]
+_KINDS = {"ids": np.int64, "parity": np.int64, "marks": np.int64, "words": np.int32, "count": np.int32, "key": np.int64, "at": np.int32, "own": np.bool_}
 # Keys that one task counts at once, on average.
 BUCKET_KEYS = 1 << 20
 
 
+def _kind(name: str):
+    return _KINDS[name.removeprefix("c_").removeprefix("w_")]
+
+
+def _stored(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(batch.column(name)[row].as_py(), dtype=_kind(name)) for name in names]
+
+
 def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_edit: int | None, fewer_words: int | None = None) -> DataFrame:
     """Lines and keys of chunks of ``docs`` (``row_key``, ``text`` and, if there, ``at``: the line numbers that count).
 
@@ -293,13 +302,12 @@ def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_ed
                 w_line, w_key, w_at, w_own = none, none.astype(np.uint64), none, none.astype(bool)
                 if words_an_edit is not None:
                     w_line, w_key, w_at, w_own = _one_a_line(*word_keys(lines, at_lines, words_an_edit))
-                columns = [
-                    *(lines.id[at_lines].view(np.int64), lines.parity[at_lines].view(np.int64), marks[at_lines].view(np.int64), words[at_lines].astype(np.int32)),
-                    *(place[c_line].astype(np.int32), c_key.view(np.int64), np.zeros(len(c_line), dtype=np.int32), c_own),
-                    *(place[w_line].astype(np.int32), w_key.view(np.int64), (w_at & 0xFFFFFFFF).astype(np.int32), w_own),
-                ]
-                arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(np.ascontiguousarray(x))) for x in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([first_chunk + number]), *arrays], names=_KEYED_NAMES)
+                columns = [lines.id[at_lines], lines.parity[at_lines], marks[at_lines], words[at_lines]]
+                for line, key, at, own in ((c_line, c_key, none, c_own), (w_line, w_key, w_at & 0xFFFFFFFF, w_own)):
+                    order = np.argsort(place[line], kind="stable")
+                    columns += [np.bincount(place[line], minlength=len(at_lines)), key[order], at[order] if len(at) else at, own[order]]
+                columns = [x.view(kind) if x.dtype == np.uint64 else x.astype(kind) for x, kind in zip(columns, map(_kind, _KEYED_NAMES[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array([first_chunk + number]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=_KEYED_NAMES)
                 number += 1
 
     return docs.mapInArrow(scan, _KEYED)
@@ -311,15 +319,16 @@ def _meeting_keys(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame
     A chunk sends every distinct key once, packed by ranges of keys, with whether a line owns
     it and whether several of the chunk's lines have it. Nothing else of the lines is moved.
     """
-    total = keyed.agg(F.sum(F.size(f"{kind}_key"))).first()[0] or 0
+    total = keyed.agg(F.sum(F.length(f"{kind}_key") / 8).cast("long")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_KEYS))
 
     def pack(batches):
         for batch in batches:
             for row in range(len(batch)):
-                line, key, own = (np.asarray(batch.column(k)[row].values) for k in (1, 2, 3))
+                counts, key, own = _stored(batch, row, f"{kind}_count", f"{kind}_key", f"{kind}_own")
                 if not len(key):
                     continue
+                line = np.repeat(np.arange(len(counts)), counts)
                 order = np.argsort(key, kind="stable")
                 line, key, own = line[order], key[order], own[order].astype(np.uint8)
                 starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -354,7 +363,7 @@ def _meeting_keys(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame
         some = [k for k, d in enumerate(left) if d]
         return pa.table({"chunk": pa.array([chunks[k] for k in some], pa.int64()), "keys": pa.array([left[k] for k in some], pa.binary())})
 
-    sent = keyed.select("chunk", f"{kind}_line", f"{kind}_key", f"{kind}_own").mapInArrow(pack, "bucket int, chunk long, keys binary, flags binary")
+    sent = keyed.select("chunk", f"{kind}_count", f"{kind}_key", f"{kind}_own").mapInArrow(pack, "bucket int, chunk long, keys binary, flags binary")
     return handover(spark, sent.groupBy("bucket").applyInArrow(count, "chunk long, keys binary"), f"meeting-keys-{kind}")
 
 
@@ -362,18 +371,18 @@ def _meeting_rows(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame
     """``key``, ``id``, ``place``, ``mark`` (parities) and ``own`` of lines under keys that can bring a pair together."""
     meeting = _meeting_keys(spark, keyed, kind).groupBy("chunk").agg(F.collect_list("keys").alias("meeting"))
     by_words = kind == "w"
+    columns = ["ids", "marks" if by_words else "parity", "words", *(f"{kind}_{c}" for c in ("count", "key", "at", "own"))]
 
     def rows(batches):
         for batch in batches:
             for row in range(len(batch)):
-                ids, marks, words, line, key, at, own = (np.asarray(batch.column(k)[row].values) for k in range(7))
-                met = np.frombuffer(b"".join(batch.column(7)[row].as_py()), dtype=np.int64)
+                ids, marks, words, counts, key, at, own = _stored(batch, row, *columns)
+                met = np.frombuffer(b"".join(batch.column("meeting")[row].as_py()), dtype=np.int64)
                 chosen = np.flatnonzero(np.isin(key, met))
-                line = line[chosen]
+                line = np.repeat(np.arange(len(ids)), counts)[chosen]
                 place = words[line].astype(np.int64) << 32 | at[chosen] if by_words else np.zeros(len(line), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[chosen], ids[line], place, marks[line], own[chosen])], names=["key", "id", "place", "mark", "own"])
 
-    columns = ["ids", "marks" if by_words else "parity", "words", *(f"{kind}_{c}" for c in ("line", "key", "at", "own"))]
     return keyed.join(meeting, "chunk").select(*columns, "meeting").mapInArrow(rows, "key long, id long, place long, mark long, own boolean")
 
 

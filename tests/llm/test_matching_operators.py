@@ -193,6 +193,22 @@ def test_lines_near_in_words_equal_all_pairs(spark, docs_of):
     assert got == {i: (len(js), int(any(j < i for j in js))) for i, js in near.items()}
 
 
+def test_near_lines_leave_no_row_for_each_pair(spark, docs_of):
+    # Near copies of one line, and those of another that shares its beginning and end with it.
+    words = [f"word{k}" for k in range(20)]
+    texts = [" ".join(words[:10] + [x * n] + words[11:]) for n in range(1, 41) for x in "yz"]
+    texts += [" ".join(words[:5] + ["other"] * 6 + [f"v{n}"] + words[12:]) for n in range(40)]
+    source = docs_of([(i, t, "en", "s", 0) for i, t in enumerate(texts)]).select(F.col("doc_id").alias("row_key"), "text", "doc_id")
+    firsts = lines.occurrences(source).select("id", "row_key", "doc_id", "line_no")
+    keyed = lines.keyed_lines(source.select("row_key", "text"), lines.EDITS, lines.NEAR_CHARS, lines.WORDS_AN_EDIT, 40)
+    rows = lines._meeting_rows(spark, keyed, "w")
+    assert lines._meet(spark, rows, lines.ByWords(lines.WORDS_AN_EDIT), lines.GROUP_ROWS).count() <= rows.count()
+    expected = [sum(near_by_either_rule(x, y) for y in texts) - 1 for x in texts]
+    for group_rows in (16, lines.GROUP_ROWS):
+        found = lines.links(spark, source.select("row_key", "text"), firsts, words_an_edit=lines.WORDS_AN_EDIT, group_rows=group_rows)
+        assert {r["row_key"]: (r["n_links"], r["late"]) for r in found.collect()} == {i: (n, i not in (0, 80)) for i, n in enumerate(expected)}
+
+
 def test_line_with_one_word_changed_goes(spark, docs_of, monkeypatch):
     line = "the committee met on monday to read the long report about rivers and lakes"
     texts = [line, line.replace("monday", "wednesday"), line.replace("long ", ""), line + " again", "ten other words that stand in no other line here"]
