@@ -55,10 +55,10 @@ from rolltally.session import new_path
 
 EDITS = 2
 NEAR_CHARS = 16
-# Words for each word that may be edited. Segments of longer lines have GRAM words at least,
-# from LONG words on WINDOW words.
+# Words for each word that may be edited. Segments of longer lines have GRAM words at least;
+# no more than WINDOW of them choose a run.
 WORDS_AN_EDIT = 10
-GRAM, LONG, WINDOW = 5, 40, 8
+GRAM, WINDOW = 5, 9
 # Groups with more rows are compared block of rows by block of rows.
 GROUP_ROWS = 2048
 # Stands for the place of a run that comes several times in its line.
@@ -75,42 +75,74 @@ def _values(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _in_word(codes: np.ndarray) -> np.ndarray:
+    return IN_WORD[codes if codes.dtype == np.uint8 else np.minimum(codes, 255)]
+
+
+# Steps over white space that all lines take together.
+_STEPS = 32
+
+
+def _trimmed(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges without white space at their ends; those of nothing else end where they start."""
+    start, end = start.copy(), end.copy()
+    for at, before, step in ((start, 0, 1), (end, 1, -1)):
+        left = np.arange(len(start))
+        for _ in range(_STEPS):
+            left = left[start[left] < end[left]]
+            left = left[~_in_word(codes[at[left] - before])]
+            if not len(left):
+                break
+            at[left] += step
+        for k in left[start[left] < end[left]].tolist():
+            inside = np.flatnonzero(_in_word(codes[start[k] : end[k]]))
+            if not len(inside):
+                end[k] = start[k]
+            elif step > 0:
+                start[k] += inside[0]
+            else:
+                end[k] = start[k] + inside[-1] + 1
+    return start, end
+
+
 class Lines:
     """All lines with a word in a chunk of texts: where they are and what they hash to."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         # Code point positions of the texts' borders.
-        first_bytes = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        borders = first_bytes[offsets]
-        self.codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        later = np.flatnonzero(data.view(np.int8) < -64)
+        borders = offsets - np.searchsorted(later, offsets)
+        plain = len(data) and data.max() < 128
+        self.codes = data if plain else np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
         n = len(self.codes)
         breaks = np.flatnonzero(self.codes == 10)
-        start = np.sort(np.concatenate([borders[:-1], breaks + 1]))
-        end = np.concatenate([start[1:], [n]])
-        inside = np.flatnonzero(IN_WORD[np.minimum(self.codes, 255)] | (self.codes > 255))
-        low, high = np.searchsorted(inside, start), np.searchsorted(inside, end)
-        keep = high > low
-        start, low, high = start[keep], low[keep], high[keep]
+        begin = np.sort(np.concatenate([borders[:-1], breaks + 1]))
+        start, end = _trimmed(self.codes, begin, np.concatenate([begin[1:], [n]]))
+        keep = end > start
+        begin, self.start, self.end = begin[keep], start[keep], end[keep]
         # Where empty texts or lines begin at the same place, the line is the last one's.
-        self.text = np.searchsorted(borders, start, "right") - 1
-        self.number = np.searchsorted(breaks, start) - np.searchsorted(breaks, borders[self.text])
-        self.start, self.end = inside[low], inside[high - 1] + 1
+        self.text = np.searchsorted(borders, begin, "right") - 1
+        self.number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, borders[self.text])
         self.length = self.end - self.start
-        values = _values(self.codes)
-        self.prefix = prefix_hash(values, _CHAR_BASE)
+        self._values = _SMALL[self.codes] if plain else _values(self.codes)
+        self.prefix = prefix_hash(self._values, _CHAR_BASE)
         self.id = mix(substring_hash(self.prefix, self.start, self.end, _CHAR_BASE) + mix(self.length.astype(np.uint64)))
+        self._words = self._hashes = None
+
+    def parity(self) -> np.ndarray:
+        """Of each line, which of 64 classes of pairs of characters it has an odd number of."""
+        n, values = len(self.codes), self._values
         pairs = np.zeros(max(n, 1) + 1, dtype=np.uint64)
         if n > 1:
             hashed = ((values[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ values[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(58)
             np.bitwise_xor.accumulate(np.uint64(1) << hashed, out=pairs[1:n])
-        self.parity = pairs[self.end - 1] ^ pairs[self.start]
-        self._words = None
+        return pairs[self.end - 1] ^ pairs[self.start]
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of all words; of each line, its first word and how many it has."""
         if self._words is not None:
             return self._words
-        inside = IN_WORD[np.minimum(self.codes, 255)]
+        inside = _in_word(self.codes)
         begin, end = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         end[:-1] &= ~inside[1:]
@@ -121,8 +153,10 @@ class Lines:
         return self._words
 
     def word_hashes(self) -> np.ndarray:
-        begin, end, _, _ = self.words()
-        return mix(substring_hash(self.prefix, begin, end, _CHAR_BASE) + mix((end - begin).astype(np.uint64)))
+        if self._hashes is None:
+            begin, end, _, _ = self.words()
+            self._hashes = mix(substring_hash(self.prefix, begin, end, _CHAR_BASE) + mix((end - begin).astype(np.uint64)))
+        return self._hashes
 
     def word_parity(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each line, which of 64 classes of words it has an odd number of, and its number of words."""
@@ -132,9 +166,6 @@ class Lines:
         np.bitwise_xor.accumulate(np.uint64(1) << (hashed >> np.uint64(58)), out=odd[1:])
         return odd[first + count] ^ odd[first], count
 
-    def line(self, k: int) -> str:
-        return self.codes[self.start[k] : self.end[k]].tobytes().decode("utf-32-le")
-
 
 def _segment(length: np.ndarray, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of the k-th of ``parts`` nearly equal parts, longer ones last."""
@@ -165,45 +196,62 @@ def segment_keys(lines: Lines, chosen: np.ndarray, edits: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _widths(words_an_edit: int) -> tuple[np.ndarray, np.ndarray]:
+    """By number of words (the last stands for all larger ones): how many words of its segments choose a line's own runs, and how many words choose the runs it is looked up by.
+
+    The smallest run of some words is also the smallest of those fewer among them that still
+    hold it. So a line that looks up the runs of no more words than any line in reach has
+    in its segments meets them all.
+    """
+    count = np.arange(words_an_edit * (WINDOW + 4))
+    own = np.minimum(WINDOW, count // (count // words_an_edit + 1))
+    own[:words_an_edit] = WINDOW  # no edits, no segments
+    reach = np.searchsorted(count - count // words_an_edit, count, "right")
+    return own, np.array([own[k:high].min() for k, high in zip(count.tolist(), reach.tolist())])
+
+
 def word_keys(lines: Lines, chosen: np.ndarray, words_an_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Line, key, place and whether a segment of its own chose it, for every run of words to meet under.
 
     The place holds the line's number of words above that of the run's first word.
     """
     _, _, first, count = lines.words()
-    hashes = lines.word_hashes()
     # A line is looked up by longer ones, which have at least words_an_edit words.
-    chosen = chosen[count[chosen] >= max(GRAM, words_an_edit - 1)]
+    chosen = np.sort(chosen[count[chosen] >= max(GRAM, words_an_edit - 1)])
     none = np.zeros(0, dtype=np.int64)
     if not len(chosen):
         return none, none.astype(np.uint64), none, none.astype(bool)
     first, count = first[chosen], count[chosen]
-    runs = window_hash(hashes, GRAM)
-    # The smallest run, the first of equal ones, of every window.
-    least = np.arange(len(runs))
-    shifts = WINDOW - GRAM
-    if len(runs) > shifts:
-        of_window = np.stack([runs[j : len(runs) - shifts + j] for j in range(shifts + 1)])
-        least[: len(runs) - shifts] += of_window.argmin(axis=0)
-    width = np.where(count < LONG, GRAM, WINDOW)
-
-    def spread(sizes):
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-    which, k = spread(count - width + 1)
-    at = first[which] + k
-    at = np.where(width[which] == GRAM, at, least[at])
-    used = np.unique(at)
-    line = np.searchsorted(np.sort(first), used, "right") - 1
-    line = np.argsort(first, kind="stable")[line]
+    runs = window_hash(lines.word_hashes(), GRAM)
+    own_widths, widths = _widths(words_an_edit)
+    kind = np.minimum(count, len(widths) - 1)
+    width = widths[kind]
     edits = count // words_an_edit
-    which, k = spread(np.where(edits > 0, edits + 1, 0))
-    begin_at, _ = _segment(count[which], k, edits[which] + 1)
-    at = first[which] + begin_at
-    at = np.where(width[which] == GRAM, at, least[at])
-    own = np.isin(used, at)
-    return chosen[line], runs[used], (count[line] << 32) | (used - first[line]), own
+    parts = np.where(edits > 0, edits + 1, 0)
+    which = np.repeat(np.arange(len(parts)), parts)
+    begin_at, _ = _segment(count[which], np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts), parts[which])
+    begin_at, own_width = first[which] + begin_at, own_widths[kind][which]
+    taken, own = np.zeros(len(runs), dtype=bool), np.zeros(len(runs), dtype=bool)
+    # The smallest run, the first of equal ones, of every window of ``size`` words.
+    least, best = np.arange(len(runs)), runs.copy()
+    for size in range(GRAM, WINDOW + 1):
+        shift = size - GRAM
+        if shift >= len(runs):
+            break
+        if shift:
+            lower = runs[shift:] < best[:-shift]
+            np.copyto(least[:-shift], np.arange(shift, len(runs)), where=lower)
+            np.copyto(best[:-shift], runs[shift:], where=lower)
+        some = width == size
+        if some.any():
+            inside = np.zeros(len(runs) + 1, dtype=np.int8)
+            inside[first[some]] = 1
+            inside[(first + count)[some] - size + 1] -= 1
+            taken[least[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]] = True
+        own[least[begin_at[own_width == size]]] = True
+    used = np.flatnonzero(taken | own)
+    line = np.searchsorted(first, used, "right") - 1
+    return chosen[line], runs[used], (count[line] << 32) | (used - first[line]), own[used]
 
 
 def _one_a_line(line: np.ndarray, key: np.ndarray, place: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,13 +259,18 @@ def _one_a_line(line: np.ndarray, key: np.ndarray, place: np.ndarray, own: np.nd
 
     A line that says one word a thousand times has one run at a thousand places.
     """
-    if not len(line):
+    both = key + mix(line.astype(np.uint64))
+    ordered = np.sort(both)
+    again = np.isin(both, ordered[1:][ordered[1:] == ordered[:-1]])
+    if not again.any():
         return line, key, place, own
-    order = np.lexsort((place, key, line))
-    line, key, place, own = line[order], key[order], place[order], own[order]
-    starts = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])]))
-    several = np.diff(np.append(starts, len(line))) > 1
-    return line[starts], key[starts], np.where(several, place[starts] | ANYWHERE, place[starts]), np.logical_or.reduceat(own, starts)
+    rows = np.flatnonzero(again)
+    rows = rows[np.lexsort((place[rows], key[rows], line[rows]))]
+    starts = np.flatnonzero(np.concatenate([[True], (line[rows][1:] != line[rows][:-1]) | (key[rows][1:] != key[rows][:-1])]))
+    several = np.diff(np.append(starts, len(rows))) > 1
+    one = rows[starts]
+    changed = line[one], key[one], np.where(several, place[one] | ANYWHERE, place[one]), np.logical_or.reduceat(own[rows], starts)
+    return tuple(np.concatenate([x[~again], y]) for x, y in zip((line, key, place, own), changed))
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -225,7 +278,7 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``row_key``, ``doc_id``, ``line_no`` and ``id`` of every line with a word."""
+    """``row_key``, ``doc_id``, ``line_no``, ``id`` and length (``chars``) of every line with a word."""
 
     def scan(batches):
         for batch in batches:
@@ -235,35 +288,97 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 lines = Lines(data, offsets)
                 rows = pa.array(first + lines.text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[first + lines.text]), ids.take(rows), pa.array(lines.number.astype(np.int32)), _long(lines.id)], names=["row_key", "doc_id", "line_no", "id"]
+                    [pa.array(keys[first + lines.text]), ids.take(rows), pa.array(lines.number.astype(np.int32)), _long(lines.id), pa.array(lines.length.astype(np.int32))],
+                    names=["row_key", "doc_id", "line_no", "id", "chars"],
                 )
 
-    return docs.mapInArrow(scan, "row_key long, doc_id long, line_no int, id long")
+    return docs.mapInArrow(scan, "row_key long, doc_id long, line_no int, id long, chars int")
 
 
-# A chunk of texts in one row: its lines (ids, parities of character pairs and of words, numbers of words) and the keys that they
-# meet under, by characters (c) and by words (w), line by line. Arrays are kept as bytes: there are many small numbers.
-_KEYED = (
-    "chunk long, ids binary, parity binary, marks binary, words binary, "
-    "c_count binary, c_key binary, c_at binary, c_own binary, "
-    "w_count binary, w_key binary, w_at binary, w_own binary"
-)
+# Lines of some texts (a part) and the keys that they meet under, by characters (c) and by words (w). Rows of these kinds hold the
+# keys of a part and a bucket, each once: its bits above two flags (a line owns it, several lines have it), the first line, the run's
+# place. One row of kind i a part has its lines (ids, parities of character pairs and of words, numbers of words) and, for the keys
+# that several have, all these lines. Arrays are kept as bytes: there are many small numbers.
+_SHARED = [f"{kind}_{c}" for kind in "cw" for c in ("key", "line", "at", "own")]
+_KEYED = "kind string, bucket long, part long, keys binary, flags binary, lines binary, at binary, ids binary, parity binary, marks binary, words binary, " + ", ".join(f"{c} binary" for c in _SHARED)
 _KEYED_NAMES = [f.split()[0] for f in _KEYED.split(", ")]
-_KINDS = {"ids": np.int64, "parity": np.int64, "marks": np.int64, "words": np.int32, "count": np.int32, "key": np.int64, "at": np.int32, "own": np.bool_}
-# Keys that one task counts at once, on average.
-BUCKET_KEYS = 1 << 20
-
-
-def _kind(name: str):
-    return _KINDS[name.removeprefix("c_").removeprefix("w_")]
-
-
-def _stored(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(batch.column(name)[row].as_py(), dtype=_kind(name)) for name in names]
-
-
-def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_edit: int | None, fewer_words: int | None = None) -> DataFrame:
-    """Lines and keys of chunks of ``docs`` (``row_key``, ``text`` and, if there, ``at``: the line numbers that count).
+# Keys that one task counts at once, on average, and that a part has, or one chunk of texts.
+BUCKET_KEYS, PART_KEYS, BUCKETS = 1 << 20, 1 << 20, 16
+_KEY_BITS = 30
+_MASK = (1 << _KEY_BITS) - 1
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers (or ANYWHERE) in two bytes each if they fit, else in four."""
+    large = values >= 0xFFFF
+    if large.any() and (values[large] != ANYWHERE).any():
+        return values.astype(np.uint32).tobytes()
+    return np.minimum(values, 0xFFFF).astype(np.uint16).tobytes()
+
+
+def _widened(data: bytes, n: int) -> np.ndarray:
+    if len(data) == 4 * n:
+        return np.frombuffer(data, dtype=np.uint32).astype(np.int64)
+    values = np.frombuffer(data, dtype=np.uint16).astype(np.int64)
+    values[values == 0xFFFF] = ANYWHERE
+    return values
+
+
+class _Part:
+    """Lines and keys of some chunks of texts."""
+
+    def __init__(self, number: int, buckets: int) -> None:
+        self.number, self.buckets = number, buckets
+        self.lines, self.keys, self.n_lines, self.n_keys = [], {"c": [], "w": []}, 0, 0
+
+    def add(self, lines: tuple[np.ndarray, ...], **keys: tuple[np.ndarray, ...]) -> None:
+        """``lines``: id, parity of character pairs and of words, number of words. ``keys``: line (of these), key, place, own."""
+        self.lines.append(lines)
+        for kind, (line, key, at, own) in keys.items():
+            name = ((key >> np.uint64(64 - _KEY_BITS)) % np.uint64(self.buckets)).astype(np.int64) << _KEY_BITS | (key & np.uint64(_MASK)).astype(np.int64)
+            self.keys[kind].append((name, line + self.n_lines, at, own))
+            self.n_keys += len(key)
+        self.n_lines += len(lines[0])
+
+    def rows(self):
+        shared = {}
+        for kind, found in self.keys.items():
+            name, line, at, own = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(name)
+            name, line, at, own = name[order], line[order], at[order], own[order]
+            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, dtype=np.int64)
+            sizes = np.diff(np.append(starts, len(name)))
+            several, owned = np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+            if len(name):
+                several = np.maximum.reduceat(line, starts) != np.minimum.reduceat(line, starts)
+                owned = np.logical_or.reduceat(own, starts)
+                one_bits = ((name[starts] & _MASK) << 2 | owned | several.astype(np.int64) << 1).astype(np.uint32)
+                bucket = name[starts] >> _KEY_BITS
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                ends = np.append(cuts[1:], len(bucket)).tolist()
+                first, place = line[starts], at[starts]
+                cells = [(one_bits[a:b].tobytes(), _narrow(first[a:b]), _narrow(place[a:b]) if kind == "w" else b"") for a, b in zip(cuts.tolist(), ends)]
+                keys, lines, places = zip(*cells)
+                yield self._batch(kind=[kind] * len(cells), bucket=bucket[cuts].tolist(), part=[self.number] * len(cells), keys=keys, lines=lines, at=places)
+            all_of = np.repeat(several, sizes)
+            shared |= {f"{kind}_key": [name[all_of].tobytes()], f"{kind}_line": [_narrow(line[all_of])], f"{kind}_at": [_narrow(at[all_of])], f"{kind}_own": [own[all_of].tobytes()]}
+        ids, parity, marks, words = (np.concatenate(x) for x in zip(*self.lines))
+        own = {"ids": ids, "parity": parity, "marks": marks, "words": words.astype(np.int32)}
+        yield self._batch(kind=["i"], bucket=[self.number], part=[self.number], **{c: [v.tobytes()] for c, v in own.items()}, **shared)
+
+    @staticmethod
+    def _batch(**columns) -> pa.RecordBatch:
+        return _rows_of_bytes(_KEYED_NAMES, columns)
+
+
+def _rows_of_bytes(names: list[str], columns: dict) -> pa.RecordBatch:
+    kinds = {"kind": pa.string(), "bucket": pa.int64(), "part": pa.int64()}
+    n = len(columns["part"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.binary())) if c in columns else pa.nulls(n, kinds.get(c, pa.binary())) for c in names], names=names)
+
+
+def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_edit: int | None, fewer_words: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Lines and keys of parts of ``docs`` (``row_key``, ``text`` and, if there, ``at``: the line numbers that count).
 
     ``edits`` None leaves out keys by characters, ``words_an_edit`` None those by words;
     with ``fewer_words`` only lines of fewer words have keys by characters.
@@ -271,8 +386,10 @@ def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_ed
     chosen_only = "at" in docs.columns
 
     def scan(batches):
-        first_chunk, number = TaskContext.get().partitionId() << 32, 0
+        number = TaskContext.get().partitionId() << 32
+        part = _Part(number, buckets)
         none = np.zeros(0, dtype=np.int64)
+        nothing = none, none.astype(np.uint64), none, none.astype(bool)
         for batch in batches:
             if chosen_only:
                 at = batch.column(2)
@@ -286,104 +403,102 @@ def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_ed
                 else:
                     at_lines = np.arange(len(lines.id))
                 # Equal lines of a chunk look up once.
-                at_lines = at_lines[np.unique(lines.id[at_lines], return_index=True)[1]]
+                at_lines = np.sort(at_lines[np.unique(lines.id[at_lines], return_index=True)[1]])
                 if not len(at_lines):
                     continue
                 place = np.zeros(len(lines.id), dtype=np.int64)
                 place[at_lines] = np.arange(len(at_lines))
                 marks, words = lines.word_parity()
-                c_line, c_key, c_own = none, none.astype(np.uint64), none.astype(bool)
+                by_chars = by_words = nothing
                 if edits is not None:
                     short = at_lines[lines.length[at_lines] >= max(near_chars, edits + 1)]
                     if fewer_words is not None:
                         short = short[words[short] < fewer_words]
                     if len(short):
-                        c_line, c_key, c_own = segment_keys(lines, short, edits)
-                w_line, w_key, w_at, w_own = none, none.astype(np.uint64), none, none.astype(bool)
+                        line, key, own = segment_keys(lines, short, edits)
+                        by_chars = place[line], key, np.zeros(len(line), dtype=np.int64), own
                 if words_an_edit is not None:
-                    w_line, w_key, w_at, w_own = _one_a_line(*word_keys(lines, at_lines, words_an_edit))
-                columns = [lines.id[at_lines], lines.parity[at_lines], marks[at_lines], words[at_lines]]
-                for line, key, at, own in ((c_line, c_key, none, c_own), (w_line, w_key, w_at & 0xFFFFFFFF, w_own)):
-                    order = np.argsort(place[line], kind="stable")
-                    columns += [np.bincount(place[line], minlength=len(at_lines)), key[order], at[order] if len(at) else at, own[order]]
-                columns = [x.view(kind) if x.dtype == np.uint64 else x.astype(kind) for x, kind in zip(columns, map(_kind, _KEYED_NAMES[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array([first_chunk + number]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=_KEYED_NAMES)
-                number += 1
+                    line, key, at_word, own = _one_a_line(*word_keys(lines, at_lines, words_an_edit))
+                    by_words = place[line], key, at_word & 0xFFFFFFFF, own
+                part.add((lines.id[at_lines], lines.parity()[at_lines], marks[at_lines], words[at_lines]), c=by_chars, w=by_words)
+                if part.n_keys > PART_KEYS:
+                    yield from part.rows()
+                    number += 1
+                    part = _Part(number, buckets)
+        if part.n_lines:
+            yield from part.rows()
 
     return docs.mapInArrow(scan, _KEYED)
 
 
-def _meeting_keys(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame:
-    """``chunk`` and ``keys``: those of its keys that two different lines share, one of which owns it.
+def _meeting_keys(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with only those of the keys that two different lines share, one of which owns it.
 
-    A chunk sends every distinct key once, packed by ranges of keys, with whether a line owns
-    it and whether several of the chunk's lines have it. Nothing else of the lines is moved.
+    A part sends every distinct key once, packed by ranges of keys, and with what its rows are
+    made of, so that no key is looked up again.
     """
-    total = keyed.agg(F.sum(F.length(f"{kind}_key") / 8).cast("long")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_KEYS))
-
-    def pack(batches):
-        for batch in batches:
-            for row in range(len(batch)):
-                counts, key, own = _stored(batch, row, f"{kind}_count", f"{kind}_key", f"{kind}_own")
-                if not len(key):
-                    continue
-                line = np.repeat(np.arange(len(counts)), counts)
-                order = np.argsort(key, kind="stable")
-                line, key, own = line[order], key[order], own[order].astype(np.uint8)
-                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                several = np.maximum.reduceat(line, starts) != np.minimum.reduceat(line, starts)
-                flags = np.maximum.reduceat(own, starts) | several.astype(np.uint8) << 1
-                key = key[starts]
-                bucket = ((key.view(np.uint64) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                key, flags, bucket = key[order], flags[order], bucket[order]
-                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                ends = [*starts[1:].tolist(), len(key)]
-                data = [key[a:b].tobytes() for a, b in zip(starts.tolist(), ends)]
-                marks = [flags[a:b].tobytes() for a, b in zip(starts.tolist(), ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[starts]), pa.array([batch.column(0)[row].as_py()] * len(data), pa.int64()), pa.array(data, pa.binary()), pa.array(marks, pa.binary())],
-                    names=["bucket", "chunk", "keys", "flags"],
-                )
 
     def count(table: pa.Table) -> pa.Table:
-        chunks, data, marks = (table.column(c).to_pylist() for c in ("chunk", "keys", "flags"))
-        key = np.frombuffer(b"".join(data), dtype=np.int64)
-        flags = np.frombuffer(b"".join(marks), dtype=np.uint8)
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        any_flag = np.bitwise_or.reduceat(flags[order], starts)
-        meets = (any_flag & 1 > 0) & ((sizes > 1) | (any_flag & 2 > 0))
+        if table.column("kind")[0].as_py() == "i":
+            return table
+        data, lines, at = (table.column(c).to_pylist() for c in ("keys", "lines", "at"))
+        sizes = [len(d) // 4 for d in data]
+        key = np.frombuffer(b"".join(data), dtype=np.uint32)
+        ordered = np.sort(key.astype(np.uint64) >> np.uint64(2) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+        order, value = (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64), ordered >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        any_flag = np.bitwise_or.reduceat((key & 3).astype(np.uint8)[order], starts)
+        times = np.diff(np.append(starts, len(key)))
         kept = np.zeros(len(key), dtype=bool)
-        kept[order] = np.repeat(meets, sizes)
-        cuts = np.cumsum([0, *(len(d) // 8 for d in data)])
-        left = [key[a:b][kept[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        some = [k for k, d in enumerate(left) if d]
-        return pa.table({"chunk": pa.array([chunks[k] for k in some], pa.int64()), "keys": pa.array([left[k] for k in some], pa.binary())})
+        kept[order] = np.repeat((any_flag & 1 > 0) & ((times > 1) | (any_flag & 2 > 0)), times)
+        cuts, bucket = np.cumsum([0, *sizes]).tolist(), table.column("bucket")[0].as_py()
+        out = {c: [] for c in ("part", "keys", "flags", "lines", "at")}
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            some = kept[a:b]
+            if not some.any():
+                continue
+            left = key[a:b][some]
+            out["part"].append(table.column("part")[k].as_py())
+            out["keys"].append((bucket << _KEY_BITS | (left >> 2).astype(np.int64)).tobytes())
+            out["flags"].append((left & 3).astype(np.uint8).tobytes())
+            out["lines"].append(_narrow(_widened(lines[k], b - a)[some]))
+            out["at"].append(_narrow(_widened(at[k], b - a)[some]) if at[k] else b"")
+        n = len(out["part"])
+        return pa.Table.from_batches([_rows_of_bytes(_KEYED_NAMES, {"kind": [table.column("kind")[0].as_py()] * n, "bucket": [bucket] * n, **out})])
 
-    sent = keyed.select("chunk", f"{kind}_count", f"{kind}_key", f"{kind}_own").mapInArrow(pack, "bucket int, chunk long, keys binary, flags binary")
-    return handover(spark, sent.groupBy("bucket").applyInArrow(count, "chunk long, keys binary"), f"meeting-keys-{kind}")
+    return keyed.groupBy("kind", "bucket").applyInArrow(count, _KEYED)
 
 
 def _meeting_rows(spark: SparkSession, keyed: DataFrame, kind: str) -> DataFrame:
     """``key``, ``id``, ``place``, ``mark`` (parities) and ``own`` of lines under keys that can bring a pair together."""
-    meeting = _meeting_keys(spark, keyed, kind).groupBy("chunk").agg(F.collect_list("keys").alias("meeting"))
+    return _rows_under(handover(spark, _meeting_keys(keyed), "meeting-keys"), kind)
+
+
+def _rows_under(meeting: DataFrame, kind: str) -> DataFrame:
+    """The rows of ``_meeting_rows`` by the keys that meet."""
     by_words = kind == "w"
-    columns = ["ids", "marks" if by_words else "parity", "words", *(f"{kind}_{c}" for c in ("count", "key", "at", "own"))]
+    keys = meeting.where(F.col("kind") == kind).groupBy("part").agg(F.collect_list(F.struct("keys", "flags", "lines", "at")).alias("met"))
+    columns = ["ids", "marks" if by_words else "parity", "words", *(f"{kind}_{c}" for c in ("key", "line", "at", "own"))]
+    numbers = {"words": np.int32, f"{kind}_own": np.bool_}
 
     def rows(batches):
         for batch in batches:
             for row in range(len(batch)):
-                ids, marks, words, counts, key, at, own = _stored(batch, row, *columns)
-                met = np.frombuffer(b"".join(batch.column("meeting")[row].as_py()), dtype=np.int64)
-                chosen = np.flatnonzero(np.isin(key, met))
-                line = np.repeat(np.arange(len(ids)), counts)[chosen]
-                place = words[line].astype(np.int64) << 32 | at[chosen] if by_words else np.zeros(len(line), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[chosen], ids[line], place, marks[line], own[chosen])], names=["key", "id", "place", "mark", "own"])
-
-    return keyed.join(meeting, "chunk").select(*columns, "meeting").mapInArrow(rows, "key long, id long, place long, mark long, own boolean")
+                stored = {c: batch.column(c)[row].as_py() for c in columns}
+                ids, marks, words, s_key, s_own = (np.frombuffer(stored[c], dtype=numbers.get(c, np.int64)) for c in (*columns[:4], columns[6]))
+                s_line, s_at = (_widened(stored[c], len(s_key)) for c in columns[4:6])
+                met = [(len(m["flags"]), m) for m in batch.column("met")[row].as_py()]
+                key = np.frombuffer(b"".join(m["keys"] for _, m in met), dtype=np.int64)
+                flags = np.frombuffer(b"".join(m["flags"] for _, m in met), dtype=np.uint8)
+                line = np.concatenate([_widened(m["lines"], n) for n, m in met])
+                at = np.concatenate([_widened(m["at"], n) for n, m in met]) if by_words else np.zeros(len(key), dtype=np.int64)
+                alone = flags & 2 == 0
+                shared = np.isin(s_key, key[~alone])
+                key, line, at, own = (np.concatenate([x[alone], y[shared]]) for x, y in ((key, s_key), (line, s_line), (at, s_at), (flags & 1 > 0, s_own)))
+                place = words[line].astype(np.int64) << 32 | at if by_words else np.zeros(len(line), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids[line].view(np.int64), place, marks[line].view(np.int64), own)], names=["key", "id", "place", "mark", "own"])
+
+    return meeting.where("kind = 'i'").join(keys, "part").select(*columns, "met").mapInArrow(rows, "key long, id long, place long, mark long, own boolean")
 
 
 class ByCharacters:
@@ -569,13 +684,13 @@ _COMPARED = "a long, b long, leader long, key long, id long, place long, mark lo
 
 def candidate_pairs(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, group_rows: int = GROUP_ROWS, fewer_words: int | None = None) -> DataFrame:
     """Pairs (``a``, ``b``) of ids of different lines (of ``fewer_words``) that may be within ``edits``: as many as there are."""
-    keyed = handover(spark, keyed_lines(docs, edits, near_chars, None, fewer_words), "keyed-lines")
+    keyed = keyed_lines(docs, edits, near_chars, None, fewer_words)
     return _meet(spark, _meeting_rows(spark, keyed, "c"), ByCharacters(edits), group_rows, pairs=True).select("a", "b")
 
 
 def word_candidate_pairs(spark: SparkSession, docs: DataFrame, words_an_edit: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pairs (``a``, ``b``) of ids of different lines that may be near in words: as many as there are."""
-    keyed = handover(spark, keyed_lines(docs, None, 0, words_an_edit), "keyed-lines")
+    keyed = keyed_lines(docs, None, 0, words_an_edit)
     return _meet(spark, _meeting_rows(spark, keyed, "w"), ByWords(words_an_edit), group_rows, pairs=True).select("a", "b")
 
 
@@ -650,7 +765,8 @@ def banded_sequence_distances(pairs: list[tuple[np.ndarray, np.ndarray]], edits:
     return np.where(far > edits, edits + 1, score)
 
 
-_SPACE = re.compile("[" + re.escape(SEPARATORS.decode()) + "]+")
+_WHITE = SEPARATORS.decode()
+_SPACE = re.compile("[" + re.escape(_WHITE) + "]+")
 
 
 def word_distance(a: list, b: list) -> int:
@@ -963,7 +1079,7 @@ def _lines_under_leaders(docs: DataFrame, firsts: DataFrame, met: DataFrame) ->
             for r, k in zip(row.tolist(), numbers.tolist()):
                 if r != last:
                     last, cut = r, batch.column(2)[r].as_py().split("\n")
-                lines.append(cut[k].strip(" \t\n\x0b\x0c\r"))
+                lines.append(cut[k].strip(_WHITE))
             of = np.repeat(np.arange(len(lines)), keys.value_lengths().to_numpy())
             leader, key = (x.to_numpy() for x in keys.flatten().flatten())
             order = np.lexsort((key, leader, of))
@@ -1020,7 +1136,7 @@ def _judge(batches, limit: int, edits: int, near_chars: int, words_an_edit: int
 
 
 def links(
-    spark: SparkSession, docs: DataFrame, firsts: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, words_an_edit: int | None = None, group_rows: int = GROUP_ROWS
+    spark: SparkSession, docs: DataFrame, firsts: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, words_an_edit: int | None = None, group_rows: int = GROUP_ROWS, buckets: int = BUCKETS
 ) -> DataFrame:
     """``row_key``, ``line_no``, ``n_links`` and ``late`` of lines (where they first occur) that others are within ``edits`` of, or near to in words.
 
@@ -1033,12 +1149,12 @@ def links(
     fewer_words = None if words_an_edit is None else 2 * edits * words_an_edit
     # Every line where it first occurs, and no other, is read for its keys.
     places = firsts.groupBy("row_key").agg(F.collect_list("line_no").alias("at"))
-    path = new_path(spark, "keyed-lines")
+    path = new_path(spark, "meeting-keys")
     chosen = docs.join(places, "row_key").select("row_key", "text", "at")
-    keyed = handover(spark, keyed_lines(chosen, edits, near_chars, words_an_edit, fewer_words), "keyed-lines", path)
-    met = _meet(spark, _meeting_rows(spark, keyed, "c"), ByCharacters(edits), group_rows)
+    meeting = handover(spark, _meeting_keys(keyed_lines(chosen, edits, near_chars, words_an_edit, fewer_words, buckets)), "meeting-keys", path)
+    met = _meet(spark, _rows_under(meeting, "c"), ByCharacters(edits), group_rows)
     if words_an_edit is not None:
-        met = met.union(_meet(spark, _meeting_rows(spark, keyed, "w"), ByWords(words_an_edit), group_rows))
+        met = met.union(_meet(spark, _rows_under(meeting, "w"), ByWords(words_an_edit), group_rows))
     met = handover(spark, met, "met-lines")
     discard(spark, path)
     rows = _lines_under_leaders(docs, firsts, met).select("*", F.lit(0).alias("sub"), F.lit(-1).alias("side"))
@@ -1061,44 +1177,42 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_c
     source = docs.select(row_key(docs).alias("row_key"), named(docs, "text").cast("string").alias("text"), named(docs, "doc_id").cast("long").alias("doc_id"))
     found = handover(spark, occurrences(source), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "line_no", "row_key")
-    firsts = found.groupBy("id").agg(F.min(order).alias("first")).select("id", "first.*")
+    firsts = found.groupBy("id").agg(F.min(order).alias("first"), F.max("chars").alias("chars")).select("id", "first.*", "chars")
     firsts = handover(spark, firsts, "first-lines")
-    judged = links(spark, source.select("row_key", "text"), firsts.select("id", "row_key", "doc_id", "line_no"), edits, near_chars, words_an_edit)
-
-    # Places are unique, so a line that occurs everywhere is no hot key here.
-    no, none = F.lit(False), F.lit(0).cast("long")
-    told = found.select("row_key", "line_no", no.alias("first"), none.alias("n_links"), no.alias("late"))
-    told = told.union(firsts.select("row_key", "line_no", F.lit(True), none, no)).union(judged.select("row_key", "line_no", F.lit(True), "n_links", "late"))
-    lines = told.groupBy("row_key", "line_no").agg(F.max("first").alias("first"), F.max("n_links").alias("n_links"), F.max("late").alias("late"))
-    per_row = lines.groupBy("row_key").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.collect_list(F.when(~F.col("first") | F.col("late"), F.col("line_no"))).alias("removed"),
-        F.sum("n_links").alias("n_links"),
+    # About as many keys as the lines have at most, but for lines of the shortest words.
+    total = firsts.agg(F.sum(F.lit(12) + F.col("chars") / 8)).first()[0] or 0
+    judged = links(
+        spark, source.select("row_key", "text"), firsts.select("id", "row_key", "doc_id", "line_no"), edits, near_chars, words_an_edit, buckets=int(total) // BUCKET_KEYS + 1
     )
 
-    @F.pandas_udf("string")
-    def without(texts, removed):
+    # Other lines of a document with a word are equal to earlier ones.
+    told = firsts.select("row_key", F.col("line_no").alias("first"), F.lit(None).cast("int").alias("late"), F.lit(0).cast("long").alias("n_links"))
+    told = told.union(judged.select("row_key", F.lit(None).cast("int"), F.when(F.col("late"), F.col("line_no")), "n_links"))
+    per_row = told.groupBy("row_key").agg(F.collect_list("first").alias("first"), F.collect_list("late").alias("late"), F.sum("n_links").alias("n_links"))
+
+    @F.pandas_udf("kept_text string, n_lines long, n_removed long")
+    def without(texts, first, late):
         import pandas as pd
 
         out = []
-        for text, gone in zip(texts, removed):
-            if text is None or gone is None or not len(gone):
-                out.append(text)
+        for text, here, gone in zip(texts, first, late):
+            if text is None:
+                out.append((None, 0, 0))
                 continue
             cut = text.split("\n")
-            for k in gone:
-                cut[k] = None
-            out.append("\n".join(line for line in cut if line is not None))
-        return pd.Series(out, dtype=object)
+            worded = [k for k, line in enumerate(cut) if line.strip(_WHITE)]
+            kept = set() if here is None else set(here.tolist()).difference(gone.tolist())
+            removed = [k for k in worded if k not in kept]
+            if removed:
+                for k in removed:
+                    cut[k] = None
+                text = "\n".join(line for line in cut if line is not None)
+            out.append((text, len(worded), len(removed)))
+        return pd.DataFrame(out, columns=["kept_text", "n_lines", "n_removed"])
 
     rows = packed(docs, row_key=row_key(docs), text=named(docs, "text").cast("string")).join(per_row, "row_key", "left")
-    return rows.select(
-        "row",
-        without("text", "removed").alias("kept_text"),
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    rows = rows.select("row", "n_links", without("text", "first", "late").alias("found"))
+    return rows.select("row", "found.kept_text", "found.n_lines", "found.n_removed", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, words_an_edit: int | None = None) -> DataFrame:

@@ -446,3 +446,44 @@ def test_every_stage_takes_odd_and_empty_tables(spark, odd, empty):
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF_DIR)
             docs.collect()
+
+
+def test_a_key_of_lines_is_sent_once_in_few_bytes():
+    # Keys of lines crossed the network with their rows written beside them, 22 bytes and more for each.
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(400)]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    found = lines.Lines(data, np.cumsum([0, *map(len, texts)]))
+    marks, words = found.word_parity()
+    line, key, place, own = lines._one_a_line(*lines.word_keys(found, np.arange(len(texts)), lines.WORDS_AN_EDIT))
+    part = lines._Part(0, 2)
+    part.add((found.id, found.parity(), marks, words), w=(line, key, place & 0xFFFFFFFF, own), c=(line[:0], key[:0], place[:0], own[:0]))
+    sent = sum(b.nbytes for b in part.rows())
+    assert sent < 10 * len(key) + 64 * len(texts)
+
+
+@pytest.mark.parametrize("n", [9, 10, 14, 19, 20, 29, 39, 40, 59, 80, 95, 130])
+def test_runs_of_longer_lines_are_looked_up_by_all_lines_in_reach(n):
+    rng = np.random.default_rng(n)
+    for m in range(max(n, lines.WORDS_AN_EDIT), n + 15):
+        edits = m // lines.WORDS_AN_EDIT
+        if m - n > edits:
+            break
+        for _ in range(20):
+            longer = [f"w{k}" for k in rng.integers(0, 40, m)]
+            gone = set(rng.choice(m, m - n, replace=False).tolist())
+            other = [w for k, w in enumerate(longer) if k not in gone]
+            for k in rng.choice(n, edits - (m - n), replace=False).tolist():
+                other[k] = "changed"
+            texts = [" ".join(longer), " ".join(other)]
+            found = lines.Lines(np.frombuffer("".join(texts).encode(), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+            line, key, _, own = lines.word_keys(found, np.arange(2), lines.WORDS_AN_EDIT)
+            assert set(key[(line == 0) & own].tolist()) & set(key[line == 1].tolist())
+
+
+def test_lines_end_where_their_words_do():
+    for texts in (["  a b \t\n \n\n c", "", " " * 100, " " * 90 + "d" + " " * 70 + "\n\te"], ["\u00a0 \u00e4 \n", "\n\u4e2d \n " + " " * 50]):
+        raw = [t.encode() for t in texts]
+        found = lines.Lines(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+        got = [(t, n, "".join(map(chr, found.codes[a:b].tolist()))) for t, n, a, b in zip(found.text.tolist(), found.number.tolist(), found.start.tolist(), found.end.tolist())]
+        assert got == [(t, n, line.strip(" \t")) for t, text in enumerate(texts) for n, line in enumerate(text.split("\n")) if line.strip(" \t")]
