@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -118,6 +119,14 @@ class SharedFiles:
         return sorted(x.base_name for x in self.fs.get_file_info(fs.FileSelector(self.root)) if x.is_file)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers stay for later stages, whose memory it is taken from."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that all bits depend on all bits."""
     x = x ^ (x >> np.uint64(30))

@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolltally.llm.common import IN_WORD, SEPARATORS, discard, handover, mix, named, packed, prefix_hash, row_key, substring_hash, text_chunks, window_hash
+from rolltally.llm.common import IN_WORD, SEPARATORS, discard, give_back, handover, mix, named, packed, prefix_hash, row_key, substring_hash, text_chunks, window_hash
 from rolltally.session import new_path
 
 EDITS = 2
@@ -291,6 +291,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     [pa.array(keys[first + lines.text]), ids.take(rows), pa.array(lines.number.astype(np.int32)), _long(lines.id), pa.array(lines.length.astype(np.int32))],
                     names=["row_key", "doc_id", "line_no", "id", "chars"],
                 )
+                lines = None
+        give_back()
 
     return docs.mapInArrow(scan, "row_key long, doc_id long, line_no int, id long, chars int")
 
@@ -425,8 +427,11 @@ def keyed_lines(docs: DataFrame, edits: int | None, near_chars: int, words_an_ed
                     yield from part.rows()
                     number += 1
                     part = _Part(number, buckets)
+        lines = None
         if part.n_lines:
             yield from part.rows()
+        part = None
+        give_back()
 
     return docs.mapInArrow(scan, _KEYED)
 
@@ -1031,7 +1036,7 @@ def _near_rows(rows: pa.Table, edits: int, near_chars: int, words_an_edit: int |
     high = np.searchsorted(in_order, group[order] << 32 | reach[order], "right")
     at = np.arange(len(order))
     links, late = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=bool)
-    for a, b in _ranges(at, at + 1, high, 1 << 17):
+    for a, b in _ranges(at, at + 1, high, 1 << 16):
         a, b = order[a], order[b]
         ok = (side[a] != side[b]) | (side[a] < 0)
         a, b = a[ok], b[ok]
@@ -1040,9 +1045,11 @@ def _near_rows(rows: pa.Table, edits: int, near_chars: int, words_an_edit: int |
             longer = np.maximum(n_words[a], n_words[b])
             allowed = longer // words_an_edit
             by_words = (allowed > 0) & (longer - np.minimum(n_words[a], n_words[b]) <= allowed)
-            by_words &= np.bitwise_count(word_marks[a] ^ word_marks[b]).sum(axis=1) <= 2 * allowed
+            some = np.flatnonzero(by_words)
+            by_words[some] = np.bitwise_count(word_marks[a[some]] ^ word_marks[b[some]]).sum(axis=1) <= 2 * allowed[some]
         by_chars = eligible[a] & eligible[b] & (np.abs(n_chars[a] - n_chars[b]) <= edits)
-        by_chars &= np.bitwise_count(char_marks[a] ^ char_marks[b]).sum(axis=1) <= 4 * edits
+        some = np.flatnonzero(by_chars)
+        by_chars[some] = np.bitwise_count(char_marks[a[some]] ^ char_marks[b[some]]).sum(axis=1) <= 4 * edits
         ok = by_words | by_chars
         a, b, by_words, by_chars = a[ok], b[ok], by_words[ok], by_chars[ok]
         ok = here.meet(a, b) & ~before.meet(a, b)
@@ -1133,6 +1140,8 @@ def _judge(batches, limit: int, edits: int, near_chars: int, words_an_edit: int
         held = None if passing is not None else rows.slice(cut)
     if held is not None:
         yield from judged(held)
+    batch = rows = held = done = None
+    give_back()
 
 
 def links(

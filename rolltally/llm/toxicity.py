@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolltally.llm.common import handover, named, packed
+from rolltally.llm.common import give_back, handover, named, packed
 
 # The model is fitted on at most so many labelled rows, which bounds its features too.
 SAMPLE_ROWS = 60_000
@@ -252,6 +252,8 @@ def feature_counts(sample: DataFrame) -> DataFrame:
                         counter = FeatureCounter()
         counter.count()
         yield counter.rows()
+        del counter
+        give_back()
 
     toxic = F.least(F.greatest("toxic", F.lit(0)), F.lit(1))
     rows = sample.select("text", toxic.alias("toxic"), "fold").mapInArrow(count, "feature string, fold int, n0 long, n1 long, docs long")
@@ -346,6 +348,8 @@ def _measure(sample: DataFrame, model: Model) -> DataFrame:
                 out.append((n, max(scores, default=0.0), scores, toxic))
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _MEASURED)], names=["n", "best", "scores", "toxic"])
+        scorer = out = columns = None
+        give_back()
 
     return sample.mapInArrow(measure, "n long, best double, scores array<double>, toxic int")
 
@@ -393,7 +397,9 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         import pandas as pd
 
         scorer = _scorer(model)
-        return pd.Series([scorer.text(t)[0] for t in texts], dtype="float64")
+        scores = pd.Series([scorer.text(t)[0] for t in texts], dtype="float64")
+        give_back()
+        return scores
 
     return packed(docs, score=score(named(docs, "text").cast("string"))).where(F.col("score") < limit).select("row.*")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corpus_fixtures import SF_DIR, docs_of, empty, odd, table  # noqa: F401  (fixtures)
 from rolltally.llm import decontaminate, lines, packing, queries, toxicity
+from rolltally.llm.common import give_back
 
 
 def edit_distance(a, b):
@@ -487,3 +488,21 @@ def test_lines_end_where_their_words_do():
         found = lines.Lines(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
         got = [(t, n, "".join(map(chr, found.codes[a:b].tolist()))) for t, n, a, b in zip(found.text.tolist(), found.number.tolist(), found.start.tolist(), found.end.tolist())]
         assert got == [(t, n, line.strip(" \t")) for t, text in enumerate(texts) for n, line in enumerate(text.split("\n")) if line.strip(" \t")]
+
+
+def test_workers_give_back_what_they_freed():
+    def resident() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1])
+
+    kept = []
+    before = resident()
+    for _ in range(400):  # small pieces that stay keep the large ones' memory from going
+        large = [np.ones(1 << 13) for _ in range(20)]
+        kept.append(np.ones(64))
+        del large
+    pieces = [np.ones(1 << 13) for _ in range(1600)]
+    kept += pieces[::400]
+    del pieces
+    give_back()
+    assert resident() - before < 30_000
