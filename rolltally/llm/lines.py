@@ -17,9 +17,10 @@ places allow it, which are ranges of its rows in order of these, by the parities
 hashed words, of which an edit changes at most two. What is left is verified by a
 bit-parallel edit distance over words, of any length.
 
-Keys are counted before anything is sent under them: chunks of lines send their distinct keys,
-packed, and get back those that two different lines share and one of them owns. Only rows
-under these, a small part, are dealt out.
+Keys are counted before rows are dealt out under them: parts of the lines send each distinct
+key once, packed, in a few bytes with what its row is made of. What is left are those that two
+different lines share and one of them owns, a small part. Longer segments choose their run
+among more words, so that lines are looked up under fewer.
 
 Pairs are never written: a group's size squared is work inside a task, and what leaves it is
 one row a line. Under a key, lines stay that have a likely partner there. The least of them
