@@ -10,7 +10,9 @@ Tokens whose bytes overlap are linked. How many documents hold a pair of ids lin
 counted over the whole corpus. Texts are read once: a chunk of them is written as one row
 with its distinct pairs and, per document, which of them it holds how often. Only the
 chunks' distinct pairs are counted and joined with the counts; what comes back to a chunk is
-one number for each of them, so no row per document and pair is ever shuffled.
+one number for each of them, so no row per document and pair is ever shuffled. What a
+document holds goes through Spark in bytes, three for a pair, and workers are handed few rows
+at once: an executor's memory does not follow the size of the table or of its partitions.
 
 Texts are encoded in parts, cut at single spaces between two characters that are not white
 space, and parts met before are looked up. That no token reaches over such a cut is derived
@@ -29,6 +31,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from contextlib import contextmanager
 from hashlib import sha256
 from itertools import chain
 
@@ -38,9 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolltally.llm.common import handover, named
+from rolltally.llm.common import give_back, handover, named
 
 CHUNK_CHARS = 1 << 20
+# Characters that a row counts for at least, as each has numbers and a digest.
+LEAST_CHARS = 64
+# Documents, and chunks of them, that a worker is handed at once.
+BATCH_DOCS, BATCH_CHUNKS = 256, 16
 CACHE_PARTS, CACHE_TOKENS = 300_000, 6_000_000
 # Characters that one call hands to a tokenizer, and of the parts strung together in it.
 CALL_CHARS = 1 << 22
@@ -48,6 +55,7 @@ STRING_CHARS = 1 << 12
 # A space between two characters neither of which is white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE_SIGN = "▁"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -363,12 +371,13 @@ def _chunks(batches):
     for batch in batches:
         for i in range(len(batch)):
             text = batch.column(1)[i].as_py()
-            if ids and size + len(text or "") > CHUNK_CHARS:
+            chars = max(len(text or ""), LEAST_CHARS)
+            if ids and size + chars > CHUNK_CHARS:
                 yield ids, texts
                 ids, texts, size = [], [], 0
             ids.append(batch.column(0)[i].as_py())
             texts.append(text)
-            size += len(text or "")
+            size += chars
     if ids:
         yield ids, texts
 
@@ -399,11 +408,11 @@ def aligned_tokens(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc
 
 
 _DOC = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
-# Of a chunk: its documents, its distinct pairs and in how many documents each is, and for
-# every document and pair in it the two positions and how many links there are.
+# Of a chunk: its documents, its distinct pairs and in how many documents each is, and, see
+# ``packed_holds``, which pairs each document holds and how often.
 _CHUNK = (
     "chunk long, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string>>, "
-    "pairs array<long>, in_docs array<int>, held_by array<int>, held array<int>, times array<int>"
+    "pairs array<long>, in_docs array<int>, per_doc binary, held binary, times binary"
 )
 
 
@@ -411,6 +420,40 @@ def _one_list(values: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def packed_holds(held_by: np.ndarray, held: np.ndarray, times: np.ndarray, n_docs: int, n_pairs: int) -> list[bytes]:
+    """How many entries each document has; and of the entries the pair's position, in two bytes if these do, and how many links, in one.
+
+    Over 255 links of a document and pair are more than one entry.
+    """
+    order = np.argsort(held_by, kind="stable")
+    held_by, held, times = held_by[order], held[order], times[order]
+    entries = (times + 254) // 255
+    in_bytes = np.full(int(entries.sum()), 255, dtype="<u1")
+    in_bytes[np.cumsum(entries) - 1] = times - 255 * (entries - 1)
+    per_doc = np.bincount(np.repeat(held_by, entries), minlength=n_docs)
+    return [per_doc.astype("<u4").tobytes(), np.repeat(held.astype("<u2" if n_pairs <= 1 << 16 else "<u4"), entries).tobytes(), in_bytes.tobytes()]
+
+
+def sums_of_holds(per_doc, held, times, *values: np.ndarray) -> list[np.ndarray]:
+    """For each document the sum over its links of each of ``values``, which the pairs have by position."""
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(per_doc, dtype="<u4"), dtype=np.int64)])
+    times = np.frombuffer(times, dtype="<u1")
+    held = np.frombuffer(held, dtype="<u4" if len(held) == 4 * len(times) else "<u2")
+    return [np.diff(np.concatenate([[0], np.cumsum(v[held] * times)])[ends]) for v in values]
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Python workers of what runs inside are handed so many rows at once at most."""
+    before = spark.conf.get(_BATCH_ROWS)
+    # Zero and less stand for no limit.
+    spark.conf.set(_BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 def link_chunks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per chunk of documents, aligned: see ``_CHUNK``. Meant to be written before use."""
 
@@ -428,10 +471,14 @@ def link_chunks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id
             lists = [
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rows),
                 _one_list(pairs, pa.int64()),
-                *(_one_list(v.astype(np.int32), pa.int32()) for v in (in_docs, held_by, held, times)),
+                _one_list(in_docs.astype(np.int32), pa.int32()),
+                *(pa.array([v], pa.binary()) for v in packed_holds(held_by, held, times, len(texts), len(pairs))),
             ]
-            names = ["chunk", "docs", "pairs", "in_docs", "held_by", "held", "times"]
+            names = ["chunk", "docs", "pairs", "in_docs", "per_doc", "held", "times"]
             yield pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), *lists], names=names)
+        # Workers stay for later stages, whose memory theirs is taken from.
+        encoders.forget()
+        give_back()
 
     return _source(docs, doc_id, text).mapInArrow(scan, _CHUNK)
 
@@ -450,31 +497,29 @@ def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, doc_id
     ``n_best`` counts links that no pair of the same first id exceeds in documents,
     ``count_sum`` adds up the pairs' documents over the links.
     """
-    chunks = handover(spark, link_chunks(docs, path_a, path_b, doc_id, text), "alignment-chunks")
+    with batches_of(spark, BATCH_DOCS):
+        chunks = handover(spark, link_chunks(docs, path_a, path_b, doc_id, text), "alignment-chunks")
     counts = handover(spark, pair_counts(chunks, len(_encoders(path_a, path_b).b.bytes)), "alignment-pairs")
     wanted = chunks.select("chunk", F.posexplode("pairs").alias("at", "pair"))
     # A chunk's pairs are bounded by its texts.
     told = wanted.join(counts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "best")).alias("told"))
-    joined = chunks.select("chunk", "docs", "held_by", "held", "times").join(told, "chunk", "left").select("docs", "held_by", "held", "times", "told")
+    joined = chunks.select("chunk", "docs", "per_doc", "held", "times").join(told, "chunk", "left").select("docs", "per_doc", "held", "times", "told")
 
     def total(batches):
         for batch in batches:
             for row in range(len(batch)):
                 docs_of = batch.column(0)[row].values
-                held_by, held, times = (np.asarray(batch.column(k)[row].values, dtype=np.int64) for k in (1, 2, 3))
-                n, best = np.zeros(len(held), dtype=np.int64), np.zeros(len(held), dtype=np.int64)
-                if len(held):
+                n, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                if batch.column(4)[row].is_valid:
                     told_of = batch.column(4)[row].values
                     at = np.asarray(told_of.field("at"))
-                    size = int(at.max()) + 1
-                    n, best = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+                    n, best = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
                     n[at], best[at] = np.asarray(told_of.field("n")), np.asarray(told_of.field("best").cast(pa.int64()))
-                    n, best = n[held], best[held]
-                sums = np.zeros((2, len(docs_of)), dtype=np.int64)
-                np.add.at(sums[0], held_by, times * best)
-                np.add.at(sums[1], held_by, times * n)
+                sums = sums_of_holds(*(batch.column(k)[row].as_buffer() for k in (1, 2, 3)), best, n)
                 columns = [docs_of.field(name) for name, _ in _DOC]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums[0]), pa.array(sums[1])], names=[*(name for name, _ in _DOC), "n_best", "count_sum"])
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, sums)], names=[*(name for name, _ in _DOC), "n_best", "count_sum"])
+        give_back()
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    return joined.mapInArrow(total, schema)
+    with batches_of(spark, BATCH_CHUNKS):
+        return handover(spark, joined.mapInArrow(total, schema), "alignment-totals")

@@ -10,6 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from corpus_fixtures import SF_DIR, docs_of, empty, odd, odd_documents, table  # noqa: F401
 from pyspark.sql import functions as F
@@ -226,6 +227,51 @@ def test_cuts_by_halving_are_all_common_ends():
         assert a[at_a].tolist() == np.intersect1d(a, b).tolist() == b[at_b].tolist()
 
 
+def test_holds_take_three_bytes_for_a_document_and_pair():
+    rng = np.random.default_rng(1)
+    for n_pairs, width in ((5000, 3), (70_000, 5)):
+        key = rng.permutation(np.unique(rng.integers(0, 6 * n_pairs, 4000)))
+        held_by, held = key // n_pairs, key % n_pairs
+        for times in (rng.integers(1, 256, len(key)), rng.choice([1, 255, 256, 510, 511, 100_000], len(key))):
+            values = rng.integers(0, 1 << 40, n_pairs), rng.integers(0, 2, n_pairs)
+            packed = alignment.packed_holds(held_by, held, times, 8, n_pairs)
+            for value, found in zip(values, alignment.sums_of_holds(*packed, *values)):
+                expected = np.zeros(8, dtype=np.int64)
+                np.add.at(expected, held_by, times * value[held])
+                assert found.tolist() == expected.tolist()
+            if times.max() <= 255:
+                assert sum(map(len, packed)) == width * len(key) + 4 * 8
+    none = np.zeros(0, dtype=np.int64)
+    assert alignment.sums_of_holds(*alignment.packed_holds(none, none, none, 2, 0), none)[0].tolist() == [0, 0]
+
+
+def test_texts_without_characters_fill_chunks():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100_000), pa.int64()), pa.array([None, ""] * 50_000, pa.string())], names=["doc_id", "text"])
+    sizes = [len(ids) for ids, _ in alignment._chunks([batch])]
+    assert sum(sizes) == 100_000 and max(sizes) < 20_000
+
+
+def test_alignment_hands_workers_few_rows_at_once(spark, docs_of, monkeypatch):
+    def rows_in_batches(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, most, handover = spark.conf.get(key), {}, alignment.handover
+
+    def watched(spark, df, label):
+        read = spark.range(2000, numPartitions=1).mapInArrow(rows_in_batches, "n long").collect()
+        most[label] = max(r["n"] for r in read)
+        return handover(spark, df, label)
+
+    monkeypatch.setattr(alignment, "handover", watched)
+    rows = [(k, "one text" if k % 3 else None, "en", "s", None) for k in range(600)]
+    found = alignment.align(spark, docs_of(rows), A, B).collect()
+    assert len(found) == 600 and {r["count_sum"] for r in found if not r["n_a"]} == {0}
+    assert most["alignment-chunks"] <= 256 and most["alignment-totals"] <= 16
+    assert spark.conf.get(key) == before
+
+
 def test_aligned_tokens_hold_the_groups(spark, table):
     docs = table("documents").where("doc_id < 5")
     for row in alignment.aligned_tokens(docs, A, B).collect():
