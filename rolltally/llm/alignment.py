@@ -522,4 +522,5 @@ def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, doc_id
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
     with batches_of(spark, BATCH_CHUNKS):
-        return handover(spark, joined.mapInArrow(total, schema), "alignment-totals")
+        # Chunks are large and what is left of them small: few files, not one for each task.
+        return handover(spark, joined.mapInArrow(total, schema).hint("rebalance"), "alignment-totals")
